@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.decontaminate import op1_benchmark_decontamination
+from llm.pieces import op10_sentencepiece
 from llm.repeats import op3_suffix_array_dedup
+from llm.superminhash import op6_minhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 SQL: dict[str, str] = {}
