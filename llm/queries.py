@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import op1_benchmark_decontamination
+from llm.importance import op9_quality_classifier
 from llm.pieces import op10_sentencepiece
+from llm.quality_rules import op4_quality_rules
 from llm.repeats import op3_suffix_array_dedup
 from llm.superminhash import op6_minhash_near_dedup
+from llm.surrogates import op5_pii_surrogates
+from llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
