@@ -7,8 +7,11 @@ negatively correlated; estimates vary less than with independent minima. Generat
 once no further value can lower a register: a few steps for long texts.
 
 Signatures are cut into bands. Members of a band's bucket are confirmed against the
-bucket's first member, on full sets; where that leaves a bucket with several groups, all
-pairs between its groups are confirmed, so no link of a bucket is lost. Confirmed links
+bucket's most central member, on full sets. Where that leaves a bucket with several groups,
+links between groups are sought by prefix filtering: two sets of the wanted similarity
+have a common shingle among the rarest few of either, with rarest meant over all those
+documents; such pairs of different groups are confirmed too, so no link of a bucket is
+lost and no bucket is paired out. Confirmed links
 are joined into components by large-star and small-star steps. Documents with equal sets
 count as one from the start, so copies are never compared with each other.
 
@@ -25,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
@@ -137,6 +140,30 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """From (key, n, root, text): (key, n, root, e) for each distinct shingle e."""
+    for batch in batches:
+        for at, data, off in ts.pieces(batch.column(3)):
+            h, r = ts.distinct_by_row(*ts.shingles(ts.Words(data, off), size))
+            take = pa.array(at + r)
+            yield pa.record_batch([*(batch.column(k).take(take) for k in range(3)), pa.array(h.view(np.int64))], names=["key", "n", "root", "e"])
+
+
+def _across_groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b, n_a, n_b): all pairs of different roots that can reach the similarity, by the rarest shingles of each."""
+    elements = docs.mapInArrow(partial(_elements, size=size), "key long, n long, root long, e long")
+    common = elements.groupBy("e").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("key").orderBy("df", "e")
+    # of n shingles, at least n * percent / 100 must be shared; so one of the first n - that + 1 is
+    rarest = elements.join(common, "e").withColumn("i", F.row_number().over(order)).where(f"i <= n - ceil(n * {percent} / 100) + 1")
+    rarest = checkpoint(rarest.where("df > 1").select("key", "n", "root", "e"))
+    several = rarest.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
+    rarest = checkpoint(rarest.join(several, "e"))
+    a, b = (rarest.select(*(F.col(c).alias(f"{c}_{k}") for c in ("e", "key", "n", "root"))) for k in "ab")
+    both = a.join(b, (F.col("e_a") == F.col("e_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")))
+    return both.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, size: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component, kept) for each row; ``component`` is the smallest id of the group.
 
@@ -147,8 +174,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = checkpoint(keyed.select("key", "text").mapInArrow(partial(_sketch, size=size, bands=bands, rows=rows), "key long, n long, whole long, bands array<long>"))
     first = sketches.where("n > 0").groupBy("whole").agg(F.min(F.struct("key", "n", "bands")).alias("s"))
     members = checkpoint(first.select(F.col("s.key").alias("key"), F.col("s.n").alias("n"), F.explode("s.bands").alias("band")))
-    shared = members.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    members = checkpoint(members.join(shared.select("band", "lead"), "band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    members = checkpoint(members.join(sizes, "band"))
+    # a text in the midst of its copies shares the most and the largest buckets; it leads them
+    central = members.groupBy("key").agg(F.sum("c").alias("weight"))
+    members = members.join(central, "key")
+    lead = members.groupBy("band").agg(F.min(F.struct(-F.col("weight"), "key", "n")).alias("lead"))
+    members = checkpoint(members.join(lead, "band").select("band", "key", "n", F.struct("lead.key", "lead.n").alias("lead")))
     once = keyed if unique else keyed.dropDuplicates(["key"])
     texts = once.select("key", "text").join(members.select("key").distinct(), "key")
     texts = checkpoint(texts)
@@ -162,17 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = checkpoint(links(members.where("key <> lead.key").where(fits("n", "lead.n")).select(F.col("lead.key").alias("a"), F.col("key").alias("b"))))
     stars = components(found)
-    # buckets that still hold several groups: every pair between two groups
-    grouped = members.join(stars.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"), F.col("lead.key").alias("lead"))
+    # buckets that still hold several groups: all links between their members, by prefix filtering
+    grouped = members.join(stars.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
     mixed = grouped.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 2 and r0 <> r1").select("band")
-    rest = checkpoint(grouped.join(mixed, "band"))
-    a, b = (rest.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "root", "lead"))) for k in "ab")
-    pairs = (
-        a.join(b, "band")
-        .where("key_a < key_b and root_a <> root_b and key_a <> lead_a and key_b <> lead_b")
-        .where(fits("n_a", "n_b"))
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    )
+    rest = checkpoint(grouped.join(mixed, "band").select("key", "n", "root").distinct())
+    pairs = _across_groups(texts.join(rest, "key").select("key", "n", "root", "text"), percent, size).where(fits("n_a", "n_b")).select("a", "b")
     more = checkpoint(links(pairs))
     if not more.isEmpty():
         stars = components(stars.unionByName(more))
