@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches longer than this are encoded one by one, in a window.
 LONG = 200
 #: Stretches that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _START, _NONE, _UNKNOWN = -3, -2, -1
 _SPACE = "▁"
 _CACHE = 1 << 20
@@ -431,8 +431,9 @@ def decode_ids(lists: pa.ListArray, model: PieceModel) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(b_off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)), mask).cast(pa.string())
 
 
-def _mapped(docs: DataFrame, column: str, out_col: str, kind: str, model_path: str, unigram: bool, f) -> DataFrame:
-    docs = docs.drop(out_col)
+def _mapped(docs: DataFrame, column: str, out: dict[str, str], model_path: str, unigram: bool, f) -> DataFrame:
+    """``docs`` with the columns ``out`` (name: type) that ``f`` makes of ``column``."""
+    docs = docs.drop(*out)
     at = docs.columns.index(column)
     with open(model_path, "rb") as file:  # the driver reads the vocabulary and sends it along
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -441,22 +442,33 @@ def _mapped(docs: DataFrame, column: str, out_col: str, kind: str, model_path: s
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, f(part.column(at), _model(shared.value, unigram))], names=[*batch.schema.names, out_col])
+                made = f(part.column(at), _model(shared.value, unigram))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*batch.schema.names, *out])
 
-    return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(None).cast(kind)).schema)
+    schema = docs
+    for name, kind in out.items():
+        schema = schema.withColumn(name, F.lit(None).cast(kind))
+    return docs.mapInArrow(run, schema.schema)
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", *, model_path: str = MODEL, unigram: bool = False) -> DataFrame:
-    """``docs`` with the piece ids of each whole text; ``unigram`` for models trained as such."""
-    return _mapped(docs, text_col, out_col, "array<int>", model_path, unigram, encode_texts)
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", *, check_col: str | None = None, model_path: str = MODEL, unigram: bool = False) -> DataFrame:
+    """``docs`` with the piece ids of each whole text; ``unigram`` for models trained as such.
+
+    ``check_col``, if given, tells whether the ids decode to the text again.
+    """
+
+    def run(texts: pa.Array, model: PieceModel) -> list[pa.Array]:
+        ids = encode_texts(texts, model)
+        return [ids, pc.fill_null(pc.equal(decode_ids(ids, model), texts), True)] if check_col else [ids]
+
+    return _mapped(docs, text_col, {out_col: "array<int>"} | ({check_col: "boolean"} if check_col else {}), model_path, unigram, run)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", *, model_path: str = MODEL) -> DataFrame:
     """``docs`` with the text of each list of ids."""
-    return _mapped(docs, ids_col, out_col, "string", model_path, False, decode_ids)
+    return _mapped(docs, ids_col, {out_col: "string"}, model_path, False, lambda ids, model: [decode_ids(ids, model)])
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return encode(docs, check_col="round_trip").select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
