@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import op1_benchmark_decontamination
 from llm.importance import op9_quality_classifier
+from llm.licenses import op7_license_scan
 from llm.mixing import op8_lm_scoring
 from llm.pieces import op10_sentencepiece
 from llm.quality_rules import op4_quality_rules
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
