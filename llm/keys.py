@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 NULL_KEY = -(2**63)
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(key long, id, text string) for the rows of ``docs``, null text as empty.
+def add_key(docs: DataFrame, id_col: str, text_col: str, key_col: str = "key") -> tuple[DataFrame, bool]:
+    """``docs`` with a long ``key_col`` before its columns, and whether the ids are unique.
 
     The key orders documents as their ids do (null first). It is the id itself where ids
     are unique; where some repeat, different texts under one id get neighbouring keys in
-    the order of a text hash, and equal rows share a key.
+    the order of a text hash, and equal texts under one id share a key.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    plain = F.coalesce(F.col("id").cast("long"), F.lit(NULL_KEY))
-    twice = base.groupBy("id").count().where("count > 1").limit(1).count()
+    docs = docs.drop(key_col)
+    plain = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
+    twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     if not twice:
-        return base.select(plain.alias("key"), "id", "text"), True
-    tagged = base.withColumn("tie", F.xxhash64("text"))
-    order = tagged.select(plain.alias("plain"), "tie").distinct().sort("plain", "tie")
-    spark = docs.sparkSession
-    numbered = spark.createDataFrame(
-        order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "plain long, tie long, key long"
+        return docs.select(plain.alias(key_col), "*"), True
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    tagged = docs.withColumn("_plain", plain).withColumn("_tie", tie)
+    order = tagged.select("_plain", "_tie").distinct().sort("_plain", "_tie")
+    numbered = docs.sparkSession.createDataFrame(
+        order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"_plain long, _tie long, {key_col} long"
     )
-    return tagged.withColumn("plain", plain).join(numbered, ["plain", "tie"]).select("key", "id", "text"), False
+    return tagged.join(numbered, ["_plain", "_tie"]).select(key_col, *docs.columns), False
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(key, id, text) of :func:`add_key`, null text as empty."""
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return add_key(plain, "id", "text")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
