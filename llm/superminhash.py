@@ -8,10 +8,9 @@ once no further value can lower a register: a few steps for long texts.
 
 Signatures are cut into bands. Members of a band's bucket are confirmed against the
 bucket's most central member, on full sets. Where that leaves a bucket with several groups,
-links between groups are sought by prefix filtering: two sets of the wanted similarity
-have a common shingle among the rarest few of either, with rarest meant over all those
-documents; such pairs of different groups are confirmed too, so no link of a bucket is
-lost and no bucket is paired out. Confirmed links
+links between groups are sought through the rarest differences from that member (see
+:func:`_across_groups`) and confirmed too, so no link of a bucket is lost and no bucket is
+paired out. Confirmed links
 are joined into components by large-star and small-star steps. Documents with equal sets
 count as one from the start, so copies are never compared with each other.
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
-from llm.keys import checkpoint, with_key
+from llm.keys import checkpoint, with_key, written
 
 #: Steps after which the few documents that are still open get explicit permutations.
 TRACED = 8
@@ -140,28 +139,64 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """From (key, n, root, text): (key, n, root, e) for each distinct shingle e."""
+def _differences(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """From (lead, key, n, root, text of lead, text of key): a row for each shingle that only one of the two has.
+
+    ``free`` tells that the two are not linked, ``first`` how many of the rarest of these rows
+    any text that is linked with this one, but not with the lead, must have one of.
+    """
     for batch in batches:
-        for at, data, off in ts.pieces(batch.column(3)):
-            h, r = ts.distinct_by_row(*ts.shingles(ts.Words(data, off), size))
-            take = pa.array(at + r)
-            yield pa.record_batch([*(batch.column(k).take(take) for k in range(3)), pa.array(h.view(np.int64))], names=["key", "n", "root", "e"])
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            n = part.num_rows
+            sets = []
+            for c in (4, 5):
+                got = [(h, r + at) for at, data, off in ts.pieces(part.column(c)) for h, r in [ts.shingles(ts.Words(data, off), size)]]
+                sets.append(ts.distinct_by_row(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])))
+            (hl, rl), (hk, rk) = sets
+            h, r = np.concatenate([hl, hk]), np.concatenate([rl, rk])
+            mine = np.concatenate([np.zeros(len(hl), bool), np.ones(len(hk), bool)])
+            order = np.lexsort((h, r))
+            h, r, mine = h[order], r[order], mine[order]
+            same = np.zeros(len(h), bool)
+            both = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+            same[1:] |= both
+            same[:-1] |= both
+            h, r, mine = h[~same], r[~same], mine[~same]
+            extra = np.bincount(r[mine], minlength=n)
+            lacking = np.bincount(r[~mine], minlength=n)
+            shared = np.bincount(rk, minlength=n) - extra
+            free = 100 * shared < percent * (shared + extra + lacking)
+            first = extra + lacking - (percent * extra + 100 * lacking) // (100 + percent)
+            take = pa.array(r)
+            e = np.where(mine, h, ts.mix(h))
+            yield pa.record_batch(
+                [*(part.column(k).take(take) for k in range(4)), pa.array(free[r]), pa.array(first[r].astype(np.int64)), pa.array(e.view(np.int64))],
+                names=["lead", "key", "n", "root", "free", "first", "e"],
+            )
 
 
 def _across_groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b, n_a, n_b): all pairs of different roots that can reach the similarity, by the rarest shingles of each."""
-    elements = docs.mapInArrow(partial(_elements, size=size), "key long, n long, root long, e long")
-    common = elements.groupBy("e").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("key").orderBy("df", "e")
-    # of n shingles, at least n * percent / 100 must be shared; so one of the first n - that + 1 is
-    rarest = elements.join(common, "e").withColumn("i", F.row_number().over(order)).where(f"i <= n - ceil(n * {percent} / 100) + 1")
-    rarest = checkpoint(rarest.where("df > 1").select("key", "n", "root", "e"))
-    several = rarest.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
-    rarest = checkpoint(rarest.join(several, "e"))
-    a, b = (rarest.select(*(F.col(c).alias(f"{c}_{k}") for c in ("e", "key", "n", "root"))) for k in "ab")
-    both = a.join(b, (F.col("e_a") == F.col("e_b")) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")))
-    return both.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b").distinct()
+    """(a, b, n_a, n_b): all pairs of different roots under one lead that can reach the similarity.
+
+    Let X and Y be two texts of a lead B, Y with ``e`` shingles that B lacks and lacking ``a``
+    of B's. If X is linked with Y but not with B, the two differ from B alike in more than
+    (percent * e + 100 * a) / (100 + percent) shingles. So X has one of the rarest
+    a + e - floor(that) differences of Y; pairs are made through those alone. Where copies differ by
+    edits of their own these are rare, and a large group of near copies makes few pairs.
+    """
+    columns = "lead long, key long, n long, root long, free boolean, first long, e long"
+    rows = written(docs.mapInArrow(partial(_differences, size=size, percent=percent), columns))
+    common = rows.groupBy("lead", "e").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bool_or("free").alias("any_free"))
+    order = Window.partitionBy("lead", "key").orderBy("df", "e")
+    ranked = rows.join(common, ["lead", "e"]).withColumn("i", F.row_number().over(order))
+    useful = ranked.where("r0 <> r1 and any_free and (free or i <= first)").select("lead", "e", "key", "n", "root", "free", (F.col("i") <= F.col("first")).alias("early"))
+    useful = checkpoint(useful)
+    x = useful.where("free").select(*(F.col(c).alias(f"{c}_x") for c in ("lead", "e", "key", "n", "root")))
+    y = useful.where("early").select(*(F.col(c).alias(f"{c}_y") for c in ("lead", "e", "key", "n", "root")))
+    fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    met = x.join(y, F.expr(f"lead_x = lead_y and e_x = e_y and root_x <> root_y and {fits}"))
+    return met.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, size: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
@@ -194,11 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = checkpoint(links(members.where("key <> lead.key").where(fits("n", "lead.n")).select(F.col("lead.key").alias("a"), F.col("key").alias("b"))))
     stars = components(found)
-    # buckets that still hold several groups: all links between their members, by prefix filtering
-    grouped = members.join(stars.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
+    # buckets that still hold several groups: the links between them
+    grouped = members.join(stars.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"), F.col("lead.key").alias("lead"))
     mixed = grouped.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 2 and r0 <> r1").select("band")
-    rest = checkpoint(grouped.join(mixed, "band").select("key", "n", "root").distinct())
-    pairs = _across_groups(texts.join(rest, "key").select("key", "n", "root", "text"), percent, size).where(fits("n_a", "n_b")).select("a", "b")
+    rest = checkpoint(grouped.join(mixed, "band").where("key <> lead").select("lead", "key", "n", "root").distinct())
+    with_texts = rest.join(texts.select("key", "text"), "key").join(texts.select(F.col("key").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    pairs = _across_groups(with_texts.select("lead", "key", "n", "root", "lead_text", "text"), percent, size)
     more = checkpoint(links(pairs))
     if not more.isEmpty():
         stars = components(stars.unionByName(more))
