@@ -322,3 +322,54 @@ _ED = "SELECT n.c_mktsegment AS parent_state, c.c_mktsegment AS child_state FROM
 _add("anc_transitions", _ED, co.transitions, f"SELECT parent_state, child_state, COUNT(*) AS n FROM ({_ED}) q WHERE parent_state <> child_state GROUP BY 1, 2")
 _GEO = "SELECT a.c_custkey AS taxon, CAST(a.c_custkey * 37 % 180 - 90 AS DOUBLE) AS lat1, CAST(a.c_custkey * 53 % 360 - 180 AS DOUBLE) AS lon1, CAST(a.c_nationkey * 7 - 85 AS DOUBLE) AS lat2, CAST(a.c_nationkey * 14 - 170 AS DOUBLE) AS lon2 FROM customer a"
 _add("geo_great_circle", _GEO, lambda t: t.select("taxon", F.round(co.great_circle_km(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))), 4).alias("km")), f"SELECT taxon, ROUND(2 * 6371.0088 * ASIN(SQRT(LEAST(POWER(SIN((RADIANS(lat2) - RADIANS(lat1)) / 2), 2) + COS(RADIANS(lat1)) * COS(RADIANS(lat2)) * POWER(SIN((RADIANS(lon2) - RADIANS(lon1)) / 2), 2), 1.0))), 4) AS km FROM ({_GEO}) q")
+
+# Numeric work per alignment or tree: checked by tests, not by SQL
+
+from cladewise.plans import comparative as pc  # noqa: E402
+from cladewise.plans import joining, likelihood, parsimony, sampling  # noqa: E402
+from cladewise.sources import newick  # noqa: E402
+
+for _m in joining.METHODS:
+    _add(f"dist_tree_{_m}", fr.SITES, lambda s, m=_m: joining.trees(di.distances(s), m))
+_add("dist_merges", fr.SITES, lambda s: joining.merges(di.distances(s)))
+_add("dist_residuals", fr.SITES, lambda s: joining.residuals(di.distances(s)))
+_add("dist_bootstrap", fr.SITES, joining.bootstrap)
+
+
+def _trees(sites: DataFrame, method: str = "upgma") -> DataFrame:
+    return joining.trees(di.distances(sites), method).select(F.col("aln_id").alias("tree_id"), "newick")
+
+
+def _scored(sites: DataFrame) -> DataFrame:
+    own = joining.trees(di.distances(sites), "upgma").select("aln_id", "newick")
+    return likelihood.site_likelihoods(sites, own)
+
+
+_add("lik_models", fr.SITES, likelihood.fit_models)
+_add("lik_model_ranking", fr.SITES, lambda s: co.rank_models(likelihood.fit_models(s), ["aln_id"]))
+_add("lik_sites", fr.SITES, _scored)
+_PLN = lambda x: f"LN(GREATEST({x}, 1e-300))"
+_add("lik_two_taxa", fr.SITES, lambda s: likelihood.two_taxon_jc69(di.distances(s)), f"""{_COUNTS}, d AS ({_DIST('p')}) SELECT aln_id, "left", "right", ROUND(CASE WHEN distance < 1 THEN (1 - distance) * comparable_sites * LN(0.25 * GREATEST(1 - distance, 1e-300)) ELSE 0 END + CASE WHEN distance > 0 THEN distance * comparable_sites * LN(GREATEST(distance, 1e-300) / 12) ELSE 0 END, 6) AS lnl
+FROM d WHERE "left" < "right" AND comparable_sites > 0 AND distance < 0.75""")
+
+
+def _characters(sites: DataFrame) -> DataFrame:
+    states = sites.select(F.col("aln_id").alias("tree_id"), F.col("site").cast("string").alias("character"), "taxon", F.when(F.col("residue").isin("A", "G"), "1").otherwise("0").alias("state"))
+    return parsimony.scores(_trees(sites), states)
+
+
+_add("pars_scores", fr.SITES, _characters)
+_TRAITS_OF = "SELECT l_suppkey AS tree_id, concat(l_returnflag, l_linestatus) AS taxon, AVG(l_extendedprice) / 1000 AS value, AVG(l_quantity) AS quantity, AVG(l_discount) AS discount FROM lineitem GROUP BY l_suppkey, concat(l_returnflag, l_linestatus)"
+_add("pgls_fit", fr.SITES, lambda s, traits: pc.pgls(_trees(s), traits, "value", ["quantity", "discount"]), traits=_TRAITS_OF)
+_add("signal", fr.SITES, lambda s, traits: pc.signal(_trees(s), traits), traits=_TRAITS_OF)
+_add("pic_trees", fr.SITES, lambda s, traits: pc.independent_contrasts(_trees(s), traits), traits=_TRAITS_OF)
+_add("trait_modes", fr.SITES, lambda s, traits: co.rank_models(pc.modes(_trees(s), traits), ["tree_id"]), traits=_TRAITS_OF)
+_add("anc_continuous", fr.SITES, lambda s, traits: pc.reconstruct(_trees(s), traits), traits=_TRAITS_OF)
+_add("mk_fit", fr.SITES, lambda s, traits: pc.fit_mk(_trees(s), traits.withColumn("state", F.when(F.col("quantity") > 25.5, "high").otherwise("low"))), traits=_TRAITS_OF)
+_add("sim_traits", fr.SITES, lambda s: sampling.simulate_traits(_trees(s)))
+_add("sim_dna", fr.SITES, lambda s: sampling.simulate_dna(_trees(s)))
+_add("sim_histories", fr.SITES, lambda s: sampling.simulate_histories(_trees(s)))
+_add("sim_birth_death", "SELECT o_custkey AS tree_id, CAST(2 + COUNT(*) % 20 AS INT) AS tips FROM orders GROUP BY o_custkey", sampling.simulate_trees)
+_add("mcmc_chains", "SELECT user_id AS chain, value FROM events", lambda e: tr.summary(tr.discard_burnin(sampling.mean_chains(e), 0.25).select("chain", "iteration", "value")))
+_add("io_newick_nodes", fr.SITES, lambda s: newick.parse_trees(_trees(s)).select("tree_id", "node_id", "parent_id", "name", "is_tip", F.round("branch_length", 9).alias("branch_length"), "pre", "post", "level"))
+_add("io_newick_roundtrip", fr.SITES, lambda s: newick.dump_trees(newick.parse_trees(_trees(s))).join(_trees(s).select(F.col("tree_id").cast("string").alias("tree_id"), F.col("newick").alias("before")), "tree_id").select("tree_id", (F.col("before") == F.col("newick")).alias("same")))
