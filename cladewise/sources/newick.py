@@ -175,7 +175,7 @@ def parse_trees(trees: DataFrame) -> DataFrame:
                     rows += [{"tree_id": str(tree_id), "error": None, **r} for r in node_rows(parse(text or ""))]
                 except NewickError as error:
                     rows.append({"tree_id": str(tree_id), "error": str(error)})
-            yield pd.DataFrame(rows, columns=columns).astype({"node_id": "Int64", "parent_id": "Int64", "pre": "Int64", "post": "Int64", "level": "Int32", "is_tip": "boolean"})
+            yield pd.DataFrame(rows, columns=columns).astype({"node_id": "Int64", "parent_id": "Int64", "pre": "Int64", "post": "Int64", "level": "Int32", "is_tip": "boolean", "tree_id": object, "error": object, "name": object})
 
     return trees.select(F.col("tree_id").cast("string").alias("tree_id"), "newick").mapInPandas(run, NODE_SCHEMA)
 
