@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling (operator 9).
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS``; the target texts (a
-bounded sample of the documents labelled good, ``TARGET``) and all raw documents give one
+bounded sample of the documents labelled good, half of ``TARGET``) and all raw documents give one
 generative model each. A document's log importance weight is the sum of the log ratios
 of its n-grams. Weights grow with length, so they are read as odds on a scale that
-is fitted on the same bounded labelled sample: a logistic curve over the weight per n-gram,
-with ``PRIOR`` n-grams of no evidence added. ``k``, the expected number of good documents, is the sum of
+is fitted on the other half of the bounded labelled sample, the half that the target model has
+not seen: a logistic curve over the weight per n-gram, with ``PRIOR`` n-grams of no evidence
+added. ``k``, the expected number of good documents, is the sum of
 those probabilities over all documents, and Gumbel top-k draws ``k`` documents without
 replacement in proportion to their odds. The noise of a document is a hash of its id and
 text, so the draw is the same on each run and independent of partitions; the k-th
@@ -127,8 +128,9 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     docs = docs.drop("log_weight", "probability", "selected")
     sample = labelled_sample(labels, id_col, label_col, target)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    weights = fit_weights(plain, sample, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast((sample, weights))
+    half = (ts.mix(sample[0].view(np.uint64)) & np.uint64(1)).astype(bool)
+    weights = fit_weights(plain, (sample[0][half], sample[1][half]), buckets)
+    shared = docs.sparkSession.sparkContext.broadcast(((sample[0][~half], sample[1][~half]), weights))
 
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         total, size = [], []
