@@ -1,0 +1,344 @@
+"""Operators against plain versions on small inputs."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from llm import decontaminate, importance, licenses, mixing, pieces, quality_rules, repeats, superminhash, surrogates, textscan, toxicity
+
+from .conftest import prose
+
+SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB é\n", max_size=20), max_size=6))
+def test_words_and_shingles(texts):
+    for _, data, off in textscan.pieces(pa.array(texts, pa.string())):
+        w = textscan.Words(data, off)
+        want = [(i, x) for i, t in enumerate(texts) for x in re.findall(SPACE.encode(), lower(t).encode())]
+        assert w.row.tolist() == [i for i, _ in want]
+        assert [bytes(textscan.LOWER[data[a:b]]) for a, b in zip(w.start, w.stop, strict=True)] == [x for _, x in want]
+        by = {}
+        assert all(by.setdefault(x, h) == h for (_, x), h in zip(want, w.hash.tolist(), strict=True)) and len(set(by.values())) == len(by)
+        _, r = textscan.shingles(w)
+        n = [len(re.findall(SPACE, t)) for t in texts]
+        assert np.bincount(r, minlength=len(texts)).tolist() == [max(k - 4, 1) if k else 0 for k in n]
+
+
+def plain_removal(texts, length=100):
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                mask[p : p + length] = b"\1" * length
+            seen.add(w)
+        out.append(bytes(x for x, m in zip(b, mask, strict=True) if not m))
+    return out
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(7)
+    shared = [prose(60, 100 + i) for i in range(3)]
+    texts = [prose(20, 1) + "ab" * 150] + [prose(rng.randint(1, 40), i) + " " + rng.choice(shared)[rng.randint(0, 90) :] + prose(rng.randint(0, 30), i + 50) for i in range(40)]
+    texts += [texts[3], "é" * 120, "xé" * 120, None, ""]
+    got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
+
+
+def test_difference_cover():
+    for period in (8, 16, 32, 64):
+        cover = repeats.difference_cover(period)
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period)) and len(cover) <= 2 * period**0.5 + 3
+
+
+def shingle_set(t, lowered=True):
+    w = re.findall(SPACE, lower(t) if lowered else t)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def plain_components(texts, percent):
+    sets = [shingle_set(t or "") for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(text, k, seed):
+    w = text.split()
+    rng = random.Random(seed)
+    for _ in range(k):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("percent,bands,rows", [(85, 21, 6), (80, 25, 5)])
+def test_near_duplicates(spark, percent, bands, rows):
+    base = [prose(150, 900), prose(300, 901)]
+    texts = [edited(b, k, 31 * i + k) for i in range(12) for k in (0, 1, 2, 3, 4, 6) for b in base]
+    texts += [edited(texts[30], 1, 5), edited(texts[31], 1, 6), texts[4], "a b", "A b", "", None, "one two three four five six"]
+    random.Random(3).shuffle(texts)
+    got = {r.id: r.component for r in superminhash.near_duplicates(frame(spark, texts), percent=percent, bands=bands, rows=rows).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts, percent)
+
+
+def test_superminhash_is_what_its_definition_says():
+    """Registers by the sequential definition, one element and one swap at a time."""
+    m, hashes = 16, textscan.mix(np.arange(1, 8, dtype=np.uint64))
+    want = np.full(m, np.inf)
+    for x in hashes:
+        p = list(range(m))
+        for j in range(m):
+            u = float(textscan.mix(np.array([x + superminhash._step(2 * j + 1)], np.uint64))[0] >> np.uint64(11)) * 2.0**-53
+            k = j + int(textscan.mix(np.array([x + superminhash._step(2 * j + 2)], np.uint64))[0] >> np.uint64(32)) % (m - j)
+            p[j], p[k] = p[k], p[j]
+            want[p[j]] = min(want[p[j]], u + j)
+    assert np.array_equal(superminhash.signatures(hashes, np.zeros(7, np.int64), 1, m)[0], want)
+
+
+def test_superminhash_estimates_similarity():
+    a, b = textscan.mix(np.arange(0, 300, dtype=np.uint64)), textscan.mix(np.arange(60, 360, dtype=np.uint64))
+    s = superminhash.signatures(np.concatenate([a, b]), np.repeat([0, 1], 300), 2, 256)
+    assert (s[0] == s[1]).mean() == pytest.approx(240 / 360, abs=0.1)
+
+
+def test_decontaminate(spark):
+    items = [prose(n, 40 + n) for n in (6, 12, 25, 40)]
+    texts = [prose(50, 1), "X, " + items[2].upper() + "! " + prose(30, 2), prose(200, 3) + " " + items[3] + " " + prose(10, 4), edited(items[3], 1, 9), items[0], prose(9, 8) + "\n" + items[1]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+
+    def plain(t, item):
+        w, v = (re.findall(r"[0-9a-z\x80-\U0010ffff]+", x.lower()) for x in (t, item))
+        k = min(5, len(v))
+        bag = lambda x: collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+        n = min(len(v), len(w))
+        best = 0.0
+        for s in range(len(w) - n + 1):
+            a, b = bag(w[s : s + n]), bag(v)
+            best = max(best, sum((a & b).values()) / sum((a | b).values()))
+        return best
+
+    assert got == {i: {j for j, x in enumerate(items) if plain(t, x) >= 0.8} for i, t in enumerate(texts)}
+    assert got[1] == {2} and got[2] == {3} and got[4] == {0} and not got[0]
+
+
+def test_multi_index_finds_all_within_radius():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    queries = codes[rng.integers(0, 300, 500)].copy()
+    for i in range(500):
+        for b in rng.integers(0, 64, rng.integers(0, 24)):
+            queries[i] ^= np.uint64(1) << np.uint64(b)
+    got = set(zip(*(x.tolist() for x in decontaminate.MultiIndex(codes).near(queries)), strict=True))
+    want = {(i, j) for i in range(500) for j in range(300) if bin(int(queries[i]) ^ int(codes[j])).count("1") <= decontaminate.RADIUS}
+    assert got == want
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(2)
+    vectors = []
+    for _ in range(400):
+        f = np.unique(rng.integers(0, 50, rng.integers(0, 8)))
+        w = rng.random(len(f))
+        vectors.append((f, w / (np.linalg.norm(w) or 1)))
+    index = toxicity.BlockMaxIndex(vectors, np.arange(400), rng.integers(0, 2, 400), 50)
+    dense = np.zeros((400, 50))
+    for i, (f, w) in enumerate(vectors):
+        dense[i, f] = w
+    for i in range(60):
+        _, cosine = index.nearest(*vectors[i])
+        want = np.sort(dense @ dense[i])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(cosine, want[want > 0][: len(cosine)]) and len(cosine) == min(toxicity.NEIGHBOURS, int((want > 0).sum()))
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(4)
+    texts = [prose(60, i) + (" " + rng.choice(["zorgish", "zorgo", "zorged", "plimm"]) if i % 4 == 0 else "") for i in range(400)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id >= 200").collect()
+    assert sum((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in rows) >= 195
+
+
+def test_quality_figures(spark):
+    texts = [prose(60, 1) + "\n" + prose(9, 2) + "\n" + prose(9, 2) + "\n\n#$ * |", "a b c d e f g h " * 9, "  lead\x0btail \n", "One two\nOne two\n \nOne two"]
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for r in quality_rules.quality(frame(spark, texts), labels).collect():
+        t = texts[r.doc_id]
+        w = re.findall(SPACE, t)
+        grams = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {k for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if re.search(SPACE, x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_parts_good_from_bad(spark):
+    bad = lambda i: " ".join(f"{w}$$#" for w in prose(60, i).split())
+    texts = [bad(i) if i % 5 == 0 else prose(60, i) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(100)], "doc_id long, quality int")
+    docs = frame(spark, texts)
+    rules = {r.doc_id: r.kept for r in quality_rules.quality(docs, labels).collect()}
+    drawn = {r.doc_id: r.selected for r in importance.resample(docs, labels).collect()}
+    for got in (rules, drawn):
+        assert sum(got[i] == (i % 5 != 0) for i in range(200)) >= 194
+
+
+def test_kth_largest(spark):
+    values = [random.Random(i).randint(-(2**60), 2**60) for i in range(300)] + [5, 5, 5]
+    keys = spark.createDataFrame([(v,) for v in values], "key long")
+    for k in (1, 2, 150, 303):
+        assert importance._kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_surrogates(spark):
+    texts = [
+        "Call +1 (017) 555-7713 or +1 017 555 7713, mail Bob.Lee@Mail7.example.com bob.lee@mail7.example.com now",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and 4111 1111 1111 1111 or 4111111111111111',
+        "10.0.0.1 and 10.0.0.10, Mrs. Anna Berg, Mr. John Smith, г-н Иванов; version 2.0.",
+        "nothing here, 12 of 2024",
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(frame(spark, texts)).collect()}
+    assert got[3] == texts[3]
+    for i, t in enumerate(texts[:3]):
+        for secret in re.findall(surrogates.PATTERN.replace("}+", "}").replace(r"\p{Lu}", "[A-ZА-Я]").replace(r"\p{Ll}", "[a-zа-я]").replace("(?i:", "(?:"), t):
+            assert secret not in got[i]
+    digits = lambda x: re.sub(r"\D", "", x)
+    a, b = re.findall(r"\+1[ (\d)-]+\d", got[0])
+    assert digits(a) == digits(b) and a.startswith("+1 (")
+    x, y = re.findall(r"\S+@\S+", got[0])
+    assert x.lower() == y and x.endswith(".com") and x[0].isupper()
+    c, d = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", got[1])
+    assert digits(c) == digits(d) and sum(int(z) if k % 2 == 0 else sum(divmod(2 * int(z), 10)) for k, z in enumerate(reversed(digits(c)))) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{40}"', got[1])
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", got[2])
+    assert len(set(ips)) == 2 and all(0 <= int(z) <= 255 for ip in ips for z in ip.split("."))
+    assert re.search(r"Mrs\. [A-Z][a-z]*a [A-Z]", got[2]) and re.search(r"Mr\. [A-Z][a-z]*o [A-Z]", got[2]) and re.search(r"г-н [А-Я][а-я]+", got[2])
+
+
+def test_surrogate_collisions_are_drawn_again(spark, monkeypatch):
+    """With octets of few values replacements meet; they come out distinct all the same."""
+    texts = [f"{a}.0.0.{b}" for a in range(1, 30) for b in range(1, 30)]
+    narrow = surrogates.F.pmod
+
+    monkeypatch.setattr(surrogates.F, "pmod", lambda x, y: narrow(x, surrogates.F.lit(16)) if "254" in str(y) else narrow(x, y))
+    got = [r.text for r in surrogates.replace_personal_data(frame(spark, texts)).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+
+
+def test_licenses():
+    scan = lambda t: licenses.match_rules(licenses.sentence_ids(t))
+    mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and so on. The above copyright notice and this permission notice shall be included in all copies or parts. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+    assert [(h["license"], len(h["sentences"])) for h in scan(mit)] == [("MIT", 4)]
+    assert [h["license"] for h in scan("x y.\nLicensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.")] == ["Apache-2.0", "GPL-3.0"]
+    assert [h["license"] for h in scan("Licensed under CC BY-NC 4.0. Released under the MIT License.")] == ["CC-BY-NC", "MIT"]
+    assert [h["license"] for h in scan("// SPDX-License-Identifier: BSD-3-Clause")] == ["BSD-3-Clause"]
+    assert scan("we talk about a license here") == []
+    # out of order, the long rule does not hold; the sentences match on their own or not at all
+    assert "apache-copy" not in [s for h in scan("You may obtain a copy of the License at x\nLicensed under the Apache License, Version 2.0") for s in h["sentences"]]
+
+
+def test_base_scores_and_mixing(spark):
+    texts = [prose(300, i) + (" common phrase here" if i % 2 else "") for i in range(60)] + ["", "unseenword xyzzyq"]
+    docs = frame(spark, texts)
+    rows = {r.id: r for r in mixing.score(docs, train=~toxicity.held_out("doc_id", 5, 1), vocabulary=64).collect()}
+    tokens = [re.findall(SPACE, lower(t)) + ["\0"] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(x for i in train for x in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(tokens):
+        r = rows[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t))
+    held = [i for i in range(60) if i not in train]
+    assert sum(rows[i].score for i in held) > 1.2 * sum(rows[i].base_score for i in held)
+
+
+def test_mixing_is_a_probability():
+    """The probabilities of all symbols in a context sum to 1."""
+    rng = np.random.default_rng(3)
+    tree = mixing.Tree(*mixing.huffman(rng.integers(1, 100, 40)), (40, 256, 256))
+    tree.counts = [rng.integers(0, 50, (2, s)).astype(float) for s in tree.sizes]
+    tree.ready()
+    learner = mixing.Learner(tree)
+    tree.weights, tree.sums = learner.w + rng.normal(0, 0.1, learner.w.shape), rng.random((2, 6, mixing._SUMS)) * 100
+    for _ in range(5):
+        contexts = [np.zeros(40, np.int64), np.full(40, rng.integers(0, 99)), np.full(40, rng.integers(0, 99))]
+        assert (2.0 ** tree.log2(np.arange(40), contexts)).sum() == pytest.approx(1)
+
+
+def test_spelling_covers_each_word_once():
+    data = np.frombuffer(b"Ab cde", np.uint8)
+    symbols, contexts, word = mixing.spell(data, np.array([0, 3]), np.array([2, 6]))
+    assert symbols.tolist() == [97, 98, 256, 99, 100, 101, 256] and word.tolist() == [0, 0, 0, 1, 1, 1, 1]
+    assert len(contexts) == 3
+
+
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary")
+def test_pieces_are_those_of_the_library():
+    import sentencepiece
+
+    with open(pieces.MODEL, "rb") as f:
+        proto = f.read()
+    model, library = pieces.PieceModel(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    texts = [prose(80, 1), "", " ", "  two  spaces ", "a\nb\tc", "漢字🎉 né" * 20, "x" * 700, "thequickbrownfox" * 40, " " * 300, "▁x", "12,345.67 (a+b)=c"]
+    got = pieces.encode_texts(pa.array(texts), model)
+    assert got.to_pylist() == [library.encode(t) for t in texts]
+    assert pieces.decode_ids(got, model).to_pylist() == [t.replace("▁", " ") for t in texts]
+    for t in texts:
+        stream, out = pieces.StreamingEncoder(model), []
+        spaced = " " + t.replace("▁", " ") if t else ""
+        for i in range(0, len(spaced), 9):
+            out += stream.feed(spaced[i : i + 9].encode())
+            assert len(stream.window) <= 4 * model.longest + 40
+        assert out + stream.finish() == library.encode(t)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(max_size=60))
+def test_pieces_round_trip(text):
+    with open(pieces.MODEL, "rb") as f:
+        model = pieces._model(f.read(), False)
+    text = text.encode("utf-8", "ignore").decode().replace("▁", "_")
+    ids = pieces.encode_texts(pa.array([text]), model)
+    assert pieces.decode_ids(ids, model).to_pylist() == [text]
+
+
+def test_hashes_are_the_same_in_each_process():
+    assert hashlib.sha256(textscan._TABLE.tobytes()).hexdigest()[:8] == hashlib.sha256((np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)).tobytes()).hexdigest()[:8]
