@@ -373,3 +373,58 @@ _add("sim_birth_death", "SELECT o_custkey AS tree_id, CAST(2 + COUNT(*) % 20 AS
 _add("mcmc_chains", "SELECT user_id AS chain, value FROM events", lambda e: tr.summary(tr.discard_burnin(sampling.mean_chains(e), 0.25).select("chain", "iteration", "value")))
 _add("io_newick_nodes", fr.SITES, lambda s: newick.parse_trees(_trees(s)).select("tree_id", "node_id", "parent_id", "name", "is_tip", F.round("branch_length", 9).alias("branch_length"), "pre", "post", "level"))
 _add("io_newick_roundtrip", fr.SITES, lambda s: newick.dump_trees(newick.parse_trees(_trees(s))).join(_trees(s).select(F.col("tree_id").cast("string").alias("tree_id"), F.col("newick").alias("before")), "tree_id").select("tree_id", (F.col("before") == F.col("newick")).alias("same")))
+
+from cladewise.plans import reconcile, topology  # noqa: E402
+
+
+def _both(sites: DataFrame) -> DataFrame:
+    """(tree_id, a, b): the trees of two methods for each alignment."""
+    return _trees(sites, "nj").withColumnRenamed("newick", "a").join(_trees(sites, "upgma").withColumnRenamed("newick", "b"), "tree_id")
+
+
+def _each(columns: str, f: Callable[..., list[tuple]]) -> Callable[[DataFrame], DataFrame]:
+    """Rows of ``f(tree_id, a, b)`` for each alignment's two trees."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for i, a, b in zip(batch["tree_id"], batch["a"], batch["b"], strict=True) for r in f(i, newick.parse(a), newick.parse(b))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return lambda sites: _both(sites).select("tree_id", "a", "b").mapInPandas(run, columns)
+
+
+def _compare(i, a, b):
+    c = topology.compare(topology.reroot_at_midpoint(a), b)
+    return [(i, c["shared_tips"], c["distance"], round(c["normalised"], 9), None if c["branch_score"] is None else round(c["branch_score"], 9))]
+
+
+def _consensus(i, a, b):
+    counts: dict[str, int] = {}
+    for t in (topology.reroot_at_midpoint(a), b):
+        for c in joining.clades(t):
+            counts[c] = counts.get(c, 0) + 1
+    tree_, blocked = topology.extended_consensus(sorted(topology.tips(b)), counts, 2)
+    return [(i, newick.dump(tree_), len(blocked))]
+
+
+def _reconciled(i, a, b):
+    gene, species = topology.reroot_at_midpoint(a), b
+    d, losses = reconcile.duplications_losses(gene, species)
+    return [(i, reconcile.deep_coalescences(gene, species), d, losses, reconcile.transfer_cost(gene, species))]
+
+
+_add("cmp_trees", fr.SITES, _each("tree_id long, shared_tips int, distance int, normalised double, branch_score double", _compare))
+_add("cmp_quartets", fr.SITES, _each("tree_id long, agreeing int, conflicting int, unresolved int", lambda i, a, b: [(i, *topology.quartet_agreement(topology.reroot_at_midpoint(a), b))]))
+_add("cmp_agreement_subtree", fr.SITES, _each("tree_id long, tips int, members string", lambda i, a, b: [(i, len(m := topology.agreement_subtree([topology.reroot_at_midpoint(a), b])), "|".join(m))]))
+_add("set_extended_consensus", fr.SITES, _each("tree_id long, newick string, blocked int", _consensus))
+_add("reconcile", fr.SITES, _each("tree_id long, deep_coalescences int, duplications int, losses int, transfer_cost double", _reconciled))
+_add("bayes_priors", fr.SITES, _each("tree_id long, yule double, coalescent double, lengths double, topology double", lambda i, a, b: [(i, round(reconcile.yule_log_prior(b, 1.0), 6), round(reconcile.coalescent_log_prior(b, 1.0), 6), round(reconcile.branch_length_log_prior(b, "exponential", 10.0), 6), round(reconcile.topology_log_prior(len(topology.tips(b))), 6))]))
+_add("tree_neighborhoods", fr.SITES, lambda s: topology.neighborhoods(_trees(s)))
+_add("tree_midpoint", fr.SITES, lambda s: topology.transformed(_trees(s, "nj"), topology.reroot_at_midpoint))
+_add("tree_unroot", fr.SITES, lambda s: topology.transformed(_trees(s), topology.unroot))
+_add("tree_ladderize", fr.SITES, lambda s: topology.transformed(_trees(s), topology.ladderize))
+_add("tree_collapse", fr.SITES, lambda s: topology.transformed(_trees(s), lambda t: topology.collapse_short(t, 0.02)))
+_add("tree_outgroup", fr.SITES, lambda s: topology.transformed(_trees(s, "nj"), lambda t: topology.reroot_on_outgroup(t, [min(topology.tips(t))])))
