@@ -30,4 +30,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+#: The others rest on hashes, fitted models, keyed digests or token tables; tests hold them against plain versions.
+SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, UNNEST(generate_series(0, length(h) // 2 - 100)) AS i FROM d) q),
+f AS (SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i > COALESCE(LAG(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100 THEN 1 ELSE 0 END AS new FROM f WHERE later),
+s AS (SELECT doc_id, run, MIN(i) AS a, MAX(i) + 100 AS b FROM (SELECT *, SUM(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) q GROUP BY 1, 2),
+p AS (SELECT s.*, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, SUM(b - a) AS removed, COUNT(*) AS spans, MAX(b) AS last, STRING_AGG(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(COALESCE(removed, 0) AS BIGINT) AS n_removed, COALESCE(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op6_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, UNNEST(generate_series(1, CASE WHEN len(w) >= 5 THEN len(w) - 4 ELSE LEAST(len(w), 1) END)) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END, ' ') AS sh FROM i),
+n AS (SELECT d.doc_id, COUNT(s.sh) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT n.doc_id, n.n AS n_shingles, MIN(r.seen) AS component_id, MIN(r.seen) = n.doc_id AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2""",
+}
