@@ -293,7 +293,7 @@ def test_base_scores_and_mixing(spark):
 def test_mixing_is_a_probability():
     """The probabilities of all symbols in a context sum to 1."""
     rng = np.random.default_rng(3)
-    tree = mixing.Tree(*mixing.huffman(rng.integers(1, 100, 40)), (40, 256, 256))
+    tree = mixing.Tree(*mixing.huffman(rng.integers(1, 100, 40)), (40, 256, 256))  # one exact predictor, two hashed
     tree.counts = [rng.integers(0, 50, (2, s)).astype(float) for s in tree.sizes]
     tree.ready()
     learner = mixing.Learner(tree)
@@ -305,9 +305,9 @@ def test_mixing_is_a_probability():
 
 def test_spelling_covers_each_word_once():
     data = np.frombuffer(b"Ab cde", np.uint8)
-    symbols, contexts, word = mixing.spell(data, np.array([0, 3]), np.array([2, 6]))
+    symbols, contexts, word = mixing.spell(data, np.array([0, 3]), np.array([2, 6]), np.array([0, 30]))
     assert symbols.tolist() == [97, 98, 256, 99, 100, 101, 256] and word.tolist() == [0, 0, 0, 1, 1, 1, 1]
-    assert len(contexts) == 3
+    assert len(contexts) == 4
 
 
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary")
