@@ -428,3 +428,16 @@ _add("tree_unroot", fr.SITES, lambda s: topology.transformed(_trees(s), topology
 _add("tree_ladderize", fr.SITES, lambda s: topology.transformed(_trees(s), topology.ladderize))
 _add("tree_collapse", fr.SITES, lambda s: topology.transformed(_trees(s), lambda t: topology.collapse_short(t, 0.02)))
 _add("tree_outgroup", fr.SITES, lambda s: topology.transformed(_trees(s, "nj"), lambda t: topology.reroot_on_outgroup(t, [min(topology.tips(t))])))
+
+from cladewise.plans import discrete, leastsquares  # noqa: E402
+
+_BANDS = "SELECT l_suppkey AS tree_id, concat(l_returnflag, l_linestatus) AS taxon, CASE WHEN AVG(l_quantity) < 25 THEN 'low' WHEN AVG(l_quantity) < 26 THEN 'middle' ELSE 'high' END AS state FROM lineitem GROUP BY l_suppkey, concat(l_returnflag, l_linestatus)"
+_BINARY = "SELECT l_suppkey AS tree_id, concat(l_returnflag, l_linestatus) AS taxon, CASE WHEN AVG(l_quantity) < 25.5 THEN 0 ELSE 1 END AS x, CASE WHEN AVG(l_discount) < 0.05 THEN 0 ELSE 1 END AS y FROM lineitem GROUP BY l_suppkey, concat(l_returnflag, l_linestatus)"
+_add("mk_models", fr.SITES, lambda s, states: co.rank_models(discrete.model_fits(_trees(s), states), ["tree_id"]), states=_BANDS)
+_add("anc_discrete", fr.SITES, lambda s, states: discrete.ancestral(_trees(s), states), states=_BANDS)
+_add("anc_discrete_certainty", fr.SITES, lambda s, states: discrete.state_transitions(discrete.ancestral(_trees(s), states)), states=_BANDS)
+_add("stochastic_maps", fr.SITES, lambda s, states: discrete.maps(_trees(s), states), states=_BANDS)
+_add("correlated_traits", fr.SITES, lambda s, traits: discrete.correlated(_trees(s), traits), traits=_BINARY)
+_add("dist_least_squares", fr.SITES, lambda s: leastsquares.fits(di.distances(s)))
+_add("dist_bme_search", fr.SITES, lambda s: leastsquares.search(di.distances(s)))
+_add("dist_influence", fr.SITES, lambda s: leastsquares.influence(di.distances(s)))
