@@ -1,7 +1,8 @@
 """Surrogates for personal data (operator 5), in DataFrame functions only.
 
-Detected: e-mail addresses, IPv4 addresses, telephone numbers, card and account numbers,
-values given as password, token, secret or key, and names after a form of address. Every
+Detected: e-mail addresses, IPv4 addresses, telephone, social security, card and account
+numbers, values given as password, token, secret or key, access keys with a known prefix,
+and names after a form of address. Every
 entity gets a replacement drawn from a keyed hash of its type and normal form, so the same
 entity gets the same one everywhere (whatever its case or punctuation), and the format
 stays: digits for digits, letters for letters in the same case and script, hex for hex,
@@ -32,8 +33,10 @@ PATTERN = "|".join(
     (
         r"(?<![\w.%+@-])[\w.%+-]{1,64}+@[\w-]{1,63}+(?:\.[\w-]{1,63}+)+",
         r"(?<![\w-])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=~-]{6,}+",
+        r"(?<![\w])(?:A[KS]IA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?!\w)",
         r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
         r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
+        r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)",
         r"(?<![\w+])\+\d{8,15}(?!\w)",
         rf"(?<!\w)(?:{_HONORIFIC})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
@@ -49,6 +52,8 @@ def entity_type(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email")
         .when(e.rlike(r"(?i)^(password|passwd|secret|token|api)"), "secret")
+        .when(e.rlike(r"^(A[KS]IA|gh[opsu]_|sk-)"), "key")
+        .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(e.rlike(r"^\d([ -]?\d){12,18}$"), "card")
         .when(e.rlike(r"^[+(\d]"), "phone")
@@ -60,6 +65,7 @@ def _fixed(kind: Column, e: Column) -> Column:
     """What stays at the front: a keyword, a country code, a form of address."""
     return (
         F.when(kind == "secret", F.regexp_extract(e, r"(?i)^([a-z_-]+\s*[=:]\s*[\"']?)", 1))
+        .when(kind == "key", F.regexp_extract(e, r"^(A[KS]IA|gh[opsu]_|sk-)", 1))
         .when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3})(?=[ .(-])", 1))
         .when(kind == "name", F.regexp_extract(e, rf"^((?:{_HONORIFIC})\.? )", 1))
         .otherwise("")
@@ -79,7 +85,7 @@ def with_parts(rows: DataFrame) -> DataFrame:
     gender = F.when(F.col("kind") == "name", F.when(F.rtrim(F.regexp_replace("fixed", r"\.", "")).isin(*_HONORIFICS_F), "f").otherwise("m")).otherwise("")
     plain = F.lower(F.regexp_replace("body", r"[^\p{L}\p{N}]", ""))
     # hyphens and dots tell e-mail addresses, values and IP addresses apart, spacing does not tell numbers apart
-    exact = F.col("kind").isin("email", "ip", "secret")
+    exact = F.col("kind").isin("email", "ip", "secret", "key")
     norm = F.when(exact, F.lower("body")).otherwise(plain)
     return rows.withColumn("norm", F.concat_ws("|", gender, F.when(F.col("kind") == "phone", F.col("fixed")).otherwise(""), norm, F.lower("ending")))
 
