@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from llm import textscan as ts
+from llm.keys import small_batches
 
 SIZE = 5
 BLOCKS = 6
@@ -187,6 +188,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``out_col``: for each item that a document holds, (item_id, similarity, word, words) of its best window."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
     out = docs.withColumn(out_col, F.lit(None).cast(ArrayType(Hit)))

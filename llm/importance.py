@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
-from llm.keys import checkpoint
+from llm.keys import checkpoint, small_batches
 
 BUCKETS = 10_000
 TARGET = 20_000
@@ -125,6 +125,7 @@ def _kth_largest(keys: DataFrame, k: int) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0, buckets: int = BUCKETS, target: int = TARGET) -> DataFrame:
     """``docs`` with log_weight (of the whole text), probability (of being good) and selected."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("log_weight", "probability", "selected")
     sample = labelled_sample(labels, id_col, label_col, target)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_KEY = -(2**63)
+#: Rows that go to a Python worker at a time; with texts of some kilobytes Spark's usual number takes tens of megabytes.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches, unless the session has its own bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def add_key(docs: DataFrame, id_col: str, text_col: str, key_col: str = "key") -> tuple[DataFrame, bool]:
@@ -15,6 +24,7 @@ def add_key(docs: DataFrame, id_col: str, text_col: str, key_col: str = "key") -
     are unique; where some repeat, different texts under one id get neighbouring keys in
     the order of a text hash, and equal texts under one id share a key.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(key_col)
     plain = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
     twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.keys import small_batches
+
 GAP = 3
 #: Sentence identifier: pattern over the normalised sentence. Public licence notices.
 SENTENCES: dict[str, str] = {
@@ -147,6 +149,7 @@ def match_rules(found: list[tuple[int, str, int, int, str]]) -> list[dict]:
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """``docs`` with the licences of each whole text: (license, sentences, start, stop), in characters."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
     arrow = pa.list_(pa.struct([("license", pa.string()), ("sentences", pa.list_(pa.string())), ("start", pa.int64()), ("stop", pa.int64())]))

@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
+from llm.keys import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches longer than this are encoded one by one, in a window.
 LONG = 200
 #: Stretches that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 _START, _NONE, _UNKNOWN = -3, -2, -1
 _SPACE = "▁"
 _CACHE = 1 << 20
@@ -433,6 +434,7 @@ def decode_ids(lists: pa.ListArray, model: PieceModel) -> pa.Array:
 
 def _mapped(docs: DataFrame, column: str, out: dict[str, str], model_path: str, unigram: bool, f) -> DataFrame:
     """``docs`` with the columns ``out`` (name: type) that ``f`` makes of ``column``."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*out)
     at = docs.columns.index(column)
     with open(model_path, "rb") as file:  # the driver reads the vocabulary and sends it along

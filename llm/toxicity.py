@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
-from llm.keys import checkpoint
+from llm.keys import checkpoint, small_batches
 
 FEATURES = 4096
 EXAMPLES = 4000
@@ -230,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with score and evidence, the nearest examples as (id, label, cosine)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "evidence")
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
