@@ -37,8 +37,8 @@ from llm.keys import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches longer than this are encoded one by one, in a window.
 LONG = 200
-#: Stretches that a worker remembers before it starts anew.
-REMEMBERED = 60_000
+#: Stretches that a worker remembers: in two halves, the older of which goes when the newer is full.
+REMEMBERED = 160_000
 _START, _NONE, _UNKNOWN = -3, -2, -1
 _SPACE = "▁"
 _CACHE = 1 << 20
@@ -113,8 +113,9 @@ class PieceModel:
                 left, right = self.id_of.get(piece[:k]), self.id_of.get(piece[k:])
                 if left is not None and right is not None:
                     merges[left << 20 | right] = i
-        self.pieces = _Table(np.array([_hash(p) for p in self.id_of], np.uint64), np.array(list(self.id_of.values())))
-        self.prefixes = _Table(np.array([_hash(p) for p in prefixes], np.uint64), np.ones(len(prefixes), np.int64))
+        # for each piece and beginning of a piece: twice the id + 1 (0 for none), and whether it goes on
+        spans = {p: 2 * (self.id_of.get(p, -1) + 1) + (p in prefixes) for p in prefixes | set(self.id_of)}
+        self.spans = _Table(np.array([_hash(p) for p in spans], np.uint64), np.array(list(spans.values())))
         self.merges = _Table(ts.mix(np.array(list(merges), np.uint64)), np.array(list(merges.values())))
         width = max(len(p.decode()) for p in self.id_of)
         self.chars = np.full((model.get_piece_size(), width), -1, np.int32)
@@ -125,6 +126,7 @@ class PieceModel:
         self._pairs = np.full(_CACHE, -1, np.int64)
         self._fits = np.zeros(_CACHE, bool)
         self.known: dict[int, tuple[int, ...]] = {}
+        self.older: dict[int, tuple[int, ...]] = {}
         self.out_len = np.array([len(b) for b in self.out_bytes], np.int64)
         self.out_off = np.concatenate([[0], np.cumsum(self.out_len)])
         self.out_data = np.frombuffer(b"".join(self.out_bytes), np.uint8)
@@ -212,11 +214,12 @@ class PieceModel:
             if not len(alive):
                 break
             h = ts.span_hashes(sums, alive, alive + length) ^ _span_mix(length)
-            found = self.pieces.get(h)
-            hit = found >= 0
+            span = self.spans.get(h)
+            found = (span >> 1) - 1
+            hit = (span >= 0) & (found >= 0)
             arcs.append((alive[hit], np.full(hit.sum(), length), found[hit]))
             single[alive[hit]] = np.where(single[alive[hit]] < 0, length, single[alive[hit]])
-            alive = alive[self.prefixes.get(h) >= 0]
+            alive = alive[(span >= 0) & (span & 1 > 0)]
         bare = single[begins] != char_len
         arcs.append((begins[bare], char_len[bare], np.full(bare.sum(), _UNKNOWN)))
         start, length, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
@@ -277,10 +280,15 @@ class PieceModel:
         sums = ts.prefix_hashes(data)
         h = ts.span_hashes(sums, start, stop) ^ ts.mix((stop - start).astype(np.uint64))
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         keys = distinct.tolist()
-        got = [self.known.get(k) for k in keys]
+        known, older, got = self.known, self.older, []
+        for k in keys:
+            ids = known.get(k)
+            if ids is None and (ids := older.get(k)) is not None:
+                known[k] = ids
+            got.append(ids)
         missing = [i for i, x in enumerate(got) if x is None]
         size = stop - start
         short = np.array([i for i in missing if size[first[i]] <= LONG], np.int64)
