@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cladewise.frames import TABLES
@@ -18,7 +19,7 @@ def _rows(frame) -> list[tuple]:
     names = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         if hasattr(v, "item"):
             v = v.item()
