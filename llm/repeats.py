@@ -106,7 +106,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From segments sorted by (bucket, whole, key, place): (key, place, bucket, open).
 
     open 0: all windows of the segment are repeats; 1: its bucket has other segments, 2: many.
-    A bucket is held back until it ends or has more than HOT rows.
+    A bucket is held back until it ends or has more than HOT rows; then all its segments
+    are open, as others may follow.
     """
     held = np.zeros((0, 4), np.int64)
     hot, seen = None, None  # the bucket that has been flushed as hot, and its last segment
@@ -117,7 +118,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.where(known, -rows[:, 3] - 1, rows[:, 3])
         return pa.record_batch([pa.array(rows[:, 2]), pa.array(place), pa.array(rows[:, 0]), pa.array(np.where(repeat | known, 0, kind).astype(np.int32))], names=["key", "place", "bucket", "open"])
 
-    def judge(rows: np.ndarray) -> pa.RecordBatch:
+    def judge(rows: np.ndarray, early: bool = False) -> pa.RecordBatch:
         known = rows[:, 3] < 0
         same = np.zeros(len(rows), bool)
         same[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
@@ -131,6 +132,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.where(kinds > 1, np.where(size > HOT, 2, 1), 0)
         if hot is not None:
             kind = np.where(rows[:, 0] == hot, 2, kind)
+        if early:  # the last bucket goes on
+            kind = np.where(rows[:, 0] == rows[-1, 0], 2, kind)
         return out(rows, same & ~known, kind, known)
 
     for batch in batches:
@@ -142,7 +145,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = len(rows) - tail > HOT or rows[-1, 0] == hot
         done = rows if flush else rows[:tail]
         if len(done):
-            yield judge(done)
+            yield judge(done, flush)
         held = rows[:0] if flush else rows[tail:].copy()
         if flush:
             hot, seen = rows[-1, 0], rows[-1, 1]

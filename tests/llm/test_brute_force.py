@@ -71,6 +71,30 @@ def test_repeats(spark, monkeypatch, hot):
     assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
 
 
+def test_repeats_of_a_bucket_over_many_batches(spark):
+    """A popular segment fills its bucket's first batches; near copies of it come in later ones."""
+    rng = random.Random(8)
+    line = prose(60, 9)
+    near = [line[:p] + "#" + line[p + 1 :] for p in rng.sample(range(len(line)), 12)]
+    texts = near[:6] + [line] * 530 + near[6:]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
+
+
+def test_repeats_keep_the_first_row_of_an_early_bucket_open():
+    names = ["bucket", "whole", "key", "place"]
+    rows = [(7, 1, k, 0) for k in range(600)] + [(7, 2, 600, 0)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 50], strict=True)], names=names) for i in range(0, len(rows), 50)]
+    got = {k: o for b in repeats._settle(iter(batches)) for k, o in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)}
+    assert got == {0: 2, 600: 2} | {k: 0 for k in range(1, 600)}
+
+
 def test_difference_cover():
     for period in (8, 16, 32, 64):
         cover = repeats.difference_cover(period)
