@@ -2,7 +2,7 @@
 
 Texts become TF-IDF vectors over words and word beginnings (so inflected forms share a
 feature); the vocabulary is the ``FEATURES`` features that tell the labels apart best by
-the log-likelihood ratio test. The examples are a bounded sample of the labelled rows,
+the log-likelihood ratio test, with document frequencies over all documents. The examples are a bounded sample of the labelled rows,
 ``EXAMPLES`` of either label, the first by hash of their id. They are kept in an inverted
 index with a block maximum per feature and block of ``BLOCK`` examples. A query visits the
 blocks by falling upper bound of the cosine and stops at the first that cannot beat its
@@ -36,8 +36,9 @@ EXAMPLES = 4000
 NEIGHBOURS = 16
 BLOCK = 64
 BEGINNINGS = (4, 5, 6)
-#: Features need this test value and ratio of shares.
-LEAST_TEST, LEAST_RATIO = 15.0, 3.0
+#: Features need this ratio of shares and number of examples, and one of these test values, the one with the least leave-one-out error.
+LEAST_RATIO, LEAST_COUNT = 3.0, 2
+LEAST_TESTS = (15.0, 8.0, 4.0)
 _BITS = 20
 
 
@@ -62,18 +63,22 @@ class Vectors:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[self.vocabulary & np.uint64((1 << _BITS) - 1)] = True
 
+    def counts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row * number of features + feature, count) of the features in a piece."""
+        found = []
+        for h, row in features(data, off):
+            maybe = np.flatnonzero(self.bits[h & np.uint64((1 << _BITS) - 1)])
+            at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), max(len(self.vocabulary) - 1, 0))
+            ok = self.vocabulary[at] == h[maybe] if len(self.vocabulary) else np.zeros(0, bool)
+            found.append(row[maybe[ok]] * len(self.idf) + at[ok] if len(self.vocabulary) else np.zeros(0, np.int64))
+        return np.unique(np.concatenate(found), return_counts=True)
+
     def of(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(features, unit weights) of each text."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for _, data, off in ts.pieces(texts):
             n = len(off) - 1
-            found = []
-            for h, row in features(data, off):
-                maybe = np.flatnonzero(self.bits[h & np.uint64((1 << _BITS) - 1)])
-                at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), max(len(self.vocabulary) - 1, 0))
-                ok = self.vocabulary[at] == h[maybe] if len(self.vocabulary) else np.zeros(0, bool)
-                found.append(row[maybe[ok]] * len(self.idf) + at[ok] if len(self.vocabulary) else np.zeros(0, np.int64))
-            key, tf = np.unique(np.concatenate(found), return_counts=True)
+            key, tf = self.counts(data, off)
             row, feature = (key // len(self.idf), key % len(self.idf)) if len(self.idf) else (key, key)
             weight = (1 + np.log(tf)) * self.idf[feature] if len(self.idf) else np.zeros(0)
             norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
@@ -167,6 +172,27 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(label[row + r])], names=["term", "label"])
 
 
+def document_frequencies(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]:
+    """(number of texts, texts with each feature) over the column ``text`` of all of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, size = shared.value, len(shared.value.vocabulary)
+        seen = np.zeros(size + 1, np.int64)  # the last one is the number of texts
+        for batch in batches:
+            for _, data, off in ts.pieces(batch.column(0)):
+                seen[:size] += np.bincount(vectors.counts(data, off)[0] % max(1, size), minlength=size)[:size]
+            seen[size] += batch.num_rows
+        some = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(some), pa.array(seen[some])], names=["feature", "n"])
+
+    out = np.zeros(len(vectors.vocabulary) + 1, np.int64)
+    # one row for each feature
+    for r in docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        out[r.feature] = r.n
+    return int(out[-1]), out[:-1]
+
+
 class Model:
     def __init__(self, vectors: Vectors, index: BlockMaxIndex, steps: tuple[np.ndarray, np.ndarray]) -> None:
         self.vectors, self.index, self.steps = vectors, index, steps
@@ -176,6 +202,32 @@ class Model:
         return float(y[max(0, int(np.searchsorted(x, vote, "right")) - 1)])
 
 
+def _left_out(picked: DataFrame, vectors: Vectors) -> tuple[BlockMaxIndex, np.ndarray, np.ndarray]:
+    """The index of all examples, and each example's leave-one-out vote and label."""
+    spark = picked.sparkSession
+    first = spark.sparkContext.broadcast(vectors)
+
+    def vectorise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = first.value.of(batch.column(1))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f for f, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["id", "label", "f", "w"])
+
+    # bounded by the number of examples
+    rows = sorted(picked.mapInArrow(vectorise, "id long, label long, f array<long>, w array<double>").collect())
+    sparse = [(np.array(r.f, np.int64), np.array(r.w)) for r in rows]
+    index = BlockMaxIndex(sparse, np.array([r.id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), len(vectors.idf))
+    shared = spark.sparkContext.broadcast((vectors, index))
+
+    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, index = shared.value
+        for batch in batches:
+            votes = [index.vote(*index.nearest(*v, leave=i)) for v, i in zip(vectors.of(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "label"])
+
+    votes = np.array([tuple(r) for r in picked.mapInArrow(left_out, "vote double, label long").collect()])
+    return index, votes[:, 0], votes[:, 1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Fits on a sample of ``labels``: at most ``examples`` rows of each label."""
     known = (
@@ -201,31 +253,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     e = (F.col("a") + F.col("b")) / (n0 + n1)
     test = 2 * (part(F.col("a"), n1, e) + part(F.col("b"), n0, e) + part(n1 - F.col("a"), n1, 1 - e + 1e-12) + part(n0 - F.col("b"), n0, 1 - e + 1e-12))
     ratio = F.abs(F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0))
-    top = terms.where((F.col("a") + F.col("b")) >= 3).withColumn("test", test).where((F.col("test") >= LEAST_TEST) & (ratio >= float(np.log(LEAST_RATIO)))).orderBy(F.desc("test"), "term").limit(FEATURES).collect()
-    vectors = Vectors(np.array([r.term for r in top], np.int64).view(np.uint64), np.array([np.log((n0 + n1) / (r.a + r.b)) + 1 for r in top]))
-    spark = docs.sparkSession
-    first = spark.sparkContext.broadcast(vectors)
-
-    def vectorise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = first.value.of(batch.column(1))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f for f, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["id", "label", "f", "w"])
-
-    # bounded by the number of examples
-    rows = sorted(picked.mapInArrow(vectorise, "id long, label long, f array<long>, w array<double>").collect())
-    sparse = [(np.array(r.f, np.int64), np.array(r.w)) for r in rows]
-    index = BlockMaxIndex(sparse, np.array([r.id for r in rows], np.int64), np.array([r.label for r in rows], np.int64), len(top))
-    shared = spark.sparkContext.broadcast((vectors, index))
-
-    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, index = shared.value
-        for batch in batches:
-            votes = [index.vote(*index.nearest(*v, leave=i)) for v, i in zip(vectors.of(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "label"])
-
-    votes = np.array([tuple(r) for r in picked.mapInArrow(left_out, "vote double, label long").collect()])
-    weight = np.where(votes[:, 1] == 1, shares[1] / n1, shares[0] / n0)
-    return Model(vectors, index, isotonic(votes[:, 0], votes[:, 1], weight))
+    top = terms.where((F.col("a") + F.col("b")) >= LEAST_COUNT).withColumn("test", test).where((F.col("test") >= min(LEAST_TESTS)) & (ratio >= float(np.log(LEAST_RATIO)))).orderBy(F.desc("test"), "term").limit(FEATURES).collect()
+    terms_only = Vectors(np.array([r.term for r in top], np.int64).view(np.uint64), np.ones(len(top)))
+    n, df = document_frequencies(docs.select(F.col(text_col).alias("text")), terms_only)
+    idf = np.log(max(1, n) / np.maximum(df, 1)) + 1
+    test_of = {r.term: r.test for r in top}
+    test = np.array([test_of[h] for h in terms_only.vocabulary.view(np.int64).tolist()])
+    best: tuple[float, Model] | None = None
+    for least in LEAST_TESTS:
+        vectors = Vectors(terms_only.vocabulary[test >= least], idf[test >= least])
+        index, vote, label = _left_out(picked, vectors)
+        weight = np.where(label == 1, shares[1] / n1, shares[0] / n0)
+        model = Model(vectors, index, isotonic(vote, label, weight))
+        error = float((weight * (np.array([model.score(v) for v in vote]) - label) ** 2).sum())
+        if best is None or error < best[0] - 1e-9:
+            best = error, model
+    return best[1]
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

@@ -221,6 +221,28 @@ def test_toxicity_held_out(spark):
     assert sum((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in rows) >= 195
 
 
+def test_toxicity_of_rare_insults(spark):
+    """Each insult is in two labelled texts only."""
+    insult = lambda i: f"q{chr(97 + i % 25)}zok"
+    texts = [prose(60, 0) + (" " + insult(i // 4) if i % 4 == 0 else "") for i in range(400)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id >= 200").collect()
+    assert sum(r.score >= 0.3 for r in rows if r.doc_id % 4 == 0) >= 45
+    assert sum(r.score >= 0.3 for r in rows if r.doc_id % 4) <= 15
+
+
+def test_toxicity_weighs_by_all_documents(spark):
+    """Frequencies come from every document, not from the labelled ones."""
+    texts = ["zorgish alpha"] * 10 + ["alpha beta"] * 10 + ["zorgish"] * 60 + [None, ""]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, toxic int")
+    vectors = toxicity.fit(docs, labels).vectors
+    word = next(toxicity.features(*next(textscan.pieces(pa.array(["zorgish"])))[1:]))[0][0]
+    got = vectors.idf[np.searchsorted(vectors.vocabulary, word)]
+    assert got == pytest.approx(math.log(len(texts) / 70) + 1)
+
+
 def test_quality_figures(spark):
     texts = [prose(60, 1) + "\n" + prose(9, 2) + "\n" + prose(9, 2) + "\n\n#$ * |", "a b c d e f g h " * 9, "  lead\x0btail \n", "One two\nOne two\n \nOne two"]
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
