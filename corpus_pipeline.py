@@ -20,10 +20,14 @@ from llm.superminhash import near_duplicates
 from llm.surrogates import replace_personal_data
 
 
+#: Documents with a smaller fitted probability of being good are dropped.
+LEAST_PROBABILITY = 0.5
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that importance resampling draws."""
+    """Keeps the documents that are at least as likely good as bad; the draw of operator 9 plays no part."""
     found = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.where("selected").select(*docs.columns)
+    return found.where(F.col("probability") >= LEAST_PROBABILITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

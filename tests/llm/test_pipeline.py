@@ -28,6 +28,17 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == left
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_quality_stage_keeps_by_probability_alone(spark):
+    import corpus_pipeline
+    from llm.importance import resample
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = {r.doc_id: r.probability for r in resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()}
+    assert kept == {i for i, x in p.items() if x >= 0.5}
+
+
 def test_all_queries_are_registered():
     import __spark_entry__
 
