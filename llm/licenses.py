@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (operator 7).
 
-Texts are cut into sentences at line ends, full stops before a space, semicolons and bars;
-a sentence is normalised to its lower-case words. Known licence sentences have an
+Texts are cut into sentences at blank lines, full stops before a space, semicolons and bars;
+a notice may be wrapped over lines of its sentence, with comment marks, or stand on some lines of it;
+it is normalised to its lower-case words. Known licence sentences have an
 identifier each; a text becomes the sequence of the identifiers of its known sentences, in
 order, and the licence rules are matched against that sequence: a rule is an ordered list
 of identifiers, which must occur in that order with at most ``GAP`` unknown sentences between
@@ -27,7 +28,7 @@ from llm.keys import small_batches
 GAP = 3
 #: Sentence identifier: pattern over the normalised sentence. Public licence notices.
 SENTENCES: dict[str, str] = {
-    "apache-notice": r"licensed under the apache license,? version 2(?:\.0)?",
+    "apache-notice": r"licensed under the apache license,? version 2(?:\.0)?(?: \(the license\))?",
     "apache-condition": r"you may not use this file except in compliance with the license",
     "apache-copy": r"you may obtain a copy of the license at(?: .*)?",
     "apache-warranty": r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*",
@@ -90,10 +91,15 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("SPDX", ("spdx",)),
 )
 #: Every known sentence has one of these, in some case.
-MARKS = r"(?i)licen[sc]e|permission|redistribut|warranty|public domain"
+MARKS = r"(?i)licen[sc]e|permission|redistribut|warranty|public\W+domain|cc0|endorse"
+#: Lines in which a notice must be found: no pattern has so many words before its open end, but for bsd-names.
+_LINES = 32
+_LATER = re.compile(r"either version ([23]) of the license\b")
 _CUT = re.compile(r"\n|;|\||(?<=[.!?])\s|\.(?=$)")
 _NAMED = re.compile(r"(?i)spdx-license-identifier:\s*([\w.+-]+)")
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
+#: Known sentences begin so.
+_FIRST = re.compile(r"licensed|released|distributed|dedicated|this|you|unless|the|mit|permission|redistribution|\d|neither|either|spdx")
 _ORDERED = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1]), i))
 
 
@@ -104,22 +110,51 @@ def normalise(sentence: str) -> str:
 
 def sentence_ids(text: str) -> list[tuple[int, str, int, int, str]]:
     """(number of the sentence, identifier, start, stop, licence named by it) of all known sentences."""
-    out, start, number = [], 0, 0
-    cuts = [(m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
-    for stop, after in cuts:
+    out: list[tuple[int, str, int, int, str]] = []
+    number, start = 0, 0
+    lines: list[tuple[int, int, str]] = []  # of the sentence: start, stop, words
+    for stop, after in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
         plain = normalise(text[start:stop])
         if plain:
-            # junk around a notice (table cells, marks) does not hide it
-            for name, pattern in _KNOWN:
-                if pattern.fullmatch(plain):
-                    named = _NAMED.search(text, start, stop) if name == "spdx" else None
-                    out.append((number, name, start, stop, named[1] if named else ""))
-                    break
+            lines.append((start, stop, plain))
+        # a line end inside a sentence is none of its own
+        if lines and not (plain and text[stop:after] == "\n" and text[start:stop].rstrip()[-1] not in ".!?"):
+            out.extend(_in_sentence(text, lines, number))
             number += 1
+            lines = []
         start = after
     return out
 
 
+def _known(text: str, start: int, stop: int) -> tuple[str, re.Pattern] | None:
+    # junk around a notice (table cells, marks) does not hide it
+    plain = normalise(text[start:stop])
+    return next(((name, pattern) for name, pattern in _KNOWN if pattern.fullmatch(plain)), None)
+
+
+def _in_sentence(text: str, lines: list[tuple[int, int, str]], number: int) -> Iterator[tuple[int, str, int, int, str]]:
+    """The notices on the lines of one sentence; one with an open end goes on to the next notice."""
+    hits, i = [], 0
+    while i < len(lines):
+        most = len(lines) if re.match(r"(?:\d )?neither", lines[i][2]) else i + _LINES
+        for j in range(i, min(most, len(lines)) if _FIRST.match(lines[i][2]) else i):
+            known = _known(text, lines[i][0], lines[j][1])
+            if known:
+                hits.append((i, j, *known))
+                i = j
+                break
+        i += 1
+    for (i, j, name, pattern), end in zip(hits, [*(h[0] for h in hits[1:]), len(lines)], strict=False):
+        start, stop = lines[i][0], lines[end - 1][1]
+        if not pattern.fullmatch(normalise(text[start:stop])):
+            stop = lines[j][1]
+        named = _NAMED.search(text, start, stop) if name == "spdx" else None
+        yield number, name, start, stop, named[1] if named else ""
+        later = _LATER.search(normalise(text[start:stop])) if name == "gpl-free" else None
+        if later:
+            yield number, f"gpl-{later[1]}-or", start, stop, ""
+
+
 def match_rules(found: list[tuple[int, str, int, int, str]]) -> list[dict]:
     """Licences in order of their place; longer rules first, each sentence used once."""
     used: set[int] = set()

@@ -322,6 +322,41 @@ def test_licenses():
     assert "apache-copy" not in [s for h in scan("You may obtain a copy of the License at x\nLicensed under the Apache License, Version 2.0") for s in h["sentences"]]
 
 
+def test_licenses_in_their_usual_line_breaks(spark):
+    mit = """MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.\n
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.\n
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions.\n
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software."""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+    texts = [mit, apache, bsd, gpl, "Released under CC0 1.0"]
+    rows = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    got = [[(h.license, len(h.sentences)) for h in rows[i]] for i in range(len(texts))]
+    assert got == [[("MIT", 4)], [("Apache-2.0", 4)], [("BSD-3-Clause", 4)], [("GPL-3.0", 2)], [("CC0", 1)]]
+
+
 def test_base_scores_and_mixing(spark):
     texts = [prose(300, i) + (" common phrase here" if i % 2 else "") for i in range(60)] + ["", "unseenword xyzzyq"]
     docs = frame(spark, texts)
