@@ -1,27 +1,35 @@
-"""Language-model scoring by logistic context mixing (operator 8).
-
-A text is coded as binary decisions. Each word of the vocabulary (the ``VOCABULARY`` most
-frequent training words, the end of a text and a mark for other words) is a path in a
-Huffman tree; other words are spelled, byte by byte, in a second tree. For every decision
-several predictors look up how often it went either way in their context: words without
-context, and in the cluster of the last two very frequent words (which tells a text's language
-and style); bytes after one byte, after two in the cluster, and after four. Clusters of the pairs of very frequent words come from
-the words that follow them in the training texts. Their predictions are stretched to log odds and added with weights from a set that
-a gate selects by depth and by how much two of the predictors have seen. A last stage
-refines the sum by what such sums turned out to mean. The score of a text is the log10
-of the product of its decisions' probabilities; :func:`score` also gives bits per byte.
-
-Learning covers every training text. A word's probability depends on its class of context
-and itself, so a task works through the different pairs of them, with their numbers. Counts of
-the contexts are added up by Spark over all tasks. Then each task goes through its training texts online, decision by decision in small
-batches, correcting its weights by each batch's error; the tasks' weights are averaged by
-the curvature that they have seen, and the counts of the refinement are added up.
+"""Language-model scoring by online logistic context mixing (operator 8).
+
+A text is coded token by token (lower-cased words, then one end), and each token byte by byte
+in the binary decisions of a Huffman tree over bytes. For every decision several predictors
+look up, in tables hashed by context and node, how often it went either way: after the last
+one to four bytes of the word, and after the whole word so far, some of them also by the class
+of the text (a cluster of its last two very frequent words, which tells language and style).
+Their log odds are added with weights that a gate selects by place and by how much
+the longer contexts have seen, and a last stage refines the sum by what such sums turned out
+to mean after the same byte.
+
+Learning is online: a task goes through its training texts once, in growing blocks. The different
+words of a block are predicted, some at a time, from what the task has seen before; weights and
+refinement are corrected by the errors, each as often as the word comes (once where its
+beginning is new to the task), and the counts updated. Counts and refinement of all tasks are
+added up by Spark, weights are averaged by the curvature that they have seen.
+
+Long contexts are kept for the whole corpus. After some ``EVERY``-th of all runs of ``RUN`` words (chosen
+by their hash, and after the first ones of a text) the stretch up to the next such run is
+looked up in a Spark table of all stretches that followed that run in the training texts. One more
+binary decision tells whether the most frequent of them comes next; if so, it stands for
+the whole stretch. Its probability is that of its kind of case (how often and how surely
+the stretch has been seen, and whether the last such prediction of the text came true), counted over all training
+texts. This table grows with the corpus and is joined by the run's hash. A training text
+is predicted by the other training texts: its own stretches are taken from the counts.
 
 The base score's word counts are exact for all words: frequent words are looked up in the
 task, all others are joined with the counted words.
 
 Null and empty texts are one end; very long texts are coded whole; ids may be null (then
-training) or repeat (each row is counted and scored); with no training text every
+training) or repeat (each row is counted and scored; rows alike in id and text are one text
+to the table of stretches); with no training text every
 probability is that of empty counts; empty tables give empty results; further columns are
 not read.
 """
@@ -35,33 +43,40 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import textscan as ts
-from llm.keys import with_key, written
+from llm.keys import add_key, written
 from llm.toxicity import held_out
 
+#: So many words have their counts for the base score in each task.
 VOCABULARY = 1 << 17
 #: So many of the most frequent words tell words apart by what came before.
 FREQUENT = 24
-#: Words with fewer training tokens are spelled.
-LEAST = 5
-SLOTS = 1 << 18
-BATCH = 1 << 14
 CLUSTERS = 12
 #: Words by which the clusters are told apart.
 _TELLING = 256
-#: Bytes of text that are parsed, and that are scored, at a time.
+#: Words of a context of the table of stretches, and one in how many contexts has a row there.
+RUN, EVERY = 4, 32
+#: Slots of the predictors: last byte by class, two bytes, three by class, four, word so far, word so far by class.
+SLOTS = (1 << 18, 1 << 18, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
+_PRIOR = (0.4, 0.4, 0.3, 0.3, 0.15, 0.15)
+#: Bytes of training text to a task, at least; each task sends its tables.
+TASK_BYTES = 64 << 20
+#: Symbols between two corrections of weights and counts, at most; small blocks have 16 corrections.
+BATCH = 1 << 12
+#: Bytes of text that are parsed, and the largest block that is worked through at a time.
 _PIECE, _BLOCK = 1 << 20, 8 << 20
-#: Different pairs of context and word that a task gathers, and decisions' symbols that it works through at a time.
+#: Different words that a task gathers before it sends them, and symbols that it works through at a time.
 _HELD, _CHUNK = 1 << 20, 1 << 14
 _END_HASH = ts.mix(np.array([0x5E4D], np.uint64))[0]
-_END, _OTHER = 0, 1  # symbols; words follow
-_STOP = 256  # symbol that ends a spelling
-_DELTA = 0.4
+_OTHER = 0  # no telling word
+_STOP, _END, _SYMBOLS = 256, 257, 258  # the end of a word, and of a text
 _LIMIT = 8.0
-_GATES, _SUMS = 96, 33
+_GATES, _SUMS = 192, 33
+_UNIT = 256.0  # of the log odds in a table
+_SALTS = [ts.mix(np.array([0xA11CE + k], np.uint64))[0] for k in range(len(SLOTS))]
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,147 +111,236 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Tree:
-    """Predictors, weights and refinement over one Huffman tree."""
+class Spelled:
+    """Words as symbols, with the hashed contexts of each."""
+
+    symbol: np.ndarray
+    contexts: list[np.ndarray]
+    place: np.ndarray
+    last: np.ndarray  # byte before + 1, or 0
+    word: np.ndarray
+
+    def part(self, s: slice) -> Spelled:
+        return Spelled(self.symbol[s], [c[s] for c in self.contexts], self.place[s], self.last[s], self.word[s])
+
+
+def spell(data: np.ndarray, start: np.ndarray, stop: np.ndarray, klass: np.ndarray) -> Spelled:
+    """The spellings of some words, lower-cased; an empty word is the end of a text."""
+    size = stop - start + 1
+    ends = np.cumsum(size)
+    first = ends - size
+    n = int(ends[-1]) if len(ends) else 0
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(n) - first[word]
+    at = start[word] + place
+    symbol = np.full(n, _STOP, np.int64)
+    inside = place < size[word] - 1
+    symbol[inside] = ts.LOWER[data[at[inside]]]
+    symbol[first[size == 1]] = _END
+    before = []
+    for k in range(1, 5):
+        c = np.zeros(n, np.int64)
+        if n > k:
+            c[k:] = np.where(place[k:] >= k, symbol[:-k] + 1, 0)
+        before.append(c)
+    sums = ts.prefix_hashes((symbol & 255).astype(np.uint8))
+    so_far = (sums[:-1] - sums[first[word]]) * ts._Powers.of(n + 1)[1][first[word]] + place.astype(np.uint64)
+    two = before[0] * 258 + before[1]
+    three = two * 258 + before[2]
+    k = klass[word]
+    plain = [before[0] * 32 + k, two, three * 32 + k, three * 258 + before[3]]
+    hashed = [ts.mix(c.astype(np.uint64) + s) for c, s in zip(plain, _SALTS, strict=False)]
+    hashed += [ts.mix(so_far + _SALTS[4]), ts.mix(so_far + ts.mix(k.astype(np.uint64) + _SALTS[5]))]
+    return Spelled(symbol, hashed, place, before[0], word)
+
+
+def _sure(n: np.ndarray) -> np.ndarray:
+    """How much a context has seen, from 0 to 3."""
+    return (n > 0).astype(np.int64) + (n > 2) + (n > 15)
+
+
+@dataclass
+class Mixer:
+    """The byte tree, its tables of log odds, weights and refinement."""
 
     off: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    sizes: tuple[int, ...]  # slots of each predictor
-    exact: int = 1  # so many predictors have a slot of their own for each context and node
-    counts: list[np.ndarray] = field(default_factory=list)  # (2, slots) each
-    odds: list[np.ndarray] = field(default_factory=list)
-    seen: list[np.ndarray] = field(default_factory=list)
+    slots: tuple[int, ...] = SLOTS
+    codes: list[np.ndarray] = field(default_factory=list)  # log odds in units, times 4, and how much was seen
     weights: np.ndarray | None = None
     sums: np.ndarray | None = None
 
-    def decisions(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(owner, bit, depth, slot of each predictor) of all decisions of ``symbols``."""
-        size = self.off[symbols + 1] - self.off[symbols]
-        ends = np.cumsum(size)
-        owner = np.repeat(np.arange(len(symbols)), size)
-        at = np.repeat(self.off[symbols] - (ends - size), size) + np.arange(len(owner))
-        nodes = len(self.off) - 1
-        node = self.nodes[at]
-        slots = [node + (c * nodes)[owner] if c.any() else node for c in contexts[: self.exact]]
-        if len(contexts) > self.exact:
-            hashed = self.hashed[at]
-            for c, n in zip(contexts[self.exact :], self.sizes[self.exact :], strict=True):
-                h = ts.mix(c.astype(np.uint64))[owner] ^ hashed
-                slots.append(((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(65 - n.bit_length())).astype(np.int64))
-        return owner, self.bits[at], at - np.repeat(self.off[symbols], size), slots
-
     @cached_property
     def hashed(self) -> np.ndarray:
         """A hash of each step's node."""
         return ts.mix(self.nodes.astype(np.uint64) + np.uint64(1))
 
-    def ready(self) -> None:
-        """Log odds and confidence of each slot, from the counts."""
-        self.odds, self.seen = [], []
-        for zero, one in self.counts:
-            self.odds.append((np.log(one + _DELTA) - np.log(zero + _DELTA)).clip(-12, 12).astype(np.float32))
-            self.seen.append(np.minimum(3, np.log2(zero + one + 1) / 3).astype(np.int8))
-
-    def inputs(self, slots: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((len(depth), self.width), np.float32)
-        for k, s in enumerate(slots):
-            x[:, k] = self.odds[k][s]
-        x[:, -1] = 0.3
-        gate = np.minimum(depth // 3, 5) * 16 + self.seen[-2][slots[-2]].astype(np.int64) * 4 + self.seen[-1][slots[-1]]
-        return x, gate
-
-    def refine(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Log odds after the last stage."""
-        z = (mixed.clip(-_LIMIT, _LIMIT) + _LIMIT) * ((_SUMS - 1) / (2 * _LIMIT))
-        low = np.minimum(z.astype(np.int64), _SUMS - 2)
-        f = z - low
-        low += (gate >> 4) * _SUMS
-        meant = self.meant.ravel()
-        return 0.5 * mixed + 0.5 * ((1 - f) * meant[low] + f * meant[low + 1])
+    def decisions(self, s: Spelled) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(owner, bit, slot of each predictor) of all decisions."""
+        size = self.off[s.symbol + 1] - self.off[s.symbol]
+        ends = np.cumsum(size)
+        owner = np.repeat(np.arange(len(s.symbol)), size)
+        at = np.repeat(self.off[s.symbol] - (ends - size), size) + np.arange(len(owner))
+        node = self.hashed[at]
+        slots = [(((c[owner] ^ node) * np.uint64(0x165667B19E3779F9)) >> np.uint64(65 - n.bit_length())).astype(np.int64) for c, n in zip(s.contexts, self.slots, strict=True)]
+        return owner, self.bits[at], slots
+
+    def gate(self, place: np.ndarray, sure: list[np.ndarray]) -> np.ndarray:
+        return np.minimum((place + 1) >> 1, 2) * 64 + sure[-3] * 16 + sure[-2] * 4 + sure[-1]
 
     @property
     def width(self) -> int:
-        return len(self.sizes) + 1
+        return len(self.slots) + 1
 
     @cached_property
     def meant(self) -> np.ndarray:
-        """What a sum of a group turned out to mean; a sum is taken at its word where it has been seen little."""
+        """What a sum turned out to mean after each byte; a sum is taken at its word where it has been seen little."""
         grid = np.linspace(-_LIMIT, _LIMIT, _SUMS)
         p = 1 / (1 + np.exp(-grid))
         zero, one = self.sums
-        return np.log((one + 20 * p) / (zero + 20 * (1 - p))).astype(np.float32)
+        return np.log((one + 20 * p) / (zero + 20 * (1 - p))).astype(np.float32).ravel()
 
-    def log2(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+    def refine(self, mixed: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Log odds after the last stage."""
+        z = (mixed.clip(-_LIMIT, _LIMIT) + _LIMIT) * ((_SUMS - 1) / (2 * _LIMIT))
+        low = np.minimum(z.astype(np.int64), _SUMS - 2)
+        f = z - low
+        low += last * _SUMS
+        return 0.5 * mixed + 0.5 * ((1 - f) * self.meant[low] + f * self.meant[low + 1])
+
+    def log2(self, s: Spelled) -> np.ndarray:
         """log2 probability of each symbol."""
-        if len(symbols) > _CHUNK:
-            parts = [slice(lo, lo + _CHUNK) for lo in range(0, len(symbols), _CHUNK)]
-            return np.concatenate([self.log2(symbols[p], [c[p] for c in contexts]) for p in parts])
-        owner, bit, depth, slots = self.decisions(symbols, contexts)
-        x, gate = self.inputs(slots, depth)
-        mixed = np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate])
-        z = np.clip(self.refine(mixed, gate), -60, 60)
-        return np.bincount(owner, weights=-np.log1p(np.exp(np.where(bit > 0, -z, z))), minlength=len(symbols)) / np.log(2)
+        out = [np.zeros(0)]
+        for lo in range(0, len(s.symbol), _CHUNK):
+            part = s.part(slice(lo, lo + _CHUNK))
+            owner, bit, slots = self.decisions(part)
+            x = np.empty((self.width, len(bit)), np.float32)
+            sure = []
+            for k, (slot, code) in enumerate(zip(slots, self.codes, strict=True)):
+                c = code[slot]
+                x[k] = c >> 2
+                if k >= self.width - 4:
+                    sure.append((c & 3).astype(np.int64))
+            x[:-1] *= 1 / _UNIT
+            x[-1] = 0.3
+            gate = self.gate(part.place[owner], sure)
+            mixed = np.einsum("kj,kj->j", x, self.wide[:, gate])
+            z = np.clip(self.refine(mixed, part.last[owner]), -60, 60)
+            out.append(np.bincount(owner, weights=-np.log1p(np.exp(np.where(bit > 0, -z, z))), minlength=len(part.symbol)) / np.log(2))
+        return np.concatenate(out)
+
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return np.ascontiguousarray(self.weights.T.astype(np.float32))
+
+
+def first_weights(k: int) -> np.ndarray:
+    """Weights before any text: the more the word so far has been seen, the more it counts."""
+    sure = np.arange(_GATES) // 4 % 4 / 3
+    w = np.zeros((_GATES, k + 1))
+    w[:, : k - 2] = (1.2 * (1 - sure) / k)[:, None]
+    w[:, k - 2 : k] = (1.2 / k + 0.3 * sure)[:, None]
+    return w
 
 
 class Learner:
-    """Online weights of one tree in one task."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree = tree
-        k = tree.width - 1
-        self.w = np.tile(np.append(np.full(k, 1.1 / k), 0.0), (_GATES, 1))
-        self.h = np.full((_GATES, tree.width), 50.0)
-        self.sums = np.zeros((2, 6, _SUMS))
-
-    def learn(self, symbols: np.ndarray, contexts: list[np.ndarray], times: np.ndarray | None = None) -> None:
-        t = self.tree
-        for lo in range(_CHUNK, len(symbols), _CHUNK):
-            part = slice(lo, lo + _CHUNK)
-            self.learn(symbols[part], [c[part] for c in contexts], None if times is None else times[part])
-        symbols, contexts, times = symbols[:_CHUNK], [c[:_CHUNK] for c in contexts], None if times is None else times[:_CHUNK]
-        owner, bit, depth, slots = t.decisions(symbols, contexts)
-        x, gate = t.inputs(slots, depth)
-        for lo in range(0, len(bit), BATCH):
-            s = slice(lo, lo + BATCH)
-            xs, g, y = x[s], gate[s], bit[s]
-            m = 1.0 if times is None else times[owner[s]]
-            mixed = np.einsum("ij,ij->i", xs, self.w[g])
+    """Counts, weights and refinement that a task learns online."""
+
+    def __init__(self, mixer: Mixer) -> None:
+        self.mixer = mixer
+        k = mixer.width - 1
+        self.counts = [np.zeros(2 * n, np.uint32) for n in mixer.slots]
+        self.total = 0  # no count is larger
+        self.w = first_weights(k)
+        self.h = np.full((_GATES, mixer.width), 50.0)
+        self.sums = np.zeros((2, _SYMBOLS * _SUMS))
+
+    def learn(self, s: Spelled, times: np.ndarray) -> None:
+        """Goes through symbols that come ``times`` each."""
+        m = self.mixer
+        step = min(max(len(s.symbol) // 16, 64), BATCH)
+        for lo in range(0, len(s.symbol), step):
+            cut = slice(lo, lo + step)
+            part, often = s.part(cut), times[cut].astype(np.uint32)
+            owner, y, slots = m.decisions(part)
+            x = np.empty((m.width, len(y)), np.float32)
+            sure = []
+            for k, (slot, counts) in enumerate(zip(slots, self.counts, strict=True)):
+                seen = counts.view(np.uint64)[slot].view(np.uint32).reshape(-1, 2).astype(np.float32)
+                zero, one = seen[:, 0], seen[:, 1]
+                if k >= m.width - 4:
+                    sure.append(_sure(zero + one))
+                np.log((one + np.float32(_PRIOR[k])) / (zero + np.float32(_PRIOR[k])), out=x[k])
+            much = often[owner]
+            learned = np.where(sure[-2] > 0, much, 1)
+            x[-1] = 0.3
+            np.clip(x, -12, 12, out=x)
+            gate = m.gate(part.place[owner], sure)
+            mixed = np.einsum("kj,kj->j", x, self.w.astype(np.float32).T[:, gate])
             p = 1 / (1 + np.exp(-mixed.clip(-20, 20)))
-            error, curve = (y - p) * m, p * (1 - p) * m
-            for k in range(t.width):
-                self.h[:, k] += np.bincount(g, weights=curve * xs[:, k] ** 2, minlength=_GATES)
-            for k in range(t.width):
-                self.w[:, k] += np.bincount(g, weights=error * xs[:, k], minlength=_GATES) / self.h[:, k]
-            place = (g // 16) * _SUMS + ((mixed.clip(-_LIMIT, _LIMIT) + _LIMIT) * ((_SUMS - 1) / (2 * _LIMIT)) + 0.5).astype(np.int64)
+            error, curve = (y - p) * learned, p * (1 - p) * learned
+            for k in range(m.width):
+                self.h[:, k] += np.bincount(gate, weights=curve * x[k] ** 2, minlength=_GATES)
+                self.w[:, k] += np.bincount(gate, weights=error * x[k], minlength=_GATES) / self.h[:, k]
+            at = part.last[owner] * _SUMS + ((mixed.clip(-_LIMIT, _LIMIT) + _LIMIT) * ((_SUMS - 1) / (2 * _LIMIT)) + 0.5).astype(np.int64)
             for v in (0, 1):
-                self.sums[v] += np.bincount(place, weights=(y == v) * m, minlength=6 * _SUMS).reshape(6, _SUMS)
+                self.sums[v] += np.bincount(at, weights=(y == v) * learned, minlength=_SYMBOLS * _SUMS)
+            for slot, counts in zip(slots, self.counts, strict=True):
+                np.add.at(counts, 2 * slot + y, much)
+        self.total += int(times.sum())
+
+
+    def sent(self, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (at, zero, one) of all counts, which then begin again."""
+        for first, counts in zip(starts, self.counts, strict=False):
+            both = counts.reshape(-1, 2)
+            used = np.flatnonzero(both.any(axis=1))
+            for lo in range(0, len(used), 1 << 16):
+                u = used[lo : lo + (1 << 16)]
+                yield pa.record_batch([pa.array((first + u).astype(np.int32)), pa.array(both[u, 0].astype(np.float64)), pa.array(both[u, 1].astype(np.float64))], names=["at", "zero", "one"])
+            counts[:] = 0
+        self.total = 0
+
+
+def codes(zero: np.ndarray, one: np.ndarray, k: int) -> np.ndarray:
+    """The entries of table ``k`` for some counts."""
+    odds = np.log((one + _PRIOR[k]) / (zero + _PRIOR[k])).clip(-12, 12)
+    return (np.rint(odds * _UNIT).astype(np.int16) << 2) | _sure(zero + one).astype(np.int16)
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # of the vocabulary, sorted
-    symbol: np.ndarray  # of each
-    counts: np.ndarray  # training tokens by symbol; for _OTHER 0
-    words: Tree
-    letters: Tree
+    telling: np.ndarray  # hashes of the most frequent words, sorted
+    number: np.ndarray  # of each, from 1
+    hashes: np.ndarray  # of the words with counts, sorted, and the end
+    counts: np.ndarray  # training tokens of each
+    mixer: Mixer
     tokens: int
     distinct: int
     clusters: np.ndarray  # of each pair of very frequent words; 0 for none
     bits: np.ndarray | None = None
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
+        """The number of each telling word, 0 for others."""
         if self.bits is None:
-            self.bits = np.zeros(1 << 22, bool)
-            self.bits[self.hashes & np.uint64((1 << 22) - 1)] = True
+            self.bits = np.zeros(1 << 16, bool)
+            self.bits[self.telling & np.uint64((1 << 16) - 1)] = True
         out = np.full(len(h), _OTHER, np.int64)
-        maybe = np.flatnonzero(self.bits[h & np.uint64((1 << 22) - 1)])
+        maybe = np.flatnonzero(self.bits[h & np.uint64((1 << 16) - 1)])
         if len(maybe):
-            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            ok = self.hashes[at] == h[maybe]
-            out[maybe[ok]] = self.symbol[at[ok]]
+            at = np.minimum(np.searchsorted(self.telling, h[maybe]), len(self.telling) - 1)
+            ok = self.telling[at] == h[maybe]
+            out[maybe[ok]] = self.number[at[ok]]
         return out
 
+    def counted(self, h: np.ndarray) -> np.ndarray:
+        """Training tokens of the words that have counts here; -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.counts[at], -1)
+
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, stop) of the words of each row and its end."""
@@ -293,48 +397,20 @@ def histories(clusters: np.ndarray, symbol: np.ndarray, row: np.ndarray) -> np.n
     return clusters[context_classes(symbol, row)]
 
 
-def word_contexts(klass: np.ndarray) -> list[np.ndarray]:
-    return [np.zeros(len(klass), np.int64), klass]
-
-
-def spell(data: np.ndarray, start: np.ndarray, stop: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(symbols, contexts, word) of the spellings of some words, lower-cased."""
-    size = stop - start + 1
-    ends = np.cumsum(size)
-    word = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(word)) - np.repeat(ends - size, size)
-    at = np.repeat(start, size) + place
-    symbol = np.where(place == np.repeat(size - 1, size), _STOP, ts.LOWER[data[np.minimum(at, len(data) - 1)]].astype(np.int64))
-    before = []
-    for k in range(1, 5):
-        c = np.zeros(len(symbol), np.int64)
-        if len(symbol) > k:
-            c[k:] = np.where(place[k:] >= k, symbol[:-k] + 1, 0)
-        before.append(c)
-    two = before[0] * 258 + before[1]
-    four = (two * 258 + before[2]) * 258 + before[3]
-    return symbol, [before[0], (two * 32 + klass[word]) + (1 << 32), four + (1 << 50)], word
-
-
 @dataclass
 class Parsed:
-    """The tokens of a block of texts."""
+    """The tokens of a block of texts, and its different pairs of class and word."""
 
-    symbol: np.ndarray
     row: np.ndarray
     klass: np.ndarray
     hash: np.ndarray
     start: np.ndarray
     stop: np.ndarray
 
-    def pairs(self, vocabulary: int) -> np.ndarray:
-        return self.klass * vocabulary + self.symbol
-
-    def others(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words outside the vocabulary: (their places, first of each different word in its class, which that is, how many)."""
-        at = np.flatnonzero(self.symbol == _OTHER)
-        _, first, back, times = np.unique(self.hash[at] ^ ts.mix(self.klass[at].astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
-        return at, at[first], back, times
+    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first of each pair, which pair each token is, how many)."""
+        _, first, back, times = np.unique(self.hash ^ ts.mix(self.klass.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+        return first, back, times
 
 
 def parse(model: Model, data: np.ndarray, off: np.ndarray) -> Parsed:
@@ -343,22 +419,54 @@ def parse(model: Model, data: np.ndarray, off: np.ndarray) -> Parsed:
     while lo < rows:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + _PIECE, "right")) - 1)
         h, row, start, stop = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        symbol = model.symbols(h)
-        parts.append((symbol, row + lo, histories(model.clusters, symbol, row), h, start + off[lo], stop + off[lo]))
+        klass = histories(model.clusters, model.symbols(h), row)
+        parts.append((row + lo, klass, h, start + off[lo], stop + off[lo]))
         lo = hi
     return Parsed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+def stretches(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, stretch, first token, token after the last) of all stretches of the rows."""
+    n = len(h)
+    if n <= RUN:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
+    acc = np.zeros(n - RUN, np.uint64)
+    for k in range(RUN):
+        acc = acc * ts._BASE + h[k : n - RUN + k]
+    run = ts.mix(acc)
+    place = np.arange(n) - np.searchsorted(row, np.arange(rows))[row]
+    begins = np.flatnonzero((row[:-RUN] == row[RUN:]) & ((run % np.uint64(EVERY) == 0) | (place[RUN:] == RUN))) + RUN
+    ends = np.minimum(np.append(begins[1:], n), np.searchsorted(row, row[begins], "right"))
+    up, down = ts._Powers.of(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * up[:n], out=sums[1:])
+    stretch = ts.mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    return run[begins - RUN], stretch, begins, ends
+
+
+def _parts(batches: Iterable[pa.RecordBatch], column: int, size: int = _PIECE) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for row, data, off in ts.pieces(batch.column(column), _BLOCK):
+        for row, data, off in ts.pieces(batch.column(column), size):
             yield batch, row, data, off
 
 
-def _parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for row, data, off in ts.pieces(batch.column(column), _PIECE):
-            yield batch, row, data, off
+def _growing(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of whole texts from the first column, each twice as large as the one before, up to ``_BLOCK``."""
+    size, have, held = _PIECE >> 9, 0, []
+    for _, _, data, off in _parts(batches, 0, _PIECE >> 9):
+        held.append((data, off))
+        have += len(data)
+        if have >= size:
+            yield _joined(held)
+            size, have, held = min(2 * size, _BLOCK), 0, []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    before = np.cumsum([0, *(len(d) for d, _ in held)])
+    return np.concatenate([d for d, _ in held]), np.concatenate([[0], *(o[1:] + b for (_, o), b in zip(held, before, strict=False))])
 
 
 class Tally:
@@ -412,29 +520,33 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
 
 
+def learn_text(model: Model, learner: Learner, data: np.ndarray, off: np.ndarray) -> None:
+    """Goes through one block of texts."""
+    p = parse(model, data, off)
+    first, _, times = p.different()
+    s = spell(data, p.start[first], p.stop[first], p.klass[first])
+    learner.learn(s, times[s.word])
+
+
 def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     """Learns from all rows of ``train`` (text), whose words have been counted."""
     spark = train.sparkSession
-    spelled = counted.where("kind = 1").collect()
+    letters = np.ones(_SYMBOLS, np.int64)
+    # one row for each byte
+    for r in counted.where("kind = 1").collect():
+        letters[r.hash] = max(1, r.n)
     counted = counted.where("kind = 0")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     end = int(_END_HASH.view(np.int64))
     # a bounded number of words, a parameter of the model
-    top = counted.where((F.col("hash") != F.lit(end)) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "hash").limit(vocabulary).collect()
+    top = counted.where(F.col("hash") != F.lit(end)).orderBy(F.desc("n"), "hash").limit(vocabulary).select("hash", "n").toArrow()
     ends = counted.where(F.col("hash") == F.lit(end)).first()
-    known = sum(r.n for r in top)
-    counts = np.array([ends.n if ends else 0, 0, *(r.n for r in top)], np.int64)
-    shares = counts.copy()
-    shares[_OTHER] = total.n - known - counts[_END]
-    hashes = np.array([end, *(r.hash for r in top)], np.int64).view(np.uint64)
-    symbol = np.array([_END, *range(2, len(top) + 2)], np.int64)
-    order = np.argsort(hashes)
-    n_words = len(counts)
-    letters = np.ones(257, np.int64)
-    for r in spelled:
-        letters[r.hash] = max(1, r.n)
-    words = Tree(*huffman(np.maximum(shares, 1)), (n_words, (CLUSTERS + 1) * n_words), 2)
-    model = Model(hashes[order], symbol[order], counts, words, Tree(*huffman(letters), (258 * 257, SLOTS, SLOTS)), total.n, total.v, np.zeros((FREQUENT + 1) ** 2, np.int64))
+    hashes = np.append(top.column("hash").to_numpy(), end).view(np.uint64)
+    counts = np.append(top.column("n").to_numpy(), ends.n if ends else 0).astype(np.int64)
+    telling = hashes[:-1][: _TELLING - 1]
+    order, few = np.argsort(hashes), np.argsort(telling)
+    letters[_END] = max(1, int(counts[-1]))
+    model = Model(telling[few], few + 1, hashes[order], counts[order], Mixer(*huffman(letters)), total.n, total.v, np.zeros((FREQUENT + 1) ** 2, np.int64))
     bare = spark.sparkContext.broadcast(model)
 
     def following(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +555,7 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
             h, row, _, _ = tokens(data, off)
             s = bare.value.symbols(h)
             raw = context_classes(s, row)
-            ok = (s > _OTHER) & (s < _TELLING)
+            ok = s > _OTHER
             n += np.bincount(raw[ok] * _TELLING + s[ok], minlength=len(n))
         used = np.flatnonzero(n)
         yield pa.record_batch([pa.array(used), pa.array(n[used])], names=["at", "n"])
@@ -452,95 +564,93 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
     near = train.select("text").mapInArrow(following, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = near.column("at").to_numpy(), near.column("n").to_numpy()
     model.clusters = clusters_of(at // _TELLING, at % _TELLING, n)
+    plain = spark.sparkContext.broadcast(model)
+    starts = np.cumsum([0, *model.mixer.slots])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(plain.value.mixer)
+        for data, off in _growing(batches):
+            learn_text(plain.value, learner, data, off)
+            if learner.total > 1 << 30:  # before a count can overflow
+                yield from learner.sent(starts)
+        yield from learner.sent(starts)
+        h = learner.h - 50.0
+        value = np.concatenate([(learner.w * h).ravel(), h.ravel(), learner.sums.ravel()])
+        yield pa.record_batch([pa.array(-1 - np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.zeros(len(value)))], names=["at", "zero", "one"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, at, zero, one = (c.to_numpy() for c in batch.columns)
+            for b in np.unique(block):
+                hit = block == b
+                blocks.setdefault(int(b), np.zeros((2, 1 << 16)))[:, at[hit] & 0xFFFF] = zero[hit], one[hit]
+        for b, (zero, one) in blocks.items():
+            k = int(np.searchsorted(starts, b << 16, "right")) - 1
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([(codes(zero, one, k) if b >= 0 else zero).tobytes()], pa.binary())], names=["block", "body"])
+
+    tasks = max(1, int(letters.sum()) // TASK_BYTES)
+    added = train.select("text").coalesce(tasks).mapInArrow(learn, "at int, zero double, one double").groupBy("at").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    # one row for each 65,536 slots of the model
+    got = added.select(F.shiftright("at", 16).alias("block"), "at", "zero", "one").repartition("block").mapInArrow(pack, "block int, body binary").toArrow()
+    mixer = model.mixer
+    table = np.zeros(starts[-1], np.int16)
+    value = np.zeros(1 << 16)
+    for block, body in zip(got.column("block").to_pylist(), got.column("body").to_pylist(), strict=True):
+        if block < 0:
+            value = np.frombuffer(body, np.float64)[::-1]  # the n-th value is at -1 - n
+        else:
+            table[block << 16 : (block + 1) << 16] = np.frombuffer(body, np.int16)
+    mixer.codes = np.split(table, starts[1:-1])
+    n = _GATES * mixer.width
+    h = value[n : 2 * n].reshape(_GATES, mixer.width)
+    mixer.weights = np.where(h > 1e-3, value[:n].reshape(_GATES, mixer.width) / np.maximum(h, 1e-3), first_weights(mixer.width - 1))
+    mixer.sums = value[2 * n : 2 * n + 2 * _SYMBOLS * _SUMS].reshape(2, _SYMBOLS, _SUMS)
+    return model
 
-    def visits(model: Model, batches: Iterable[pa.RecordBatch]):
-        """(tree, symbols, contexts, times) of all training texts of a task."""
-        tally = Tally()
-
-        def words():
-            keys, times = tally.take()
-            return 0, keys % n_words, word_contexts(keys // n_words), times
-
-        for _, _, data, off in _blocks(batches, 0):
-            p = parse(model, data, off)
-            tally.add(p.pairs(n_words))
-            _, first, _, times = p.others()
-            if len(first):
-                spelled, contexts, word = spell(data, p.start[first], p.stop[first], p.klass[first])
-                yield 1, spelled, contexts, times[word]
-            if len(tally.keys) > _HELD:
-                yield words()
-        yield words()
 
-    plain = spark.sparkContext.broadcast(model)
+def predicted_stretches(judged: DataFrame) -> DataFrame:
+    """(key, bits): what the table of stretches takes from the bits of each text, where it predicts any.
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = plain.value
-        trees = (model.words, model.letters)
-        tables = [[np.zeros((2, size), np.int32) for size in t.sizes] for t in trees]
-        for k, symbols, contexts, times in visits(model, batches):
-            for lo in range(0, len(symbols), _CHUNK):
-                part = slice(lo, lo + _CHUNK)
-                owner, bit, _, slots = trees[k].decisions(symbols[part], [c[part] for c in contexts])
-                one, m = bit > 0, times[part][owner].astype(np.int32)
-                for table, slot in zip(tables[k], slots, strict=True):
-                    np.add.at(table[0], slot[~one], m[~one])
-                    np.add.at(table[1], slot[one], m[one])
-        for k, i, table in ((k, i, t) for k, ts_ in enumerate(tables) for i, t in enumerate(ts_)):
-            used = np.flatnonzero(table.any(axis=0))
-            for lo in range(0, len(used), 1 << 16):
-                u = used[lo : lo + (1 << 16)]
-                place = (np.int64(k * 8 + i) << 40) | u
-                yield pa.record_batch([pa.array(place), pa.array(table[0, u].astype(np.int64)), pa.array(table[1, u].astype(np.int64))], names=["place", "zero", "one"])
-
-    # each task sends its whole tables, so there are no more tasks than keep the cluster busy
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    train = train.select("text").coalesce(tasks)
-    added = train.mapInArrow(count, "place long, zero long, one long").groupBy("place").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    for k, tree in enumerate((model.words, model.letters)):
-        tree.counts = [np.zeros((2, size)) for size in tree.sizes]
-    # as many rows as the model has slots, whatever the input
-    got = added.toArrow()
-    place, zero, one = (got.column(c).to_numpy() for c in ("place", "zero", "one"))
-    for k, tree in enumerate((model.words, model.letters)):
-        for i in range(len(tree.sizes)):
-            hit = place >> 40 == k * 8 + i
-            tree.counts[i][0, place[hit] & (2**40 - 1)] = zero[hit]
-            tree.counts[i][1, place[hit] & (2**40 - 1)] = one[hit]
-        tree.ready()
-        tree.counts = []
-    full = spark.sparkContext.broadcast(model)
-
-    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = full.value
-        learners = [Learner(model.words), Learner(model.letters)]
-        for k, symbols, contexts, times in visits(model, batches):
-            mixed = np.random.default_rng(len(symbols)).permutation(len(symbols))  # else pairs come by class
-            learners[k].learn(symbols[mixed], [c[mixed] for c in contexts], times[mixed])
-        for k, x in enumerate(learners):
-            h = x.h - 50.0
-            value = np.concatenate([(x.w * h).ravel(), h.ravel(), x.sums.ravel()])
-            yield pa.record_batch([pa.array(np.arange(len(value)) + k * 100_000), pa.array(value)], names=["at", "x"])
-
-    rows = train.mapInArrow(weigh, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    for k, tree in enumerate((model.words, model.letters)):
-        n = _GATES * tree.width
-        x = np.zeros(2 * n + 2 * 6 * _SUMS)
-        for r in rows:
-            if r.at // 100_000 == k:
-                x[r.at % 100_000] = r.x
-        start = Learner(tree).w
-        h = x[n : 2 * n].reshape(_GATES, tree.width)
-        tree.weights = np.where(h > 1e-9, x[:n].reshape(_GATES, tree.width) / np.maximum(h, 1e-9), start)
-        tree.sums = x[2 * n :].reshape(2, 6, _SUMS)
-    return model
+    ``judged`` has key, train and segments (run, stretch, bits). A row of the table holds, for a
+    run, the number of its stretches in training texts and the two best of the most frequent ones of 8 hash classes.
+    """
+    each = judged.select("key", "train", F.posexplode("segments").alias("pos", "s")).select("key", "train", "pos", "s.*")
+    counted = each.where("train").groupBy("run", "stretch").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("run", F.pmod("stretch", F.lit(8)).alias("part")).agg(F.max(F.struct("n", "stretch")).alias("best"), F.sum("n").alias("n"))
+    table = counted.groupBy("run").agg(F.slice(F.sort_array(F.collect_list("best"), asc=False), 1, 2).alias("best"), F.sum("n").alias("n"))
+    table = written(table.select("run", F.col("best")[0].stretch.alias("s1"), F.col("best")[0].n.alias("n1"), F.get("best", F.lit(1)).stretch.alias("s2"), F.get("best", F.lit(1)).n.alias("n2"), "n"))
+    # runs with more than one in 4,000 of all stretches, at most 4,000 of them, are dealt out to 64 tasks each
+    often = F.col("n") > F.lit(max(1000, (table.agg(F.sum("n")).first()[0] or 0) // 4000))
+    hot = table.where(often).select("run", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0).cast("int")
+    dealt = each.join(F.broadcast(hot), "run", "left").withColumn("salt", salt).drop("hot")
+    salted = table.withColumn("salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
+    met = dealt.join(salted, ["run", "salt"]).where("n > 1 or not train").drop("salt")
+    # a training text is predicted by the others
+    same = Window.partitionBy("key", "run")
+    own = lambda c: F.when(F.col("train"), F.sum(F.when(F.col("stretch") == F.col(c), 1).otherwise(0)).over(same)).otherwise(0)
+    met = met.repartition("key").withColumns({"o1": own("s1"), "o2": own("s2"), "o": F.when(F.col("train"), F.count("*").over(same)).otherwise(0)})
+    met = met.select("key", "train", "pos", "stretch", "bits", "s1", "s2", (F.col("n1") - F.col("o1")).alias("n1"), (F.coalesce("n2", F.lit(0)) - F.col("o2")).alias("n2"), (F.col("n") - F.col("o")).alias("n"))
+    first = F.col("n1") >= F.col("n2")
+    met = met.where("greatest(n1, n2) > 0").withColumn("most", F.greatest("n1", "n2")).withColumn("hit", F.col("stretch") == F.when(first, F.col("s1")).otherwise(F.col("s2")))
+    order = Window.partitionBy("key").orderBy("pos")
+    before = F.when(F.lag("pos").over(order) == F.col("pos") - 1, F.when(F.lag("hit").over(order), 1).otherwise(2)).otherwise(0)
+    case = before * 64 + F.least(F.floor(F.log2("n")), F.lit(7)) * 8 + F.floor(4 * F.col("most") / F.col("n"))
+    met = written(met.select("key", "train", "hit", "bits", case.cast("int").alias("case")))
+    # one row for each kind of case
+    cases = met.where("train").groupBy("case").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("all"))
+    cases = cases.select("case", ((F.col("hits") + 0.4) / (F.col("all") + 0.8)).alias("p"))
+    p = F.coalesce("p", F.lit(0.5))
+    cost = F.when(F.col("hit"), -F.log2(p) - F.col("bits")).otherwise(-F.log2(1 - p))
+    return met.join(F.broadcast(cases), "case", "left").groupBy("key").agg(F.sum(cost).alias("saved"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train: Column | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row; learns from the rows where ``train``."""
-    keyed, unique = with_key(docs, id_col, text_col)
-    train = F.lit(True) if train is None else train
-    learned = docs.where(train).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    train = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    keyed, unique = add_key(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train")), "id", "text")
+    learned = keyed.where("train").select("text")
     counted = written(count_words(learned))
     model = fit(learned, counted, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -550,7 +660,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
         model = shared.value
         for batch, at, data, off in _parts(batches, 1):
             h, row, _, _ = tokens(data, off)
-            other = model.symbols(h) == _OTHER
+            word, back = np.unique(h, return_inverse=True)
+            other = (model.counted(word) < 0)[back]
             h, row = h[other], row[other]
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -562,35 +673,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        n_words = len(model.counts)
-        part = np.log10((model.counts + 0.5) / scale)
-        part[_OTHER] = 0.0
-        for batch, at, data, off in _blocks(batches, 2):
+        for batch, at, data, off in _parts(batches, 2, _BLOCK):
             n = len(off) - 1
             p = parse(model, data, off)
-            s, row = p.symbol, p.row
-            pairs, back = np.unique(p.pairs(n_words), return_inverse=True)
-            bits = np.bincount(row, weights=model.words.log2(pairs % n_words, word_contexts(pairs // n_words))[back], minlength=n)
-            other, first, back, _ = p.others()
-            if len(other):
-                spelled, contexts, word = spell(data, p.start[first], p.stop[first], p.klass[first])
-                each = np.bincount(word, weights=model.letters.log2(spelled, contexts), minlength=len(first))
-                bits += np.bincount(row[other], weights=each[back], minlength=n)
-            known = model.counts[s] > 0
+            first, back, _ = p.different()
+            s = spell(data, p.start[first], p.stop[first], p.klass[first])
+            bits = -np.bincount(s.word, weights=model.mixer.log2(s), minlength=len(first))[back]
+            c = model.counted(p.hash[first])
+            base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / scale), 0.0)[back]
+            run, stretch, begin, end = stretches(p.hash, p.row, n)
+            so_far = np.concatenate([[0.0], np.cumsum(bits)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(ts.list_offsets(p.row[begin], n)),
+                pa.StructArray.from_arrays([pa.array(run.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array((so_far[end] - so_far[begin]).astype(np.float32))], names=["run", "stretch", "bits"]),
+            )
             yield pa.record_batch(
                 [
                     batch.column(0).slice(at, n),
                     batch.column(1).slice(at, n),
-                    pa.array(np.bincount(row, minlength=n)),
-                    pa.array(np.bincount(row[known], minlength=n)),
-                    pa.array(np.bincount(row, weights=part[s], minlength=n)),
-                    pa.array(bits * np.log10(2)),
-                    pa.array(-bits / np.maximum(np.diff(off), 1)),
+                    pa.array(np.diff(off)),
+                    pa.array(np.bincount(p.row, minlength=n)),
+                    pa.array(np.bincount(p.row[(c > 0)[back]], minlength=n)),
+                    pa.array(np.bincount(p.row, weights=base, minlength=n)),
+                    pa.array(np.bincount(p.row, weights=bits, minlength=n)),
+                    lists,
                 ],
-                names=["key", "id", "n_tokens", "n_frequent", "base", "score", "bits_per_byte"],
+                names=["key", "train", "n_bytes", "n_tokens", "n_frequent", "base", "bits", "segments"],
             )
 
-    kind = dict(keyed.dtypes)["id"]
     once = keyed if unique else keyed.dropDuplicates(["key"])
     missing = float(np.log10(0.5 / scale)) if scale else 0.0
     rest = (
@@ -603,15 +713,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
             F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_rest"),
         )
     )
-    scored = keyed.select("key", "id", "text").mapInArrow(judge, f"key long, id {kind}, n_tokens long, n_frequent long, base double, score double, bits_per_byte double")
-    return scored.join(rest, "key", "left").select(
+    columns = "key long, train boolean, n_bytes long, n_tokens long, n_frequent long, base double, bits double, segments array<struct<run:bigint,stretch:bigint,bits:float>>"
+    judged = written(once.select("key", "train", "text").mapInArrow(judge, columns))
+    bits = F.col("bits") + F.coalesce("saved", F.lit(0.0))
+    scored = judged.drop("segments", "train").join(predicted_stretches(judged), "key", "left").join(rest, "key", "left")
+    scored = keyed.select("key", "id").join(scored, "key")
+    return scored.select(
         "id",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        (-bits * F.log10(F.lit(2.0))).alias("score"),
+        (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

@@ -373,24 +373,127 @@ def test_base_scores_and_mixing(spark):
     assert sum(rows[i].score for i in held) > 1.2 * sum(rows[i].base_score for i in held)
 
 
+def random_mixer(seed):
+    rng = np.random.default_rng(seed)
+    mixer = mixing.Mixer(*mixing.huffman(rng.integers(1, 100, mixing._SYMBOLS)), (256,) * 6)
+    mixer.codes = [mixing.codes(*rng.integers(0, 50, (2, 256)).astype(float), k) for k in range(6)]
+    mixer.weights = mixing.Learner(mixer).w + rng.normal(0, 0.1, (mixing._GATES, 7))
+    mixer.sums = rng.random((2, mixing._SYMBOLS, mixing._SUMS)) * 100
+    return mixer
+
+
 def test_mixing_is_a_probability():
     """The probabilities of all symbols in a context sum to 1."""
-    rng = np.random.default_rng(3)
-    tree = mixing.Tree(*mixing.huffman(rng.integers(1, 100, 40)), (40, 256, 256))  # one exact predictor, two hashed
-    tree.counts = [rng.integers(0, 50, (2, s)).astype(float) for s in tree.sizes]
-    tree.ready()
-    learner = mixing.Learner(tree)
-    tree.weights, tree.sums = learner.w + rng.normal(0, 0.1, learner.w.shape), rng.random((2, 6, mixing._SUMS)) * 100
+    rng, mixer, n = np.random.default_rng(3), random_mixer(3), mixing._SYMBOLS
     for _ in range(5):
-        contexts = [np.zeros(40, np.int64), np.full(40, rng.integers(0, 99)), np.full(40, rng.integers(0, 99))]
-        assert (2.0 ** tree.log2(np.arange(40), contexts)).sum() == pytest.approx(1)
-
-
-def test_spelling_covers_each_word_once():
-    data = np.frombuffer(b"Ab cde", np.uint8)
-    symbols, contexts, word = mixing.spell(data, np.array([0, 3]), np.array([2, 6]), np.array([0, 30]))
-    assert symbols.tolist() == [97, 98, 256, 99, 100, 101, 256] and word.tolist() == [0, 0, 0, 1, 1, 1, 1]
-    assert len(contexts) == 3
+        contexts = [np.full(n, c, np.uint64) for c in rng.integers(0, 2**63, 6)]
+        s = mixing.Spelled(np.arange(n), contexts, np.full(n, rng.integers(0, 6)), np.full(n, rng.integers(0, 257)), np.arange(n))
+        assert (2.0 ** mixer.log2(s)).sum() == pytest.approx(1)
+
+
+def test_mixing_against_one_decision_at_a_time():
+    mixer = random_mixer(4)
+    data = np.frombuffer(b"Ab abc zeta", np.uint8)
+    s = mixing.spell(data, np.array([0, 3, 7, 0]), np.array([2, 6, 11, 0]), np.array([1, 2, 1, 3]))
+    assert s.symbol.tolist() == [97, 98, 256, 97, 98, 99, 256, 122, 101, 116, 97, 256, 257] and s.word.tolist() == [0] * 3 + [1] * 4 + [2] * 5 + [3]
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    grid = np.linspace(-8, 8, mixing._SUMS)
+    for i, got in enumerate(mixer.log2(s)):
+        total = 0.0
+        for at in range(mixer.off[s.symbol[i]], mixer.off[s.symbol[i] + 1]):
+            node, bit = int(mixer.hashed[at]), int(mixer.bits[at])
+            codes = [int(mixer.codes[k][((int(c[i]) ^ node) * 0x165667B19E3779F9 % 2**64) >> 56]) for k, c in enumerate(s.contexts)]
+            sure = [c & 3 for c in codes]
+            w = mixer.weights[min((int(s.place[i]) + 1) >> 1, 2) * 64 + sure[3] * 16 + sure[4] * 4 + sure[5]]
+            z = sum(x * y for x, y in zip(w, [(c >> 2) / 256 for c in codes] + [0.3], strict=True))
+            meant = [math.log((o + 20 * sigmoid(g)) / (n + 20 * (1 - sigmoid(g)))) for g, n, o in zip(grid, *mixer.sums[:, s.last[i]], strict=True)]
+            z = 0.5 * z + 0.5 * float(np.interp(z, grid, meant))
+            total += math.log2(sigmoid(z) if bit else 1 - sigmoid(z))
+        assert got == pytest.approx(total, abs=1e-4)
+
+
+def test_learning_counts_each_decision():
+    """The counts after some blocks are those of all their decisions, whatever the blocks."""
+    model = mixing.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), random_mixer(5), 0, 0, np.zeros(625, np.int64))
+    model.telling, model.number = np.array([1], np.uint64), np.array([1])
+    texts = [prose(50, i) for i in range(12)]
+    tables = []
+    for cut in (1, 5, 12):
+        learner = mixing.Learner(model.mixer)
+        for lo in range(0, 12, cut):
+            for _, data, off in textscan.pieces(pa.array(texts[lo : lo + cut])):
+                mixing.learn_text(model, learner, data, off)
+        tables.append(np.concatenate(learner.counts))
+        assert learner.h.min() >= 50 and np.isfinite(learner.w).all()
+    assert (tables[0] == tables[1]).all() and (tables[0] == tables[2]).all()
+    want = np.zeros_like(tables[0])
+    for _, data, off in textscan.pieces(pa.array(texts)):
+        _, _, start, stop = mixing.tokens(data, off)
+        for a, b in zip(start, stop, strict=True):
+            s = mixing.spell(data, np.array([a]), np.array([b]), np.array([0]))
+            _, bit, slots = model.mixer.decisions(s)
+            for k, slot in enumerate(slots):
+                for x, y in zip(slot, bit, strict=True):
+                    want[k * 512 + 2 * x + y] += 1
+    assert (want == tables[0]).all()
+
+
+def test_stretches_are_cut_by_content():
+    texts = [prose(200, 1) + " " + prose(300, 9), prose(90, 2) + " " + prose(300, 9), "a b", ""]
+    for _, data, off in textscan.pieces(pa.array(texts)):
+        h, row, _, _ = mixing.tokens(data, off)
+        run, stretch, begin, end = mixing.stretches(h, row, 4)
+        spans = list(zip(row[begin].tolist(), run.tolist(), stretch.tolist(), begin.tolist(), end.tolist(), strict=True))
+        assert {r for r, *_ in spans} == {0, 1}
+        for r in (0, 1):  # they cover all but the first four words
+            own = [(b, e) for x, _, _, b, e in spans if x == r]
+            first = int(np.searchsorted(row, r))
+            assert own[0][0] == first + mixing.RUN and own[-1][1] == int(np.searchsorted(row, r, "right")) and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+        shared = {(u, v) for x, u, v, *_ in spans if x == 0} & {(u, v) for x, u, v, *_ in spans if x == 1}
+        assert len(shared) >= 3
+
+
+def test_predicted_stretches(spark):
+    """Against a plain version, on texts that share runs."""
+    rng = random.Random(11)
+    docs = []
+    for key in range(60):
+        segments = [(rng.randrange(6), rng.choice([1, 1, 1, 2, 3, 9]) * 10 + rng.randrange(2), 50.0) for _ in range(rng.randrange(0, 9))]
+        docs.append((key, rng.random() < 0.8, segments))
+    got = {r.key: r.saved for r in mixing.predicted_stretches(spark.createDataFrame(docs, "key long, train boolean, segments array<struct<run:bigint,stretch:bigint,bits:float>>")).collect()}
+    counts = collections.defaultdict(collections.Counter)
+    for _, train, segments in docs:
+        for run, stretch, _ in segments if train else []:
+            counts[run][stretch] += 1
+    best = {}
+    for run, c in counts.items():
+        classes = {}
+        for stretch, n in c.items():
+            classes[stretch % 8] = max(classes.get(stretch % 8, (0, 0)), (n, stretch))
+        best[run] = sorted(classes.values(), reverse=True)[:2]
+    cases, rows = collections.defaultdict(lambda: [0, 0]), []
+    for key, train, segments in docs:
+        before = (-9, 0)
+        for pos, (run, stretch, bits) in enumerate(segments):
+            own = collections.Counter(s for r, s, _ in segments if r == run and train)
+            left = [(n - own[s], i, s) for i, (n, s) in enumerate(best.get(run, []))]
+            n = sum(counts[run].values()) - sum(own.values())
+            most = max((x[0] for x in left), default=0)
+            if most <= 0:
+                continue
+            hit = next(s for c, _, s in left if c == most) == stretch
+            state = before[1] if before[0] == pos - 1 else 0
+            case = (state, min(int(math.log2(n)), 7), 4 * most // n)
+            before = (pos, 1 if hit else 2)
+            rows.append((key, hit, bits, case))
+            if train:
+                cases[case][0] += hit
+                cases[case][1] += 1
+    want = collections.defaultdict(float)
+    for key, hit, bits, case in rows:
+        p = (cases[case][0] + 0.4) / (cases[case][1] + 0.8) if case in cases else 0.5
+        want[key] += -math.log2(p) - bits if hit else -math.log2(1 - p)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary")
