@@ -9,9 +9,16 @@ stays: digits for digits, letters for letters in the same case and script, hex f
 octets within range, valid check digits for valid ones, a top-level domain and a country
 code as they were, given names with the ending of their gender.
 
+Names are replaced word by word, given and family names apart: "Mr John Smith", "Mr Smith" and
+"Dr John Smith" share their surrogates, and a full name that stands after a form of address once is replaced
+in the rest of its text too, without one. (A lone word of a name is not sought.) A
+given name after a title without gender takes the gender that it has elsewhere in the corpus.
+
 Collision checks: all distinct entities of the corpus are gathered with their
 replacements; where two of one type meet, or a replacement is itself an entity of the
-corpus, all but the first draw again until none is left. So distinct entities stay distinct.
+corpus, all but the first draw again until none is left. So distinct entities stay distinct. From the
+``WIDER``-th draw on, replacements grow by a character each time (addresses take the form of IPv6),
+so that free ones are found even where a format is used up.
 
 Null texts stay null; texts without entities are untouched; very long texts are searched
 whole; repeated rows change alike; ids are not used; empty tables give empty results;
@@ -23,11 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.keys import checkpoint
+from llm.keys import checkpoint, written
 
 _HONORIFICS_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "г-н", "κ")
 _HONORIFICS_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Madam", "г-жа", "κα")
-_HONORIFIC = "|".join(sorted(_HONORIFICS_M + _HONORIFICS_F, key=len, reverse=True))
+_HONORIFICS_N = ("Dr", "Dra", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "д-р", "проф", "δρ")
+_HONORIFIC = "|".join(sorted(_HONORIFICS_M + _HONORIFICS_F + _HONORIFICS_N, key=len, reverse=True))
+#: Draws of the same form before replacements get longer, and draws in all: each longer one has at least five times the room.
+WIDER, MOST = 8, 64
 #: Alternatives are tried in this order; each starts at a boundary, so a search takes linear time.
 PATTERN = "|".join(
     (
@@ -46,6 +56,8 @@ PATTERN = "|".join(
 MAYBE = rf"[0-9@]|(?i:password|passwd|secret|token|key)|(?<!\w)(?:{_HONORIFIC})\.? "
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдклмнпрст", "greek": "βγδζκλμνπρστ"}
+#: Last letters of given names.
+_WOMEN, _MEN = {"latin": "a", "cyrillic": "а", "greek": "α"}, {"latin": "o", "cyrillic": "н", "greek": "ς"}
 
 
 def entity_type(e: Column) -> Column:
@@ -77,17 +89,32 @@ def _ending(kind: Column, e: Column) -> Column:
     return F.when(kind == "email", F.regexp_extract(e, r"(\.[\w-]+)$", 1)).otherwise("")
 
 
-def with_parts(rows: DataFrame) -> DataFrame:
-    """Adds kind, fixed, ending, body and norm to rows with an ``entity``."""
+def with_units(rows: DataFrame) -> DataFrame:
+    """A row for each entity of ``rows``, or each word of a name: unit (its number), kind, body, before and after (what stays), gender, norm."""
     rows = rows.withColumn("kind", entity_type(F.col("entity")))
     rows = rows.withColumn("fixed", _fixed(F.col("kind"), F.col("entity"))).withColumn("ending", _ending(F.col("kind"), F.col("entity")))
     rows = rows.withColumn("body", F.expr("substring(entity, length(fixed) + 1, length(entity) - length(fixed) - length(ending))"))
-    gender = F.when(F.col("kind") == "name", F.when(F.rtrim(F.regexp_replace("fixed", r"\.", "")).isin(*_HONORIFICS_F), "f").otherwise("m")).otherwise("")
-    plain = F.lower(F.regexp_replace("body", r"[^\p{L}\p{N}]", ""))
+    title = F.rtrim(F.regexp_replace("fixed", r"\.", ""))
+    gender = F.when(title.isin(*_HONORIFICS_F), "f").when(title.isin(*_HONORIFICS_M), "m").otherwise("n")
     # hyphens and dots tell e-mail addresses, values and IP addresses apart, spacing does not tell numbers apart
     exact = F.col("kind").isin("email", "ip", "secret", "key")
-    norm = F.when(exact, F.lower("body")).otherwise(plain)
-    return rows.withColumn("norm", F.concat_ws("|", gender, F.when(F.col("kind") == "phone", F.col("fixed")).otherwise(""), norm, F.lower("ending")))
+    norm = F.concat_ws("|", F.when(F.col("kind") == "phone", F.col("fixed")).otherwise(""), F.when(exact, F.lower("body")).otherwise(flat(F.col("body"))), F.lower("ending"))
+    rows = rows.withColumn("words", F.split("body", "[ -]")).withColumn("gaps", F.regexp_extract_all("body", F.lit("[ -]"), F.lit(0)))
+
+    def word(w: Column, i: Column) -> Column:
+        given = i < F.size("words") - 1
+        before, after = F.when(i == 0, F.col("fixed")).otherwise(""), F.coalesce(F.get("gaps", i), F.lit(""))
+        return F.struct(F.when(given, "given").otherwise("family").alias("kind"), w.alias("body"), before.alias("before"), after.alias("after"), F.when(given, gender).otherwise("").alias("gender"), F.lower(w).alias("norm"))
+
+    whole = F.array(F.struct("kind", "body", F.col("fixed").alias("before"), F.col("ending").alias("after"), F.lit("").alias("gender"), norm.alias("norm")))
+    units = F.when(F.col("kind") == "name", F.transform("words", word)).otherwise(whole)
+    kept = [c for c in rows.columns if c not in ("kind", "fixed", "ending", "body", "words", "gaps")]
+    return rows.select(*kept, F.posexplode(units).alias("unit", "u")).select(*kept, "unit", "u.*")
+
+
+def flat(e: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
 
 
 def _digit_sum(digits: Column) -> Column:
@@ -101,13 +128,16 @@ def _digit_sum(digits: Column) -> Column:
 
 
 def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
-    """Adds ``surrogate`` to rows with the columns of :func:`with_parts` and an ``attempt``."""
-    rows = rows.withColumn("seed", F.sha2(F.concat_ws("\x00", F.lit(key), "kind", "norm", F.col("attempt").cast("string")), 256))
+    """Adds ``drawn``, the new body, to rows with the columns of :func:`with_units` and an ``attempt``."""
+    rows = rows.withColumn("seed", F.sha2(F.concat_ws("\x00", F.lit(key), "kind", "gender", "norm", F.col("attempt").cast("string")), 256))
     rows = rows.withColumn("hex", F.col("body").rlike("^[0-9a-fA-F]{8,}[\"']?$"))
-    rows = rows.withColumn("chars", F.split("body", ""))
+    number = F.col("kind").isin("phone", "card", "ssn")
+    wider = F.repeat(F.when(number, F.lit("7")).otherwise(F.lit("e")), F.greatest(F.col("attempt") - (WIDER - 1), F.lit(0)))
+    rows = rows.withColumn("chars", F.split(F.concat("body", wider), ""))
     # the number of the letter or digit, so that spacing does not change the draw
     rows = rows.withColumn("marks", F.transform("chars", lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), 1).otherwise(0)))
     rows = rows.withColumn("nth", F.transform(F.sequence(F.lit(1), F.greatest(F.size("marks"), F.lit(1))), lambda i: F.aggregate(F.slice("marks", 1, i), F.lit(0), lambda a, x: a + x)))
+    named = F.col("kind").isin("given", "family")
 
     def pick(letters: str, h: Column) -> Column:
         return F.substring(F.lit(letters), (F.pmod(h, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
@@ -115,67 +145,86 @@ def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
     def draw(c: Column, i: Column) -> Column:
         h = F.xxhash64("seed", i)
         low = F.lower(c)
-        named = F.when(F.pmod(i, F.lit(2)) == 0, _by_script(low, _VOWELS, pick, h)).otherwise(_by_script(low, _CONSONANTS, pick, h))
-        letter = F.when(F.col("hex"), pick("abcdef", h)).when(F.col("kind") == "name", named).when(low.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", h)).otherwise(named)
+        syllable = F.when(F.pmod(i, F.lit(2)) == 0, _by_script(low, _VOWELS, pick, h)).otherwise(_by_script(low, _CONSONANTS, pick, h))
+        letter = F.when(F.col("hex") & ~named, pick("abcdef", h)).when(named, syllable).when(low.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", h)).otherwise(syllable)
         letter = F.when(c == low, letter).otherwise(F.upper(letter))
         first_of_card = (F.col("kind") == "card") & (i == 1)
         return F.when(c.rlike(r"[0-9]"), F.when(first_of_card, c).otherwise(pick("0123456789", h))).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
-    rows = rows.withColumn("drawn", F.array_join(F.zip_with("chars", "nth", draw), ""))
+    rows = rows.withColumn("new", F.array_join(F.zip_with("chars", "nth", draw), ""))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.pmod(F.xxhash64("seed", i), F.lit(254)).cast("int") + F.lit(1)), ".")
-    digits = F.regexp_replace("drawn", "[^0-9]", "")
+    long_ip = F.concat(F.lit("fd"), F.substring("seed", 1, 2), *(x for i in range(7) for x in (F.lit(":"), F.substring(F.col("seed"), 4 * i + 5, 4))))
+    digits = F.regexp_replace("new", "[^0-9]", "")
     valid = _digit_sum(F.regexp_replace("body", "[^0-9]", "")) % 10 == 0
-    check = F.pmod(F.col("drawn").substr(-1, 1).cast("int") - _digit_sum(digits), F.lit(10)).cast("string")
-    card = F.when(valid, F.concat(F.expr("substring(drawn, 1, length(drawn) - 1)"), check)).otherwise(F.col("drawn"))
-    # the first of two names is a given name: a for women, o for men
-    vowel = F.when(F.col("norm").startswith("f|"), F.lit("a")).otherwise(F.lit("o"))
-    name = F.when(F.col("drawn").rlike("^[A-Za-z]+[ -]"), F.concat(F.regexp_extract("drawn", r"^(\p{L}+)\p{L}[ -]", 1), vowel, F.regexp_extract("drawn", r"^\p{L}+([ -].*)$", 1))).otherwise(F.col("drawn"))
-    body = F.when(F.col("kind") == "ip", octets).when(F.col("kind") == "card", card).when(F.col("kind") == "name", name).otherwise(F.col("drawn"))
-    return rows.withColumn("surrogate", F.concat("fixed", body, "ending")).drop("seed", "hex", "chars", "marks", "nth", "drawn")
+    check = F.pmod(F.substring("new", -1, 1).cast("int") - _digit_sum(digits), F.lit(10)).cast("string")
+    card = F.when(valid, F.concat(F.expr("substring(new, 1, length(new) - 1)"), check)).otherwise(F.col("new"))
+    low, keep = F.lower("new"), lambda letter, h: F.lit(letter)
+    last = F.when(F.col("gender") == "f", _by_script(low, _WOMEN, keep, low)).when(F.col("gender") == "m", _by_script(low, _MEN, keep, low)).otherwise(F.substring("new", -1, 1))
+    given = F.concat(F.expr("substring(new, 1, length(new) - 1)"), last)
+    new = F.when(F.col("kind") == "ip", F.when(F.col("attempt") < WIDER, octets).otherwise(long_ip)).when(F.col("kind") == "card", card).when((F.col("kind") == "given") & (F.length("new") > 1), given).otherwise(F.col("new"))
+    return rows.withColumn("drawn", new).drop("seed", "hex", "chars", "marks", "nth", "new")
 
 
 def _by_script(low: Column, letters: dict[str, str], pick, h: Column) -> Column:
     return F.when(low.rlike(r"\p{IsCyrillic}"), pick(letters["cyrillic"], h)).when(low.rlike(r"\p{IsGreek}"), pick(letters["greek"], h)).otherwise(pick(letters["latin"], h))
 
 
-def _attempts(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) for the entities whose first replacement would clash; few, if any."""
-    forms = entities.groupBy("kind", "norm").agg(F.min("entity").alias("entity"))
-    forms = checkpoint(with_parts(forms.drop("kind", "norm")))
+def _attempts(units: DataFrame, key: str) -> DataFrame:
+    """(kind, gender, norm, attempt) for the units whose first replacement would clash; few, if any."""
+    unit = ["kind", "gender", "norm"]
+    forms = checkpoint(units.groupBy(*unit).agg(F.min(F.struct("body", "after")).alias("form")).select(*unit, "form.body", "form.after"))
+    # a replacement must not be that of another unit or any unit of the corpus, whatever the punctuation
+    plain = lambda c: flat(F.concat(c, F.when(F.col("kind").isin("given", "family"), "").otherwise(F.col("after"))))
+    real = forms.select("kind", plain(F.col("body")).alias("flat")).distinct()
     current = forms.withColumn("attempt", F.lit(0))
-    real = forms.select("kind", F.col("norm").alias("drawn_norm")).distinct()
-    while True:
-        drawn = with_surrogate(current, key).select("kind", "norm", "entity", "fixed", "ending", "body", "attempt", "surrogate")
-        again = with_parts(drawn.select(F.col("kind").alias("kind0"), F.col("norm").alias("norm0"), "attempt", F.col("surrogate").alias("entity")))
-        again = again.select(F.col("kind0").alias("kind"), F.col("norm0").alias("norm"), "attempt", F.col("norm").alias("drawn_norm"))
-        again = checkpoint(again)
-        twice = again.groupBy("kind", "drawn_norm").agg(F.min("norm").alias("owner"), F.count("*").alias("n")).where("n > 1")
-        clash = again.join(twice, ["kind", "drawn_norm"]).where("norm <> owner").select("kind", "norm")
-        clash = checkpoint(clash.unionByName(again.join(real, ["kind", "drawn_norm"], "left_semi").select("kind", "norm")).distinct())
+    for _ in range(MOST):
+        again = checkpoint(with_surrogate(current, key).select(*unit, "attempt", plain(F.col("drawn")).alias("flat")))
+        twice = again.groupBy("kind", "flat").agg(F.min(F.struct("norm", "gender")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+        clash = again.join(twice, ["kind", "flat"]).where((F.col("norm") != F.col("owner.norm")) | (F.col("gender") != F.col("owner.gender"))).select(*unit)
+        clash = checkpoint(clash.unionByName(again.join(real, ["kind", "flat"], "left_semi").select(*unit)).distinct())
         if clash.isEmpty():
-            return again.where("attempt > 0").select("kind", "norm", "attempt")
+            return again.where("attempt > 0").select(*unit, "attempt")
         hit = clash.withColumn("hit", F.lit(1))
-        current = checkpoint(forms.join(again.select("kind", "norm", "attempt"), ["kind", "norm"]).join(hit, ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).drop("hit"))
+        current = checkpoint(forms.join(again.select(*unit, "attempt"), unit).join(hit, unit, "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).drop("hit"))
+    raise RuntimeError(f"some replacements still clash after {MOST} draws")
+
+
+def with_genders(units: DataFrame) -> DataFrame:
+    """Given names after a title without gender get the one that they have elsewhere."""
+    known = units.where("kind = 'given' and gender <> 'n'").groupBy("norm").agg(F.min("gender").alias("known"))
+    gender = F.when((F.col("kind") == "given") & (F.col("gender") == "n"), F.coalesce("known", "gender")).otherwise(F.col("gender"))
+    return units.join(known, "norm", "left").withColumn("gender", gender).drop("known")
 
 
 def replace_personal_data(docs: DataFrame, *, text_col: str = "text", key: str = "k1") -> DataFrame:
     """``docs`` with all entities in ``text_col`` replaced, and ``n_replaced``."""
-    docs = docs.drop("n_replaced")
+    docs = docs.drop("n_replaced", "_found")
     columns = docs.columns
     text = F.col(text_col)
     found = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    # the texts are searched once
+    marked = written(docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))))
+    some = marked.where(F.size("_found") > 0).withColumn("_text", F.sha2(text, 256))
     # one row for each different text that holds entities
-    lists = checkpoint(marked.where(F.size("_found") > 0).select(F.sha2(text, 256).alias("_text"), F.col("_found").alias("found")).distinct())
-    each = with_parts(lists.select("_text", F.posexplode("found").alias("pos", "entity")))
-    attempts = checkpoint(_attempts(each.select("kind", "norm", "entity"), key))
-    each = with_parts(lists.select("_text", F.posexplode("found").alias("pos", "entity")))
-    drawn = with_surrogate(each.join(attempts, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key)
-    by_text = drawn.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("_new"))
-    changed = marked.where(F.size("_found") > 0).withColumn("_text", F.sha2(text, 256)).join(by_text, "_text")
-    rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN), "_new", lambda part, new: F.concat(part, F.coalesce(new.surrogate, F.lit("")))), "")
-    changed = changed.withColumn(text_col, rebuilt).withColumn("n_replaced", F.size("_found").cast("long")).select(*columns, "n_replaced")
-    same = marked.where(F.size("_found") == 0).withColumn("n_replaced", F.lit(0).cast("long")).select(*columns, "n_replaced")
+    lists = some.select("_text", "_found").dropDuplicates(["_text"])
+    units = checkpoint(with_genders(with_units(lists.select("_text", F.posexplode("_found").alias("pos", "entity")))))
+    attempts = checkpoint(_attempts(units, key))
+    drawn = with_surrogate(units.join(attempts, ["kind", "gender", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key)
+    drawn = checkpoint(drawn.select("_text", "pos", "unit", "kind", "entity", F.concat("before", "drawn", "after").alias("piece"), F.length("before").alias("fixed")))
+    pieces = drawn.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "piece"))).alias("_new"))
+    full = drawn.where("kind in ('given', 'family')").groupBy("_text", "pos").agg(F.min("entity").alias("entity"), F.sort_array(F.collect_list(F.struct("unit", "piece"))).alias("words"), F.max("fixed").alias("fixed")).where("size(words) > 1")
+    full = full.select("_text", F.expr("substring(entity, fixed + 1)").alias("old"), F.expr("substring(array_join(words.piece, ''), fixed + 1)").alias("new"))
+    bare = full.groupBy("_text", "old").agg(F.min("new").alias("new")).groupBy("_text").agg(F.sort_array(F.collect_list(F.struct(-F.length("old"), "old", "new"))).alias("_bare"))
+    changed = some.join(pieces, "_text").join(bare, "_text", "left").withColumn("_parts", F.split(text, PATTERN))
+    named = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x.old, F.lit(r"\E(?![\p{L}\p{N}])"))
+    count = lambda n, p: F.aggregate("_bare", n, lambda m, x: m + F.size(F.regexp_extract_all(p, named(x), F.lit(0))).cast("long"))
+    again = F.when(F.col("_bare").isNotNull(), F.aggregate("_parts", F.lit(0).cast("long"), count)).otherwise(0)
+    changed = changed.withColumn("n_replaced", F.size("_found").cast("long") + again)
+    swap = lambda p: F.aggregate("_bare", p, lambda t, x: F.regexp_replace(t, named(x), x.new))
+    changed = changed.withColumn("_parts", F.when(F.col("_bare").isNotNull(), F.transform("_parts", swap)).otherwise(F.col("_parts")))
+    rebuilt = F.concat(F.array_join(F.transform("_new", lambda x: F.concat(F.when(x.unit == 0, F.get("_parts", x.pos)).otherwise(""), x.piece)), ""), F.element_at("_parts", -1))
+    changed = changed.withColumn(text_col, rebuilt).select(*columns, "n_replaced")
+    same = marked.where(F.size("_found") == 0).select(*columns, F.lit(0).cast("long").alias("n_replaced"))
     return same.unionByName(changed)
 
 

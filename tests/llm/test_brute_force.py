@@ -310,6 +310,57 @@ def test_surrogate_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_surrogates_end_where_a_format_is_used_up(spark):
+    """Every address of one letter on either side is an entity; the replacements get longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{a}@{b}.com" for a in letters for b in letters]
+    got = [r.text for r in surrogates.replace_personal_data(frame(spark, texts)).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts) and all(re.fullmatch(r"[a-z]+@[a-z]+\.com", x) for x in got)
+
+
+def test_surrogates_of_names_agree(spark):
+    texts = ["Mr John Smith met Ms Mary Smith. Mr Smith left; John Smith, Dr. John Smith and John Smithson stayed.", "Prof Mary Jones", "Prof Ariel Jones and Mr. Anna-Lee Ray Fox, Anna-Lee Ray Fox"]
+    rows = {r.doc_id: r for r in surrogates.replace_personal_data(frame(spark, texts)).collect()}
+    m = re.fullmatch(r"Mr (\w+o) (\w+) met Ms (\w+a) (\w+)\. Mr (\w+) left; (\w+) (\w+), Dr\. (\w+) (\w+) and John Smithson stayed\.", rows[0].text)
+    john, smith, mary = m[1], m[2], m[3]
+    assert m.groups() == (john, smith, mary, smith, smith, john, smith, john, smith) and rows[0].n_replaced == 5
+    n = re.fullmatch(r"Prof (\w+) (\w+)", rows[1].text)
+    assert n[1] == mary and n[2] not in (smith, "Jones")
+    o = re.fullmatch(r"Prof (\w+) (\w+) and Mr\. (\w+-\w+ \w+ \w+), (\w+-\w+ \w+ \w+)", rows[2].text)
+    assert o[2] == n[2] and o[3] == o[4] != "Anna-Lee Ray Fox" and rows[2].n_replaced == 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_surrogates_on_documents(spark):
+    """Against a search by another regex engine: what lies between entities stays, and the replacements are one to one."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in surrogates.replace_personal_data(docs).collect()}
+    assert before.keys() == after.keys()
+    find = regex.compile(surrogates.PATTERN)
+    swaps, found = set(), 0
+    for i, text in before.items():
+        parts, last, entities = [], 0, []
+        for m in find.finditer(text):
+            parts.append(text[last : m.start()])
+            entities.append(m[0])
+            last = m.end()
+        found += len(entities)
+        parts.append(text[last:])
+        assert after[i].n_replaced >= len(entities)
+        names = [e for e in entities if re.match(rf"(?:{surrogates._HONORIFIC})\.? ", e)]
+        if not entities:
+            assert after[i].text == text
+        elif not names:
+            got = re.fullmatch("(.+?)".join(map(re.escape, parts)), after[i].text, re.S)
+            assert got and len(got.groups()) == len(entities)
+            swaps |= {(regex.sub(r"[^\p{L}\p{N}]", "", x).lower(), regex.sub(r"[^\p{L}\p{N}]", "", y).lower()) for x, y in zip(entities, got.groups(), strict=True)}
+    assert found > 20 and len({x for x, _ in swaps}) == len({y for _, y in swaps}) == len(swaps)
+    assert not {x for x, _ in swaps} & {y for _, y in swaps}
+
+
 def test_licenses():
     scan = lambda t: licenses.match_rules(licenses.sentence_ids(t))
     mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and so on. The above copyright notice and this permission notice shall be included in all copies or parts. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
