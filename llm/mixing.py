@@ -37,9 +37,10 @@ not read.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,15 @@ RUN, EVERY = 4, 32
 SLOTS = (1 << 18, 1 << 18, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
 _PRIOR = (0.4, 0.4, 0.3, 0.3, 0.15, 0.15)
 #: Bytes of training text to a task, at least; each task sends its tables.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
+#: Slots whose counts are sent as one row.
+ROW_SLOTS = 1 << 12
 #: Symbols between two corrections of weights and counts, at most; small blocks have 16 corrections.
 BATCH = 1 << 12
 #: Bytes of text that are parsed, and the largest block that is worked through at a time.
 _PIECE, _BLOCK = 1 << 20, 8 << 20
-#: Different words that a task gathers before it sends them, and symbols that it works through at a time.
-_HELD, _CHUNK = 1 << 20, 1 << 14
+#: Different words that a task gathers before it sends them, and symbols and words that it works through at a time.
+_HELD, _CHUNK, _WORDS = 1 << 20, 1 << 14, 1 << 15
 _END_HASH = ts.mix(np.array([0x5E4D], np.uint64))[0]
 _OTHER = 0  # no telling word
 _STOP, _END, _SYMBOLS = 256, 257, 258  # the end of a word, and of a text
@@ -291,17 +294,46 @@ class Learner:
         self.total += int(times.sum())
 
 
-    def sent(self, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows (at, zero, one) of all counts, which then begin again."""
-        for first, counts in zip(starts, self.counts, strict=False):
-            both = counts.reshape(-1, 2)
-            used = np.flatnonzero(both.any(axis=1))
-            for lo in range(0, len(used), 1 << 16):
-                u = used[lo : lo + (1 << 16)]
-                yield pa.record_batch([pa.array((first + u).astype(np.int32)), pa.array(both[u, 0].astype(np.float64)), pa.array(both[u, 1].astype(np.float64))], names=["at", "zero", "one"])
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """Rows (block, body) of all counts, packed, which then begin again."""
+        block = 0
+        for counts in self.counts:
+            rows = counts.reshape(-1, min(len(counts), 2 * ROW_SLOTS))
+            used = np.flatnonzero(rows.any(axis=1))
+            for lo in range(0, len(used), 256):
+                u = used[lo : lo + 256]
+                yield pa.record_batch([pa.array((block + u).astype(np.int32)), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in u], pa.binary())], names=["block", "body"])
+            block += len(rows)
             counts[:] = 0
         self.total = 0
 
+    def weighed(self) -> pa.RecordBatch:
+        """One row of the weights, by the curvature seen, and the refinement."""
+        h = self.h - 50.0
+        value = np.concatenate([(self.w * h).ravel(), h.ravel(), self.sums.ravel()])
+        return pa.record_batch([pa.array([-1], pa.int32()), pa.array([zlib.compress(value.tobytes(), 1)], pa.binary())], names=["block", "body"])
+
+
+def add_up(batches: Iterable[pa.RecordBatch], slots: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """From rows of all tasks, sorted by block: (block, body), the entries of the tables, and the sums of the weights for block -1."""
+    first = np.cumsum([0, *(n // min(n, ROW_SLOTS) for n in slots)])
+    now, total = None, np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        body = total if now < 0 else codes(*total.reshape(-1, 2).T, int(np.searchsorted(first, now, "right")) - 1)
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array([body.tobytes()], pa.binary())], names=["block", "body"])
+
+    for batch in batches:
+        for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = np.frombuffer(zlib.decompress(body.as_py()), np.float64 if block < 0 else np.uint32)
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, total = block, np.zeros(len(more))
+            total += more
+    if now is not None:
+        yield done()
+
 
 def codes(zero: np.ndarray, one: np.ndarray, k: int) -> np.ndarray:
     """The entries of table ``k`` for some counts."""
@@ -420,7 +452,7 @@ def parse(model: Model, data: np.ndarray, off: np.ndarray) -> Parsed:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + _PIECE, "right")) - 1)
         h, row, start, stop = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         klass = histories(model.clusters, model.symbols(h), row)
-        parts.append((row + lo, klass, h, start + off[lo], stop + off[lo]))
+        parts.append(((row + lo).astype(np.int32), klass.astype(np.int8), h, (start + off[lo]).astype(np.int32), (stop + off[lo]).astype(np.int32)))
         lo = hi
     return Parsed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -520,12 +552,19 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
 
 
+def _spellings(data: np.ndarray, p: Parsed, first: np.ndarray) -> Iterator[tuple[slice, Spelled]]:
+    """The different words of a block, some at a time."""
+    for lo in range(0, len(first), _WORDS):
+        s = slice(lo, min(lo + _WORDS, len(first)))
+        yield s, spell(data, p.start[first[s]].astype(np.int64), p.stop[first[s]].astype(np.int64), p.klass[first[s]].astype(np.int64))
+
+
 def learn_text(model: Model, learner: Learner, data: np.ndarray, off: np.ndarray) -> None:
     """Goes through one block of texts."""
     p = parse(model, data, off)
     first, _, times = p.different()
-    s = spell(data, p.start[first], p.stop[first], p.klass[first])
-    learner.learn(s, times[s.word])
+    for part, s in _spellings(data, p, first):
+        learner.learn(s, times[part][s.word])
 
 
 def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> Model:
@@ -565,44 +604,31 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
     at, n = near.column("at").to_numpy(), near.column("n").to_numpy()
     model.clusters = clusters_of(at // _TELLING, at % _TELLING, n)
     plain = spark.sparkContext.broadcast(model)
-    starts = np.cumsum([0, *model.mixer.slots])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(plain.value.mixer)
         for data, off in _growing(batches):
             learn_text(plain.value, learner, data, off)
             if learner.total > 1 << 30:  # before a count can overflow
-                yield from learner.sent(starts)
-        yield from learner.sent(starts)
-        h = learner.h - 50.0
-        value = np.concatenate([(learner.w * h).ravel(), h.ravel(), learner.sums.ravel()])
-        yield pa.record_batch([pa.array(-1 - np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.zeros(len(value)))], names=["at", "zero", "one"])
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, at, zero, one = (c.to_numpy() for c in batch.columns)
-            for b in np.unique(block):
-                hit = block == b
-                blocks.setdefault(int(b), np.zeros((2, 1 << 16)))[:, at[hit] & 0xFFFF] = zero[hit], one[hit]
-        for b, (zero, one) in blocks.items():
-            k = int(np.searchsorted(starts, b << 16, "right")) - 1
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([(codes(zero, one, k) if b >= 0 else zero).tobytes()], pa.binary())], names=["block", "body"])
+                yield from learner.sent()
+        yield from learner.sent()
+        yield learner.weighed()
 
-    tasks = max(1, int(letters.sum()) // TASK_BYTES)
-    added = train.select("text").coalesce(tasks).mapInArrow(learn, "at int, zero double, one double").groupBy("at").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    # one row for each 65,536 slots of the model
-    got = added.select(F.shiftright("at", 16).alias("block"), "at", "zero", "one").repartition("block").mapInArrow(pack, "block int, body binary").toArrow()
     mixer = model.mixer
-    table = np.zeros(starts[-1], np.int16)
-    value = np.zeros(1 << 16)
+    tasks = max(1, int(letters.sum()) // TASK_BYTES)
+    parts = train.select("text").coalesce(tasks).mapInArrow(learn, "block int, body binary")
+    # one row for each block of the model's slots
+    got = parts.repartition("block").sortWithinPartitions("block").mapInArrow(partial(add_up, slots=mixer.slots), "block int, body binary").toArrow()
+    table, value = np.zeros(sum(mixer.slots), np.int16), np.zeros(0)
     for block, body in zip(got.column("block").to_pylist(), got.column("body").to_pylist(), strict=True):
         if block < 0:
-            value = np.frombuffer(body, np.float64)[::-1]  # the n-th value is at -1 - n
+            value = np.frombuffer(body, np.float64)
         else:
-            table[block << 16 : (block + 1) << 16] = np.frombuffer(body, np.int16)
-    mixer.codes = np.split(table, starts[1:-1])
+            table[block * ROW_SLOTS : (block + 1) * ROW_SLOTS] = np.frombuffer(body, np.int16)
+    mixer.codes = np.split(table, np.cumsum(mixer.slots)[:-1])
     n = _GATES * mixer.width
+    if not len(value):
+        value = np.zeros(2 * n + 2 * _SYMBOLS * _SUMS)
     h = value[n : 2 * n].reshape(_GATES, mixer.width)
     mixer.weights = np.where(h > 1e-3, value[:n].reshape(_GATES, mixer.width) / np.maximum(h, 1e-3), first_weights(mixer.width - 1))
     mixer.sums = value[2 * n : 2 * n + 2 * _SYMBOLS * _SUMS].reshape(2, _SYMBOLS, _SUMS)
@@ -677,8 +703,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
             n = len(off) - 1
             p = parse(model, data, off)
             first, back, _ = p.different()
-            s = spell(data, p.start[first], p.stop[first], p.klass[first])
-            bits = -np.bincount(s.word, weights=model.mixer.log2(s), minlength=len(first))[back]
+            bits = np.concatenate([-np.bincount(s.word, weights=model.mixer.log2(s), minlength=part.stop - part.start) for part, s in _spellings(data, p, first)])[back]
             c = model.counted(p.hash[first])
             base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / scale), 0.0)[back]
             run, stretch, begin, end = stretches(p.hash, p.row, n)
