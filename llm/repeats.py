@@ -12,12 +12,17 @@ settled by their hash alone, and buckets with one member are unique. What is lef
 segments where copies begin, end or differ, is a few hundredths of the input.
 
 Sorting bucket by bucket. The texts of those segments are dealt out by bucket. A task
-lays some whole buckets at a time into one buffer, with all anchors at a multiple of the
-cover's period, ranks the suffixes that start at the positions of a difference cover, and
-sorts the windows of the buckets by their first and last bytes; longer ties are broken by
-the ranks of the cover samples inside the window. Memory is that of one buffer. A bucket
-with more than ``HOT`` members (a line that a third of all documents have) is dealt out
-by finer buckets, of ``FINE`` neighbouring windows with the bytes they have in common.
+takes some whole buckets at a time into one buffer, ranks the suffixes that start at the positions of a
+difference cover (by their first bytes, then by pairs of ranks one period on, two, four and so on until none are equal), and
+puts the suffixes of the buckets in order: by as many bytes as the period has, then ties by the
+ranks of the two cover samples at the offset that the residues of the two suffixes share.
+Suffixes that follow each other and agree in ``length`` bytes are copies; all but
+the first of the input go. Memory is that of one buffer.
+
+Hot buckets. Buckets with more than ``HOT`` members are not sorted: their windows are dealt
+out one by one, by a hash of all their bytes. Those that hold more than one in ``SHARE`` of a task's segments are
+known from a first pass over the texts, and their segments are dealt out by
+content from the start, so that no task gets a bucket whole. Whether a bucket counts as hot changes no result.
 
 Null texts are empty and lose nothing; empty tables give empty results; ids may be null
 or repeat (see :func:`llm.keys.with_key`); further columns are not read.
@@ -39,10 +44,12 @@ from llm.keys import checkpoint, with_key
 ANCHOR = 24
 PERIOD = 32
 HOT = 512
-FINE = 8
+SHARE = 4000
 #: Bytes of bucket text that a task sorts at a time.
 BUFFER = 2 << 20
 _PLACE = np.uint64(30)
+#: Marks of buckets: segments of one content, windows of one content, and windows known to be copies.
+_CONTENT, _WINDOW, _KNOWN = 1 << 50, 1 << 51, 1 << 52
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -65,12 +72,8 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:m], before[w - 1 : w - 1 + m])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, whole, key, place): place holds the first window, their number, and the anchor's offset.
-
-    A segment found earlier in the same piece goes out as settled: place is negative and
-    the bucket a hash of its place.
-    """
+def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(keys, row, offsets, span sums, bucket, anchor, first window, last window, text) of all segments of each piece."""
     width = length - ANCHOR + 1
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -88,25 +91,57 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             new[1:-1] = (anchor[1:] != anchor[:-1]) | ~inside[:-1] | ~inside[1:]
             first = np.flatnonzero(new[:-1] & inside)
             last = np.flatnonzero(new[1:] & inside)
-            if not len(first):
-                continue
-            at = anchor[first]
-            whole = ts.mix(ts.span_hashes(sums, first, last + length) ^ ((at - first) * 128 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            bucket = grams[at] >> np.uint64(16)
-            key = keys[row + doc[first]]
-            place = ((first - off[doc[first]]) << 14) | ((last - first + 1) << 7) | (at - first)
-            order = np.lexsort((place, key, whole))
-            again = np.zeros(len(first), bool)
-            again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
-            bucket = np.where(again, ts.mix(key.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(20))) >> np.uint64(16), bucket)
-            yield pa.record_batch([pa.array(bucket.astype(np.int64)), pa.array(whole.view(np.int64)), pa.array(key), pa.array(np.where(again, -place - 1, place))], names=["bucket", "whole", "key", "place"])
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(first):
+                at = anchor[first]
+                yield keys, row + doc[first], first - off[doc[first]], sums, (grams[at] >> np.uint64(16)).astype(np.int64), at, first, last
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], length: int, hot: int, share: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) of the buckets with more than one in ``share`` of a task's segments, at most ``share`` of them."""
+    known, sums, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for *_, bucket, _, first, _ in _anchors(batches, length):
+        total += len(first)
+        new, n = np.unique(bucket, return_counts=True)
+        known, back = np.unique(np.concatenate([known, new]), return_inverse=True)
+        sums = np.bincount(back, weights=np.concatenate([sums, n])).astype(np.int64)
+        if len(known) > 1 << 20:  # the rare ones of what has been seen go
+            keep = sums > max(1, total // (8 * share))
+            known, sums = known[keep], sums[keep]
+    keep = sums > max(hot, total // share)
+    yield pa.record_batch([pa.array(known[keep]), pa.array(sums[keep])], names=["bucket", "n"])
+
+
+def hot_buckets(texts: DataFrame, length: int, hot: int = HOT, share: int = SHARE) -> np.ndarray:
+    """At most ``share`` buckets, sorted: the largest of those that are frequent in some task."""
+    found = texts.mapInArrow(partial(_frequent, length=length, hot=hot, share=share), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return np.sort(found.orderBy(F.desc("n"), "bucket").limit(share).toArrow().column("bucket").to_numpy())
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, whole, key, place): place holds the first window, their number, and the anchor's offset.
+
+    A segment found earlier in the same piece goes out as settled: place is negative and
+    the bucket a hash of its place.
+    """
+    for keys, row, start, sums, bucket, at, first, last in _anchors(batches, length):
+        whole = ts.mix(ts.span_hashes(sums, first, last + length) ^ ((at - first) * 128 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if len(hot):
+            often = hot[np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)] == bucket
+            bucket = np.where(often, (ts.mix(bucket.astype(np.uint64) ^ whole) >> np.uint64(16)).astype(np.int64) | _CONTENT, bucket)
+        key = keys[row]
+        place = (start << 14) | ((last - first + 1) << 7) | (at - first)
+        order = np.lexsort((place, key, whole))
+        again = np.zeros(len(first), bool)
+        again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
+        bucket = np.where(again, (ts.mix(key.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(20))) >> np.uint64(16)).astype(np.int64), bucket)
+        yield pa.record_batch([pa.array(bucket), pa.array(whole.view(np.int64)), pa.array(key), pa.array(np.where(again, -place - 1, place))], names=["bucket", "whole", "key", "place"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
     """From segments sorted by (bucket, whole, key, place): (key, place, bucket, open).
 
     open 0: all windows of the segment are repeats; 1: its bucket has other segments, 2: many.
-    A bucket is held back until it ends or has more than HOT rows; then all its segments
+    A bucket is held back until it ends or has more than ``most`` rows; then all its segments
     are open, as others may follow.
     """
     held = np.zeros((0, 4), np.int64)
@@ -129,9 +164,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(begins) - 1
         kinds = np.bincount(group, weights=~same)[group]
         size = np.bincount(group)[group]
-        kind = np.where(kinds > 1, np.where(size > HOT, 2, 1), 0)
+        kind = np.where(kinds > 1, np.where(size > most, 2, 1), 0)
         if hot is not None:
             kind = np.where(rows[:, 0] == hot, 2, kind)
+        kind = np.where(rows[:, 0] & _CONTENT > 0, 2, kind)
         if early:  # the last bucket goes on
             kind = np.where(rows[:, 0] == rows[-1, 0], 2, kind)
         return out(rows, same & ~known, kind, known)
@@ -142,7 +178,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         tail = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        flush = len(rows) - tail > HOT or rows[-1, 0] == hot
+        flush = len(rows) - tail > most or rows[-1, 0] == hot
         done = rows if flush else rows[:tail]
         if len(done):
             yield judge(done, flush)
@@ -156,7 +192,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (key, text, open segments): (bucket, key, start, n, offset, bytes) of their texts, hot ones in finer pieces."""
+    """From (key, text, open segments): (bucket, key, start, n, bytes) of their texts; of hot ones each window, without its bytes."""
+    names = ["bucket", "key", "start", "n", "bytes"]
     for batch in batches:
         keys, lists = batch.column(0).to_numpy(), batch.column(2)
         for row, data, off in ts.pieces(batch.column(1)):
@@ -166,31 +203,28 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 continue
             doc = np.repeat(np.arange(len(off) - 1), np.diff(part.offsets.to_numpy()))
             place, bucket, kind = (flat.field(k).to_numpy() for k in range(3))
-            start, n, at = place >> 14, (place >> 7) & 127, place & 127
-            hot = kind > 1
-            if hot.any():  # windows by their distance from the anchor, FINE at a time
-                low, high = at - n + 1, at
-                pieces = np.where(hot, high // FINE - low // FINE + 1, 1)
-                i = np.repeat(np.arange(len(n)), pieces)
-                k = np.arange(len(i)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                # distances of the k-th piece, from the far end of the segment
-                group = low[i] // FINE + k
-                lo = np.where(hot[i], np.maximum(low[i], group * FINE), low[i])
-                hi = np.where(hot[i], np.minimum(high[i], group * FINE + FINE - 1), high[i])
-                core_lo = start[i] + at[i] - group * FINE  # what all windows of the group have in common
-                core_hi = start[i] + at[i] - (group * FINE + FINE - 1) + length
-                sums = ts.prefix_hashes(data)
-                base = off[doc[i]]
-                core = ts.span_hashes(sums, np.where(hot[i], base + np.maximum(core_lo, 0), 0), np.where(hot[i], base + np.maximum(core_hi, 0), 0))
-                bucket = np.where(hot[i], (ts.mix(core ^ ts.mix(group.astype(np.uint64))) >> np.uint64(1)).astype(np.int64), bucket[i])
-                doc, start, n, at = doc[i], start[i] + at[i] - hi, hi - lo + 1, hi
+            start, n, hot = place >> 14, (place >> 7) & 127, kind > 1
+            if hot.any():
+                i = np.repeat(np.flatnonzero(hot), n[hot])
+                at = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+                key, begin = keys[row + doc[i]], off[doc[i]] + at
+                h = ts.span_hashes(ts.prefix_hashes(data), begin, begin + length)
+                order = np.lexsort((at, key, h))
+                key, at, h = key[order], at[order], h[order]
+                first = np.ones(len(h), bool)
+                first[1:] = h[1:] != h[:-1]
+                deal = np.where(first, (h >> np.uint64(16)).astype(np.int64) | _WINDOW, (ts.mix(h ^ key.astype(np.uint64) ^ at.astype(np.uint64) << np.uint64(32)) >> np.uint64(16)).astype(np.int64) | _KNOWN)
+                yield pa.record_batch([pa.array(deal), pa.array(key), pa.array(at), pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.binary())], names=names)
+                doc, start, n, bucket = doc[~hot], start[~hot], n[~hot], bucket[~hot]
+            if not len(doc):
+                continue
             begin = off[doc] + start
             size = n + length - 1
             out_off = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=out_off[1:])
             take = np.repeat(begin - out_off[:-1], size) + np.arange(out_off[-1])
             body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(out_off), pa.py_buffer(data[take])])
-            yield pa.record_batch([pa.array(bucket), pa.array(keys[row + doc]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), body.cast(pa.binary())], names=["bucket", "key", "start", "n", "at", "bytes"])
+            yield pa.record_batch([pa.array(bucket), pa.array(keys[row + doc]), pa.array(start), pa.array(n.astype(np.int32)), body.cast(pa.binary())], names=names)
 
 
 def _refine(classes: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -200,79 +234,147 @@ def _refine(classes: np.ndarray, more: np.ndarray) -> np.ndarray:
     return both
 
 
-def repeated_windows(texts: list[np.ndarray], length: int, key: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class SuffixOrder:
+    """Order of the suffixes of a buffer of bytes by the ranks of a difference cover."""
+
+    def __init__(self, buffer: np.ndarray, period: int = PERIOD) -> None:
+        self.period = period
+        cover = difference_cover(period)
+        n = len(buffer)
+        padded = np.zeros(n + 6 * period, np.uint8)
+        padded[:n] = buffer
+        self.words = np.zeros(len(padded) - 7, np.uint64)  # eight bytes from each position, most significant first
+        for k in range(8):
+            self.words = (self.words << np.uint64(8)) | padded[k : len(padded) - 7 + k]
+        # samples up to a period after the last byte, where suffixes are empty and so come first
+        samples = (np.arange(0, n + period, period)[:, None] + cover[None, :]).ravel()
+        rank = np.zeros(len(samples), np.int64)
+        for k in range(0, period, 8):
+            rank = _refine(rank, self.words[samples + k])
+        self.rank = np.full(n + 6 * period, -1, np.int64)
+        self.rank[samples] = rank
+        ahead = period
+        while ahead <= n + period and rank.max() + 1 < len(samples):
+            rank = _refine(rank, self.rank[np.minimum(samples + ahead, len(self.rank) - 1)])
+            self.rank[samples] = rank
+            ahead *= 2
+        inside = np.zeros(period, bool)
+        inside[cover] = True
+        r, d = np.arange(period), np.arange(period)
+        both = inside[(r[:, None, None] + d) % period] & inside[(r[None, :, None] + d) % period]
+        #: For two residues the offset that takes both to the cover.
+        self.shared = both.argmax(axis=2)
+
+    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffix a comes before suffix b, which agrees with it in one period of bytes."""
+        d = self.shared[a % self.period, b % self.period]
+        return self.rank[a + d] < self.rank[b + d]
+
+    def sort(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, tie): suffixes by group, then by their bytes; those of one tie agree in a period of bytes."""
+        tie = group
+        for k in range(0, self.period, 8):
+            tie = _refine(tie, self.words[at + k])
+        residue = at % self.period
+        own = self.rank[at + self.shared[residue, residue]]
+        order = np.lexsort((own, residue, tie))
+        # the suffixes of one tie and residue are in order: a run; neighbouring runs of a tie are merged until there is one
+        t, r = tie[order], residue[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
+        while True:
+            begin = np.flatnonzero(new)
+            first = np.ones(len(begin), bool)  # of its tie
+            first[1:] = t[begin[1:]] != t[begin[:-1]]
+            number = np.arange(len(begin)) - np.maximum.accumulate(np.where(first, np.arange(len(begin)), 0))
+            right = np.flatnonzero(number % 2)
+            if not len(right):
+                return order, tie
+            stop = np.append(begin[1:], len(order))
+            size = stop - begin
+            both = np.concatenate([right, right - 1])
+            other = np.concatenate([right - 1, right])
+            x = np.repeat(begin[both] - (np.cumsum(size[both]) - size[both]), size[both]) + np.arange(size[both].sum())
+            lo, hi = np.repeat(begin[other], size[both]), np.repeat(stop[other], size[both])
+            from_right = np.repeat(np.arange(len(both)) < len(right), size[both])
+            base = lo.copy()
+            live = np.arange(len(x))
+            while len(live):
+                mid = (lo[live] + hi[live]) >> 1
+                a, b = at[order[mid]], at[order[x[live]]]
+                # equal ones of the left run stay before those of the right
+                before = np.where(from_right[live], ~self.less(b, a), self.less(a, b))
+                lo[live] = np.where(before, mid + 1, lo[live])
+                hi[live] = np.where(before, hi[live], mid)
+                live = live[lo[live] < hi[live]]
+            left_begin = np.repeat(begin[np.minimum(both, other)], size[both])
+            target = left_begin + (x - np.repeat(begin[both], size[both])) + (lo - base)
+            moved = order.copy()
+            moved[target] = order[x]
+            order = moved
+            new[begin[right]] = False
+
+
+def repeated_windows(text: np.ndarray, length: int, key: np.ndarray, start: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, window) of all windows that are equal to an earlier one of their bucket, by (key, start).
 
-    ``texts[i]`` has ``n[i]`` windows; the anchor lies ``at[i]`` bytes after the first.
+    ``text`` holds one piece after the other; piece i has ``n[i]`` windows.
     """
-    cover = difference_cover(PERIOD)
-    span = 2 * PERIOD  # bytes by which cover samples are ranked
-    sizes = n.astype(np.int64) + length - 1
-    lead = (-at) % PERIOD
-    room = -(-(lead + sizes + 16) // PERIOD) * PERIOD
-    begin = np.cumsum(room) - room + lead
-    total = int(room.sum()) + span + 16
-    buffer = np.zeros(total, np.uint8)
-    where = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    buffer[where] = np.concatenate(texts)
-    words = np.zeros(total - 7, np.uint64)  # eight bytes from each position, most significant first
-    for k in range(8):
-        words = (words << np.uint64(8)) | buffer[k : total - 7 + k]
-    samples = (np.arange(0, total - span - 8, PERIOD)[:, None] + cover[None, :]).ravel()
-    samples = samples[samples < total - span - 8]
-    rank = np.zeros(len(samples), np.int64)
-    for k in range(0, span, 8):
-        rank = _refine(rank, words[samples + k])
-    rank_at = np.zeros(total, np.int64)
-    rank_at[samples] = rank
-    # for each residue the first sample at or after it, and the last one that still ends in the window
-    residue = np.arange(PERIOD)
-    ahead = np.array([min((c - r) % PERIOD for c in cover) for r in residue])
-    slack = length - span
-    back = np.array([max(d for d in range(slack - PERIOD, slack + 1) if (r + d) % PERIOD in set(cover.tolist())) for r in residue])
+    sizes = n + length - 1
+    begin = np.cumsum(sizes) - sizes
+    suffixes = SuffixOrder(text)
     piece = np.repeat(np.arange(len(n)), n)
     window = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-    p = begin[piece] + window
+    at = begin[piece] + window
     _, group = np.unique(bucket, return_inverse=True)
-    r = p % PERIOD
-    same = group[piece] * np.int64(PERIOD) + r
-    for more in (words[p], words[p + 8], rank_at[p + ahead[r]], rank_at[p + back[r]], words[p + length - 16], words[p + length - 8]):
-        same = _refine(same, more)
-    place = start[piece] + window
-    order = np.lexsort((place, key[piece], same))
-    s, k, q = same[order], key[piece][order], place[order]
-    later = np.zeros(len(order), bool)
-    later[1:] = s[1:] == s[:-1]
-    # the same place may come more than once (equal rows): it isn't earlier than itself
-    begins = ~later
-    head = np.maximum.accumulate(np.where(begins, np.arange(len(s)), 0))
-    later &= (k != k[head]) | (q != q[head])
-    hit = order[later]
+    order, tie = suffixes.sort(at, group[piece])
+    p, tie = at[order], tie[order]
+    same = tie[1:] == tie[:-1]
+    for k in [*range(PERIOD, length - 8, 8), length - 8]:
+        where = np.flatnonzero(same)
+        same[where] = suffixes.words[p[where] + k] == suffixes.words[p[where + 1] + k]
+    copies = np.concatenate([[0], np.cumsum(~same)])
+    place, key = (start[piece] + window)[order], key[piece[order]]
+    first = np.lexsort((place, key, copies))
+    later = np.zeros(len(first), bool)
+    later[1:] = copies[first[1:]] == copies[first[:-1]]
+    hit = order[first[later]]
     return piece[hit], window[hit]
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: (key, start, n) for the runs of repeated windows."""
+    """Rows sorted by bucket, key and start: (key, start, n) for the runs of repeated windows."""
     held: pa.Table | None = None
+    last = -1  # bucket of the window before
 
     def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             return
-        bucket, key, start, n, at = (t.column(k).to_numpy().astype(np.int64) for k in range(5))
-        body = t.column(5).cast(pa.large_binary()).combine_chunks()
+        bucket, key, start, n = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
+        body = t.column(4).cast(pa.large_binary()).combine_chunks()
         raw = np.frombuffer(body.buffers()[2], np.uint8)
         off = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
-        piece, window = repeated_windows([raw[off[0] : off[-1]]], length, key, start, n, at, bucket)
+        piece, window = repeated_windows(raw[off[0] : off[-1]], length, key, start, n, bucket)
         if not len(piece):
             return
         order = np.lexsort((window, piece))
         piece, window = piece[order], window[order]
         new = np.ones(len(piece) + 1, bool)
         new[1:-1] = (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)
-        first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
-        yield pa.record_batch([pa.array(key[piece[first]]), pa.array(start[piece[first]] + window[first]), pa.array(window[last] - window[first] + 1)], names=["key", "start", "n"])
+        first, stop = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+        yield pa.record_batch([pa.array(key[piece[first]]), pa.array(start[piece[first]] + window[first]), pa.array(window[stop] - window[first] + 1)], names=["key", "start", "n"])
 
     for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(bucket, _WINDOW))
+        if cut < batch.num_rows:  # windows come last, those of one content by their place
+            own = bucket[cut:]
+            again = own >= _KNOWN
+            again[1:] |= own[1:] == own[:-1]
+            again[0] |= own[0] == last
+            last = int(own[-1])
+            yield pa.record_batch([batch.column(1).slice(cut).filter(pa.array(again)), batch.column(2).slice(cut).filter(pa.array(again)), pa.array(np.ones(int(again.sum()), np.int64))], names=["key", "start", "n"])
+        batch = batch.slice(0, cut)
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if held.nbytes < BUFFER:
             continue
@@ -314,21 +416,22 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             yield pa.record_batch([batch.column(0).slice(row, rows), pa.array(np.diff(off)), spans, kept], names=["id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, *, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """(id, n_bytes, spans of removed bytes, kept bytes) for each row of ``docs``."""
     keyed, unique = with_key(docs, id_col, text_col)
     kind = dict(keyed.dtypes)["id"]
     once = keyed if unique else keyed.dropDuplicates(["key"])
-    segments = once.select("key", "text").mapInArrow(partial(_segments, length=length), "bucket long, whole long, key long, place long")
-    settled = checkpoint(segments.repartition("bucket").sortWithinPartitions("bucket", "whole", "key", "place").mapInArrow(_settle, "key long, place long, bucket long, open int"))
+    texts = once.select("key", "text")
+    segments = texts.mapInArrow(partial(_segments, length=length, hot=hot_buckets(texts, length, hot, share)), "bucket long, whole long, key long, place long")
+    settled = checkpoint(segments.repartition("bucket").sortWithinPartitions("bucket", "whole", "key", "place").mapInArrow(partial(_settle, most=hot), "key long, place long, bucket long, open int"))
     still = settled.where("open > 0").groupBy("key").agg(F.collect_list(F.struct("place", "bucket", "open")).alias("open"))
     # both joins read the same columns, so that the texts are shuffled once
     cut = (
         once.join(still, "key")
         .select("key", "text", "open", "id")
-        .mapInArrow(partial(_cut, length=length), "bucket long, key long, start long, n int, at int, bytes binary")
+        .mapInArrow(partial(_cut, length=length), "bucket long, key long, start long, n int, bytes binary")
         .repartition("bucket")
-        .sortWithinPartitions("bucket")
+        .sortWithinPartitions("bucket", "key", "start")
         .mapInArrow(partial(_sort_buckets, length=length), "key long, start long, n long")
     )
     known = settled.where("open = 0").select("key", F.expr("place >> 14").alias("start"), F.expr("(place >> 7) & 127").alias("n"))

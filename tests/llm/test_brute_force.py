@@ -60,17 +60,46 @@ def plain_removal(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("hot,share", [(512, 4000), (2, 4000), (2, 50_000), (0, 50_000)])
+def test_repeats(spark, hot, share):
     rng = random.Random(7)
     shared = [prose(60, 100 + i) for i in range(3)]
     texts = [prose(20, 1) + "ab" * 150] + [prose(rng.randint(1, 40), i) + " " + rng.choice(shared)[rng.randint(0, 90) :] + prose(rng.randint(0, 30), i + 50) for i in range(40)]
     texts += [texts[3], "é" * 120, "xé" * 120, None, ""]
-    got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts), hot=hot, share=share).collect()}
     assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
 
 
+@pytest.mark.parametrize("share", [4000, 50_000])
+def test_repeats_of_a_line_with_other_surroundings(spark, share):
+    """A line of all documents, cut off and edited in some; buckets over the limit, over many batches."""
+    rng = random.Random(5)
+    line = prose(40, 77)
+    texts = [prose(rng.randint(0, 12), 1000 + i) + " " + line[: rng.choice([len(line), len(line), rng.randint(100, len(line))])] + " " + prose(rng.randint(0, 12), 5000 + i) for i in range(250)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts), hot=20, share=share).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 2, 3, 20]), st.integers(120, 700))
+def test_suffix_order(seed, letters, n):
+    """Suffixes are in the order of their bytes, to the depth that is asked."""
+    rng = np.random.default_rng(seed)
+    buffer = (97 + rng.integers(0, letters, n)).astype(np.uint8)
+    buffer = np.concatenate([buffer, buffer[: rng.integers(1, n)]])
+    at, group = np.arange(len(buffer) - 100), rng.integers(0, 2, len(buffer) - 100)
+    order, _ = repeats.SuffixOrder(buffer).sort(at, group)
+    raw = buffer.tobytes()
+    got = [(group[i], raw[at[i] : at[i] + 100]) for i in order.tolist()]
+    assert got == sorted(got) and sorted(order.tolist()) == at.tolist()
+
+
 def test_repeats_of_a_bucket_over_many_batches(spark):
     """A popular segment fills its bucket's first batches; near copies of it come in later ones."""
     rng = random.Random(8)
