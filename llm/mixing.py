@@ -64,13 +64,13 @@ RUN, EVERY = 4, 32
 SLOTS = (1 << 18, 1 << 18, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
 _PRIOR = (0.4, 0.4, 0.3, 0.3, 0.15, 0.15)
 #: Bytes of training text to a task, at least; each task sends its tables.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 64 << 20
 #: Slots whose counts are sent as one row.
 ROW_SLOTS = 1 << 12
 #: Symbols between two corrections of weights and counts, at most; small blocks have 16 corrections.
 BATCH = 1 << 12
 #: Bytes of text that are parsed, and the largest block that is worked through at a time.
-_PIECE, _BLOCK = 1 << 20, 8 << 20
+_PIECE, _BLOCK = 1 << 20, 24 << 20
 #: Different words that a task gathers before it sends them, and symbols and words that it works through at a time.
 _HELD, _CHUNK, _WORDS = 1 << 20, 1 << 14, 1 << 15
 _END_HASH = ts.mix(np.array([0x5E4D], np.uint64))[0]
@@ -228,7 +228,7 @@ class Mixer:
             x[:-1] *= 1 / _UNIT
             x[-1] = 0.3
             gate = self.gate(part.place[owner], sure)
-            mixed = np.einsum("kj,kj->j", x, self.wide[:, gate])
+            mixed = np.einsum("kj,kj->j", x, self.wide.take(gate, axis=1))
             z = np.clip(self.refine(mixed, part.last[owner]), -60, 60)
             out.append(np.bincount(owner, weights=-np.log1p(np.exp(np.where(bit > 0, -z, z))), minlength=len(part.symbol)) / np.log(2))
         return np.concatenate(out)
@@ -276,15 +276,15 @@ class Learner:
                     sure.append(_sure(zero + one))
                 np.log((one + np.float32(_PRIOR[k])) / (zero + np.float32(_PRIOR[k])), out=x[k])
             much = often[owner]
-            learned = np.where(sure[-2] > 0, much, 1)
+            learned = np.where(sure[-2] > 0, much, 1).astype(np.float32)
             x[-1] = 0.3
             np.clip(x, -12, 12, out=x)
             gate = m.gate(part.place[owner], sure)
-            mixed = np.einsum("kj,kj->j", x, self.w.astype(np.float32).T[:, gate])
+            mixed = np.einsum("kj,kj->j", x, np.ascontiguousarray(self.w.T, np.float32).take(gate, axis=1))
             p = 1 / (1 + np.exp(-mixed.clip(-20, 20)))
             error, curve = (y - p) * learned, p * (1 - p) * learned
             for k in range(m.width):
-                self.h[:, k] += np.bincount(gate, weights=curve * x[k] ** 2, minlength=_GATES)
+                self.h[:, k] += np.bincount(gate, weights=curve * x[k] * x[k], minlength=_GATES)
                 self.w[:, k] += np.bincount(gate, weights=error * x[k], minlength=_GATES) / self.h[:, k]
             at = part.last[owner] * _SUMS + ((mixed.clip(-_LIMIT, _LIMIT) + _LIMIT) * ((_SUMS - 1) / (2 * _LIMIT)) + 0.5).astype(np.int64)
             for v in (0, 1):
@@ -496,6 +496,25 @@ def _growing(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield _joined(held)
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+    """Batches of (key, train, text), some together, up to ``_BLOCK``: (key, train) and the texts."""
+    held: list[pa.RecordBatch] = []
+    texts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def together() -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], _joined(texts)
+
+    for batch in batches:
+        for row, data, off in ts.pieces(batch.column(2), _BLOCK):
+            if held and sum(len(d) for d, _ in texts) + len(data) > _BLOCK:
+                yield together()
+                held, texts = [], []
+            held.append(batch.slice(row, len(off) - 1).select([0, 1]))
+            texts.append((data, off))
+    if held:
+        yield together()
+
+
 def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     before = np.cumsum([0, *(len(d) for d, _ in held)])
     return np.concatenate([d for d, _ in held]), np.concatenate([[0], *(o[1:] + b for (_, o), b in zip(held, before, strict=False))])
@@ -699,7 +718,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, at, data, off in _parts(batches, 2, _BLOCK):
+        for batch, (data, off) in _gathered(batches):
             n = len(off) - 1
             p = parse(model, data, off)
             first, back, _ = p.different()
@@ -714,8 +733,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
             )
             yield pa.record_batch(
                 [
-                    batch.column(0).slice(at, n),
-                    batch.column(1).slice(at, n),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array(np.diff(off)),
                     pa.array(np.bincount(p.row, minlength=n)),
                     pa.array(np.bincount(p.row[(c > 0)[back]], minlength=n)),
