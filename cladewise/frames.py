@@ -2,8 +2,7 @@
 
 - sites: one alignment per supplier; taxa are return flag and line status, sites the
   quantities 1 to 50, residues a residue code of the part keys, '-' where nothing was sold.
-- nodes: one tree per market segment, root, regions, nations and customers, with preorder
-  intervals.
+- nodes: one tree per customer, root, years, quarters and orders, with preorder intervals.
 - tips: one tree per customer over the five order priorities, in two levels of clades.
 - trace: one chain per user over the events.
 """
@@ -25,17 +24,17 @@ CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS INT) AS site FROM lineitem) s
 LEFT JOIN ({CELLS}) c ON c.aln_id = a.aln_id AND c.taxon = t.taxon AND c.site = s.site"""
 
 _PATHS = """
-SELECT c_mktsegment AS tree_id, -1 AS r, -1 AS n, CAST(-1 AS BIGINT) AS c, 'root' AS name, CAST(NULL AS VARCHAR(9)) AS parent,
-       CAST(0 AS DOUBLE) AS branch_length, 0 AS level FROM customer GROUP BY c_mktsegment
+SELECT o_custkey AS tree_id, -1 AS r, -1 AS n, CAST(-1 AS BIGINT) AS c, 'root' AS name, CAST(NULL AS VARCHAR(9)) AS parent,
+       CAST(0 AS DOUBLE) AS branch_length, 0 AS level FROM orders GROUP BY o_custkey
 UNION ALL
-SELECT c_mktsegment, n_regionkey, -1, CAST(-1 AS BIGINT), concat('R', CAST(n_regionkey AS VARCHAR(9))), 'root',
-       CAST(1 + n_regionkey % 3 AS DOUBLE), 1 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_regionkey
+SELECT o_custkey, y, -1, CAST(-1 AS BIGINT), concat('R', CAST(y AS VARCHAR(9))), 'root', CAST(1 + y % 3 AS DOUBLE), 1
+FROM (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INT) AS y FROM orders) b
 UNION ALL
-SELECT c_mktsegment, n_regionkey, n_nationkey, CAST(-1 AS BIGINT), concat('N', CAST(n_nationkey AS VARCHAR(9))), concat('R', CAST(n_regionkey AS VARCHAR(9))),
-       CAST(1 + n_nationkey % 5 AS DOUBLE), 2 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_regionkey, n_nationkey
+SELECT o_custkey, y, m, CAST(-1 AS BIGINT), concat('N', CAST(m AS VARCHAR(9))), concat('R', CAST(y AS VARCHAR(9))), CAST(1 + m % 5 AS DOUBLE), 2
+FROM (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INT) AS y, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS INT) AS m FROM orders) b
 UNION ALL
-SELECT c_mktsegment, n_regionkey, n_nationkey, c_custkey, concat('C', CAST(c_custkey AS VARCHAR(19))), concat('N', CAST(n_nationkey AS VARCHAR(9))),
-       CAST(1 + c_custkey % 7 AS DOUBLE), 3 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+SELECT o_custkey, CAST(year(o_orderdate) AS INT), CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS INT), o_orderkey, concat('C', CAST(o_orderkey AS VARCHAR(19))),
+       concat('N', CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS VARCHAR(9))), CAST(1 + o_orderkey % 7 AS DOUBLE), 3 FROM orders"""
 
 #: pre and post are the first and last preorder rank of a node's subtree.
 NODES = f"""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.functions.lineage import ranked
+
 
 def taxon_key(raw: str | Column) -> Column:
     """Runs of anything but letters, digits, '.', '_' and '-' become '_'; '_' at the ends goes."""
@@ -118,6 +120,5 @@ def resolve_synonyms(labels: DataFrame, synonyms: DataFrame) -> DataFrame:
 def ordering_drift(canonical: DataFrame, other: DataFrame) -> DataFrame:
     """Taxa whose rank among the shared ones differs: (taxon, rank, other_rank), from (taxon, position)."""
     both = canonical.join(other.select("taxon", F.col("position").alias("other_position")), "taxon")
-    # ranks over the shared taxa need one order of them all
-    rows = both.withColumn("rank", F.row_number().over(Window.orderBy("position"))).withColumn("other_rank", F.row_number().over(Window.orderBy("other_position")))
+    rows = ranked(ranked(both, [F.col("position")], "rank"), [F.col("other_position")], "other_rank")
     return rows.where("rank <> other_rank").select("taxon", "rank", "other_rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.functions.lineage import checkpoint
+
 
 def _moments(trace: DataFrame) -> DataFrame:
     w = Window.partitionBy("chain")
@@ -22,14 +24,34 @@ def autocorrelation(trace: DataFrame, max_lag: int = 10) -> DataFrame:
     return each.where("lag < n").select("chain", "lag", F.round(F.col("s") / F.nullif(F.col("s0"), F.lit(0.0)), 6).alias("rho"))
 
 
-def effective_sample_size(trace: DataFrame, max_lag: int = 50) -> DataFrame:
-    """n / (1 + 2 sum of rho up to the first rho <= 0), over lags to ``max_lag``."""
-    rho = autocorrelation(trace, max_lag).where("lag > 0")
-    w = Window.partitionBy("chain").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
-    head = rho.withColumn("ended", F.max((F.col("rho") <= 0).cast("int")).over(w)).where("ended = 0")
-    tau = head.groupBy("chain").agg((1 + 2 * F.sum("rho")).alias("tau"))
-    n = trace.groupBy("chain").agg(F.count("*").alias("n"))
-    return n.join(tau, "chain", "left").select("chain", "n", F.round(F.coalesce("tau", F.lit(1.0)), 6).alias("tau"), F.round(F.col("n") / F.coalesce("tau", F.lit(1.0)), 4).alias("ess"))
+def effective_sample_size(trace: DataFrame, block: int = 20) -> DataFrame:
+    """n / (1 + 2 sum of rho up to the first rho <= 0 or the end of the chain).
+
+    Lags are tried ``block`` at a time; each further round (of twice as many) only takes the chains that go on.
+    """
+    mean = Window.partitionBy("chain")
+    d = trace.select("chain", "iteration", (F.col("value") - F.avg("value").over(mean)).alias("d"))
+    of = d.groupBy("chain").agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("s0"))
+    going, low, parts = of, 1, []
+    while True:
+        high = low + block - 1
+        lags = going.where(F.col("n") > low).withColumn("lag", F.explode(F.sequence(F.lit(low), F.least(F.col("n") - 1, F.lit(high)).cast("int"))))
+        a = lags.join(d, "chain").select("chain", "lag", "s0", (F.col("iteration") - F.col("lag")).alias("iteration"), F.col("d").alias("x"))
+        s = a.join(d, ["chain", "iteration"]).groupBy("chain", "lag", "s0").agg(F.sum(F.col("x") * F.col("d")).alias("s"))
+        rho = s.select("chain", "lag", F.round(F.col("s") / F.nullif(F.col("s0"), F.lit(0.0)), 6).alias("rho"))
+        first = rho.groupBy("chain").agg(F.min(F.when(F.coalesce(F.col("rho") <= 0, F.lit(False)), F.col("lag"))).alias("end"))
+        head = rho.join(first, "chain").groupBy("chain", "end").agg(F.sum(F.when(F.col("end").isNull() | (F.col("lag") < F.col("end")), F.col("rho"))).alias("rho"))
+        head = checkpoint(head)
+        parts.append(head.select("chain", "rho"))
+        going = checkpoint(going.where(F.col("n") > high + 1).join(head.where("end is null").select("chain"), "chain"))
+        if going.isEmpty():
+            break
+        low, block = high + 1, 2 * block
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    tau = rows.groupBy("chain").agg((1 + 2 * F.coalesce(F.sum("rho"), F.lit(0.0))).alias("tau"))
+    return of.join(tau, "chain", "left").select("chain", "n", F.round(F.coalesce("tau", F.lit(1.0)), 6).alias("tau"), F.round(F.col("n") / F.coalesce("tau", F.lit(1.0)), 4).alias("ess"))
 
 
 def highest_density_interval(trace: DataFrame, mass: float = 0.95) -> DataFrame:

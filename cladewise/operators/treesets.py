@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.functions.lineage import ranked
+
 
 def clades_of_levels(tips: DataFrame) -> DataFrame:
     """Informative clades of two-level trees (tree_id, tip, a, b): tips that share a, and tips that share a and b."""
@@ -42,8 +44,7 @@ def maximum_clade_credibility(clades: DataFrame, trees: DataFrame) -> DataFrame:
 def credible_set(clades: DataFrame, trees: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Clades by falling frequency until the running sum reaches the threshold."""
     f = clade_frequencies(clades, trees)
-    w = Window.orderBy(F.desc("frequency"), "clade")
-    run = f.withColumn("rank", F.row_number().over(w)).withColumn("cumulative", F.round(F.sum("frequency").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
+    run = ranked(f, [F.desc("frequency"), F.col("clade")], "rank", {"cumulative": "frequency"}).withColumn("cumulative", F.round("cumulative", 6))
     return run.where(F.col("cumulative") - F.col("frequency") < threshold).select("rank", "clade", "frequency", "cumulative")
 
 

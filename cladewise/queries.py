@@ -63,7 +63,7 @@ ROUND(CAST(SUM(gaps) AS DOUBLE) / (COUNT(*) * MAX(taxa)), 9) AS gap_fraction, RO
 FROM w JOIN classes c ON c.aln_id = w.aln_id AND c.site BETWEEN w.start AND w.stop GROUP BY 1, 2, 3""")
 _add("aln_site_patterns", fr.SITES, al.site_patterns, f"""{_S}, c AS (SELECT aln_id, site, STRING_AGG(residue, '' ORDER BY taxon) AS pattern FROM sites GROUP BY 1, 2)
 SELECT aln_id, pattern, COUNT(*) AS weight, MIN(site) AS first_site FROM c GROUP BY 1, 2""")
-_add("aln_duplicates", fr.SITES, lambda s: al.duplicates(s.where("site <= 3")), f"""{_S}, q AS (SELECT aln_id, taxon, STRING_AGG(residue, '' ORDER BY site) AS seq FROM sites WHERE site <= 3 GROUP BY 1, 2)
+_add("aln_duplicates", fr.SITES, al.duplicates, f"""{_S}, q AS (SELECT aln_id, taxon, STRING_AGG(residue, '' ORDER BY site) AS seq FROM sites GROUP BY 1, 2)
 SELECT aln_id, STRING_AGG(taxon, '|' ORDER BY taxon) AS taxa, COUNT(*) AS n FROM q GROUP BY aln_id, seq HAVING COUNT(*) > 1""")
 _PAIR = "FROM sites a JOIN sites b ON a.aln_id = b.aln_id AND a.site = b.site AND a.taxon < b.taxon"
 _OK2 = "a.residue NOT IN ('-','?') AND b.residue NOT IN ('-','?')"
@@ -82,7 +82,9 @@ _add("aln_remove_gap_columns", fr.SITES, al.remove_all_gap_columns, f"""{_S}, k
 SELECT s.aln_id, s.taxon, k.new AS site, s.residue FROM sites s JOIN k ON k.aln_id = s.aln_id AND k.site = s.site""")
 _add("aln_remove_missing_sequences", fr.SITES, lambda s: al.remove_sequences_above_missingness(s, 0.25), f"""{_S}, m AS (SELECT aln_id, taxon FROM sites GROUP BY 1, 2 HAVING ROUND(AVG(CASE WHEN residue = '?' OR {_AMB} THEN 1.0 ELSE 0.0 END), 9) <= 0.25)
 SELECT s.* FROM sites s JOIN m ON m.aln_id = s.aln_id AND m.taxon = s.taxon""")
-_add("aln_clean_moderate", fr.SITES, lambda s: al.clean(s, "moderate").groupBy("aln_id").agg(F.count("*").alias("cells"), F.countDistinct("taxon").alias("taxa"), F.max("site").alias("sites")))
+_add("aln_clean_moderate", fr.SITES, lambda s: al.clean(s, "moderate").groupBy("aln_id").agg(F.count("*").alias("cells"), F.countDistinct("taxon").alias("taxa"), F.max("site").alias("sites")), f"""{_S}, mi AS (SELECT *, CASE WHEN residue = '?' OR {_AMB} THEN 1.0 ELSE 0.0 END AS x FROM sites),
+k AS (SELECT aln_id, site, CAST(ROW_NUMBER() OVER (PARTITION BY aln_id ORDER BY site) AS INT) AS new FROM (SELECT aln_id, site FROM mi GROUP BY 1, 2 HAVING ROUND(AVG(x), 9) <= 0.5) z), t AS (SELECT mi.aln_id, taxon, new, x FROM mi JOIN k ON k.aln_id = mi.aln_id AND k.site = mi.site),
+m AS (SELECT aln_id, taxon FROM t GROUP BY 1, 2 HAVING ROUND(AVG(x), 9) <= 0.4) SELECT t.aln_id, COUNT(*) AS cells, COUNT(DISTINCT t.taxon) AS taxa, MAX(new) AS sites FROM t JOIN m ON m.aln_id = t.aln_id AND m.taxon = t.taxon GROUP BY 1""")
 _add("aln_composition_outliers", fr.SITES, al.composition_outliers, f"""{_S}, g AS (SELECT aln_id, taxon, ROUND(CAST(SUM(CASE WHEN residue IN ('G','C') THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(SUM(CASE WHEN {_KNOWN} THEN 1 ELSE 0 END), 0), 9) AS gc FROM sites GROUP BY 1, 2),
 m AS (SELECT aln_id, MEDIAN(gc) AS mid FROM g GROUP BY 1), o AS (SELECT g.*, m.mid, ABS(gc - mid) AS off FROM g JOIN m ON m.aln_id = g.aln_id), d AS (SELECT aln_id, MEDIAN(off) AS mad FROM o GROUP BY 1),
 z AS (SELECT o.*, ROUND(0.67449 * (gc - mid) / NULLIF(mad, 0), 6) AS robust_z FROM o JOIN d ON d.aln_id = o.aln_id WHERE gc IS NOT NULL)
@@ -157,7 +159,7 @@ o AS (SELECT tree_id, CAST(SUM(CASE WHEN c = 2 AND tipped THEN 1 ELSE 0 END) AS
 SELECT t.tree_id, t.tips, t.sackin, o.cherries, CASE WHEN bin THEN CAST(im AS BIGINT) END AS colless FROM t JOIN o ON o.tree_id = t.tree_id""")
 _add("tree_tip_counts", fr.NODES, lambda n: tree.tip_counts(n).select("tree_id", "name", "tips"), f"{_N}, {_SIZE} SELECT * FROM size")
 _add("tree_clades", fr.NODES, tree.clades, f"""{_N}, u AS ({_UP}) SELECT tree_id, ancestor AS name, al AS level, COUNT(*) AS tips, ROUND(AVG(td - ad), 6) AS mean_depth, MIN(tip) AS first_tip, MAX(tip) AS last_tip FROM u GROUP BY 1, 2, 3""")
-_GROUPS = "SELECT c_mktsegment AS tree_id, concat('A', CAST(FLOOR(c_acctbal / 1000) AS INT)) AS \"group\", concat('C', CAST(c_custkey AS VARCHAR(19))) AS tip FROM customer"
+_GROUPS = "SELECT o_custkey AS tree_id, o_orderpriority AS \"group\", concat('C', CAST(o_orderkey AS VARCHAR(19))) AS tip FROM orders"
 _GROUPS_SPARK = _GROUPS.replace('"group"', "`group`")
 _MRCA = f"""{_N}, g AS ({_GROUPS}), s AS (SELECT g.tree_id, g."group", MIN(pre) AS lo, MAX(pre) AS hi, COUNT(*) AS members FROM g JOIN nodes n ON n.tree_id = g.tree_id AND n.name = g.tip AND n.is_tip GROUP BY 1, 2),
 o AS (SELECT s.tree_id, s."group", s.members, n.name, n.level, n.root_dist, ROW_NUMBER() OVER (PARTITION BY s.tree_id, s."group" ORDER BY n.level DESC) AS i FROM s JOIN nodes n ON n.tree_id = s.tree_id AND NOT n.is_tip AND n.pre <= lo AND n.post >= hi)"""
@@ -187,7 +189,7 @@ for _m, (_f, _v) in _SCALE.items():
     _add(f"tree_rescale_{_m}", fr.NODES, lambda n, m=_m, v=_v: tree.rescale(n, m, v), f"""{_N}, q AS (SELECT *, root_dist - branch_length AS p, MAX(root_dist) OVER (PARTITION BY tree_id) AS h FROM nodes) SELECT tree_id, name, branch_length, ROUND(CAST({_f} AS DOUBLE), 9) AS new_length FROM q""")
 _RTT = "SELECT CAST(o_custkey % 25 AS BIGINT) AS tree_id, CAST(year(o_orderdate) AS DOUBLE) + CAST(dayofyear(o_orderdate) AS DOUBLE) / 365.25 AS date, o_totalprice / 1000 AS distance FROM orders"
 _add("rtt_regression", _RTT, tree.root_to_tip, f"""WITH t AS ({_RTT}) SELECT tree_id, COUNT(*) AS n, ROUND(REGR_SLOPE(distance, date), 6) AS slope, ROUND(REGR_INTERCEPT(distance, date), 6) AS intercept, ROUND(REGR_R2(distance, date), 6) AS r2, ROUND(-REGR_INTERCEPT(distance, date) / NULLIF(REGR_SLOPE(distance, date), 0), 4) AS origin FROM t GROUP BY 1""")
-_KEEP = "SELECT DISTINCT c_mktsegment AS tree_id, concat('C', CAST(c_custkey AS VARCHAR(19))) AS name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'"
+_KEEP = "SELECT o_custkey AS tree_id, concat('C', CAST(o_orderkey AS VARCHAR(19))) AS name FROM orders WHERE o_orderkey % 3 <> 0"
 _add("tree_prune", fr.NODES, tree.prune, f"""{_N}, keep AS ({_KEEP}), t AS (SELECT n.* FROM nodes n JOIN keep k ON k.tree_id = n.tree_id AND k.name = n.name WHERE n.is_tip),
 br AS (SELECT t.tree_id, c.parent AS anc, COUNT(DISTINCT c.name) AS k FROM t JOIN nodes c ON c.tree_id = t.tree_id AND t.pre BETWEEN c.pre AND c.post AND c.parent IS NOT NULL GROUP BY 1, 2),
 o AS (SELECT t.tree_id, t.name, a.name AS anc, t.root_dist - a.root_dist AS bl, ROW_NUMBER() OVER (PARTITION BY t.tree_id, t.name ORDER BY a.level DESC) AS i FROM t JOIN nodes a ON a.tree_id = t.tree_id AND NOT a.is_tip AND t.pre BETWEEN a.pre AND a.post JOIN br ON br.tree_id = a.tree_id AND br.anc = a.name AND br.k > 1)
@@ -234,7 +236,11 @@ def _halves(tips: DataFrame) -> DataFrame:
     return se.compare_sets(se.clades_of_levels(low), low, se.clades_of_levels(high), high)
 
 
-_add("set_compare", fr.TIPS, _halves)
+_part = lambda x, where: f"""{x} AS (SELECT * FROM tips WHERE {where}), {x}c AS (SELECT DISTINCT c.tree_id, clade FROM (SELECT tree_id, STRING_AGG(tip, '|' ORDER BY tip) AS clade, COUNT(*) AS size FROM {x} GROUP BY tree_id, a
+  UNION ALL SELECT tree_id, STRING_AGG(tip, '|' ORDER BY tip), COUNT(*) FROM {x} GROUP BY tree_id, a, b) c JOIN (SELECT tree_id, COUNT(*) AS taxa FROM {x} GROUP BY 1) z ON z.tree_id = c.tree_id WHERE size > 1 AND size < taxa),
+{x}f AS (SELECT clade, ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(DISTINCT tree_id) FROM {x}), 9) AS f FROM {x}c GROUP BY 1)"""
+_add("set_compare", fr.TIPS, _halves, f"""WITH tips AS ({fr.TIPS}), {_part('lo', 'n <= 2')}, {_part('hi', 'n > 2')}
+SELECT COALESCE(lof.clade, hif.clade) AS clade, COALESCE(lof.f, 0) AS left_frequency, COALESCE(hif.f, 0) AS right_frequency, ROUND(COALESCE(hif.f, 0) - COALESCE(lof.f, 0), 9) AS delta FROM lof FULL JOIN hif ON hif.clade = lof.clade""")
 
 # Traces
 
@@ -242,7 +248,7 @@ _TR = f"WITH tr AS ({fr.TRACE})"
 _MOM = f"{_TR}, d AS (SELECT chain, iteration, value - AVG(value) OVER (PARTITION BY chain) AS d, COUNT(*) OVER (PARTITION BY chain) AS n FROM tr)"
 _acf = lambda most: f"{_MOM}, lg AS (SELECT UNNEST(generate_series(0, {most})) AS lag), s AS (SELECT a.chain, CAST(lg.lag AS INT) AS lag, SUM(a.d * b.d) AS s FROM d a CROSS JOIN lg JOIN d b ON b.chain = a.chain AND b.iteration = a.iteration - lg.lag GROUP BY 1, 2), acf AS (SELECT s.chain, s.lag, ROUND(s.s / NULLIF(z.s, 0), 6) AS rho FROM s JOIN s z ON z.chain = s.chain AND z.lag = 0)"
 _add("mcmc_acf", fr.TRACE, tr.autocorrelation, f"{_acf(10)} SELECT * FROM acf")
-_add("mcmc_ess", fr.TRACE, lambda t: tr.effective_sample_size(t, 20), f"""{_acf(20)}, e AS (SELECT *, MAX(CASE WHEN rho <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY lag ROWS UNBOUNDED PRECEDING) AS ended FROM acf WHERE lag > 0), t AS (SELECT chain, 1 + 2 * SUM(rho) AS tau FROM e WHERE ended = 0 GROUP BY 1), n AS (SELECT chain, COUNT(*) AS n FROM tr GROUP BY 1)
+_add("mcmc_ess", fr.TRACE, tr.effective_sample_size, f"""{_MOM}, s AS (SELECT a.chain, a.iteration - b.iteration AS lag, SUM(a.d * b.d) AS s FROM d a JOIN d b ON b.chain = a.chain AND b.iteration <= a.iteration GROUP BY 1, 2), acf AS (SELECT s.chain, s.lag, ROUND(s.s / NULLIF(z.s, 0), 6) AS rho FROM s JOIN s z ON z.chain = s.chain AND z.lag = 0), e AS (SELECT *, MAX(CASE WHEN rho <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY lag ROWS UNBOUNDED PRECEDING) AS ended FROM acf WHERE lag > 0), t AS (SELECT chain, 1 + 2 * SUM(rho) AS tau FROM e WHERE ended = 0 GROUP BY 1), n AS (SELECT chain, COUNT(*) AS n FROM tr GROUP BY 1)
 SELECT n.chain, n, ROUND(COALESCE(tau, 1), 6) AS tau, ROUND(n / COALESCE(tau, 1), 4) AS ess FROM n LEFT JOIN t ON t.chain = n.chain""")
 _add("mcmc_hpd", fr.TRACE, tr.highest_density_interval, f"""{_TR}, s AS (SELECT chain, value, ROW_NUMBER() OVER (PARTITION BY chain ORDER BY value, iteration) AS i, COUNT(*) OVER (PARTITION BY chain) AS n FROM tr), p AS (SELECT a.chain, a.i, a.value AS lower, b.value AS upper, ROUND(b.value - a.value, 9) AS width FROM s a JOIN s b ON b.chain = a.chain AND b.i = a.i + CAST(CEIL(a.n * 0.95) AS INT) - 1),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chain ORDER BY width, i) AS k FROM p) SELECT chain, lower, upper, width FROM r WHERE k = 1""")
@@ -307,7 +313,7 @@ _CO = "SELECT a.c_nationkey AS clade, a.c_acctbal - b.c_acctbal AS x, a.c_custke
 _add("pic_regression", _CO, lambda t: co.regression_through_origin(t, ["clade"]), f"SELECT clade, COUNT(*) AS n, ROUND(SUM(x * y) / NULLIF(SUM(x * x), 0), 6) AS slope FROM ({_CO}) q GROUP BY 1")
 _PC = "SELECT a.c_custkey AS taxon, a.c_acctbal AS left_value, b.c_acctbal AS right_value, CAST(1 + a.c_custkey % 7 AS DOUBLE) AS left_length, CAST(1 + b.c_custkey % 7 AS DOUBLE) AS right_length FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1"
 _add("pic_sisters", _PC, co.sister_contrasts, f"SELECT *, ROUND((left_value - right_value) / SQRT(left_length + right_length), 9) AS contrast FROM ({_PC}) q")
-_FITS = "SELECT p_brand AS dataset, p_type AS model, -ROUND(VAR_SAMP(p_retailprice) / 1000, 4) AS lnl, COUNT(DISTINCT p_size) % 5 + 1 AS k, COUNT(*) AS n FROM part GROUP BY p_brand, p_type"
+_FITS = "SELECT p_brand AS dataset, p_type AS model, -CAST(SUM(CAST(p_retailprice * 100 AS BIGINT) % 9973) AS DOUBLE) / 64 AS lnl, COUNT(DISTINCT p_size) % 5 + 1 AS k, COUNT(*) AS n FROM part GROUP BY p_brand, p_type"
 _add("stat_aicc_weights", _FITS, lambda t: co.rank_models(t, ["dataset"]), f"""WITH f AS (SELECT * FROM ({_FITS}) q WHERE lnl IS NOT NULL), a AS (SELECT *, ROUND(2 * k - 2 * lnl, 6) AS aic, ROUND(CASE WHEN n - k - 1 > 0 THEN 2 * k - 2 * lnl + 2 * k * (k + 1) / CAST(n - k - 1 AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END, 6) AS aicc FROM f),
 r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY aicc, aic, model) AS INT) AS rank, ROUND(aicc - MIN(aicc) OVER (PARTITION BY dataset), 6) AS delta FROM a)
 SELECT *, ROUND(EXP(-delta / 2) / SUM(EXP(-delta / 2)) OVER (PARTITION BY dataset), 6) AS weight FROM r""")
@@ -317,7 +323,9 @@ q AS (SELECT *, ROUND(MIN(LEAST(1.0, p * m / i)) OVER (PARTITION BY family ORDER
 _CH = "SELECT concat('size', CAST(p_size % 10 AS INT)) AS character, p_partkey AS taxon, p_brand AS state FROM part"
 _add("pars_bounds", _CH, co.consistency_bounds, f"WITH n AS (SELECT \"character\", state, COUNT(*) AS n FROM ({_CH.replace('AS character', 'AS \"character\"')}) q GROUP BY 1, 2) SELECT \"character\", COUNT(*) - 1 AS min_steps, CAST(SUM(n) - MAX(n) AS BIGINT) AS max_steps, CAST(SUM(n) AS BIGINT) AS taxa FROM n GROUP BY 1")
 _FI = "SELECT o_custkey AS tree_id, o_orderpriority AS grp, o_orderpriority AS grp_order, o_orderkey AS tip_order, o_orderstatus AS state FROM orders"
-_add("pars_fitch", _FI, co.fitch_two_level)
+_FOLD = "lambda a, x: CASE WHEN len(list_intersect(a.s, x.s)) > 0 THEN {'s': list_intersect(a.s, x.s), 'steps': a.steps + x.steps} ELSE {'s': list_distinct(list_concat(a.s, x.s)), 'steps': a.steps + x.steps + 1} END"
+_add("pars_fitch", _FI, co.fitch_two_level, f"""WITH t AS ({_FI}), g AS (SELECT tree_id, grp, grp_order, list_reduce(list({{'s': [state], 'steps': CAST(0 AS BIGINT)}} ORDER BY tip_order), {_FOLD}) AS f FROM t GROUP BY 1, 2, 3),
+r AS (SELECT tree_id, list_reduce(list(f ORDER BY grp_order), {_FOLD}) AS f FROM g GROUP BY 1) SELECT tree_id, f.steps AS steps, array_to_string(list_sort(f.s), '|') AS root_states FROM r""")
 _ED = "SELECT n.c_mktsegment AS parent_state, c.c_mktsegment AS child_state FROM customer n JOIN customer c ON c.c_custkey = n.c_custkey + 25 AND n.c_nationkey <= c.c_nationkey"
 _add("anc_transitions", _ED, co.transitions, f"SELECT parent_state, child_state, COUNT(*) AS n FROM ({_ED}) q WHERE parent_state <> child_state GROUP BY 1, 2")
 _GEO = "SELECT a.c_custkey AS taxon, CAST(a.c_custkey * 37 % 180 - 90 AS DOUBLE) AS lat1, CAST(a.c_custkey * 53 % 360 - 180 AS DOUBLE) AS lon1, CAST(a.c_nationkey * 7 - 85 AS DOUBLE) AS lat2, CAST(a.c_nationkey * 14 - 170 AS DOUBLE) AS lon2 FROM customer a"
@@ -441,3 +449,5 @@ _add("correlated_traits", fr.SITES, lambda s, traits: discrete.correlated(_trees
 _add("dist_least_squares", fr.SITES, lambda s: leastsquares.fits(di.distances(s)))
 _add("dist_bme_search", fr.SITES, lambda s: leastsquares.search(di.distances(s)))
 _add("dist_influence", fr.SITES, lambda s: leastsquares.influence(di.distances(s)))
+
+from cladewise import reviews as _reviews  # noqa: E402, F401
