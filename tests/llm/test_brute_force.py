@@ -402,6 +402,24 @@ def test_licenses():
     assert "apache-copy" not in [s for h in scan("You may obtain a copy of the License at x\nLicensed under the Apache License, Version 2.0") for s in h["sentences"]]
 
 
+def test_each_known_license_sentence_is_found():
+    """Every sentence of the dictionary, wrapped in a text of its own, passes the first look and is found; so is a rule made of them."""
+    rng, marks = random.Random(2), re.compile(licenses.MARKS)
+    known = {**licenses.EXACT, **{k: name for k, (name, _) in licenses.OPEN.items()}}
+    for sentence, name in known.items():
+        rest = licenses.OPEN.get(sentence, (name, ""))[1]
+        words = (sentence + (" any words at all " + rest if sentence in licenses.OPEN else "")).split()
+        cut = rng.randrange(1, len(words) + 1)
+        text = prose(8, 1) + ".\n\n// " + " ".join(words[:cut]).upper() + "\n// " + " ".join(words[cut:]) + ".\n\n" + prose(5, 2)
+        assert marks.search(text), sentence
+        assert name in [n for _, n, *_ in licenses.sentence_ids(text)], sentence
+    assert not licenses.sentence_ids(prose(3000, 3))
+    for licence, rule in licenses.RULES:
+        assert set(rule) <= {name for name, _ in licenses.SENTENCES}
+        found = [(i, name, 10 * i, 10 * i + 5, "") for i, name in enumerate(rule)]
+        assert [(h["license"], h["sentences"]) for h in licenses.match_rules(found)] == [(licence, list(rule))]
+
+
 def test_licenses_in_their_usual_line_breaks(spark):
     mit = """MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
