@@ -46,12 +46,14 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; sets one only where none is given."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only in local mode."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -69,3 +71,19 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys with more than one in so many of the rows are hot, and so at most so many are.
+SHARE = 2000
+
+
+def spread_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``stats``, one row for each key, ``n`` being the key's number of rows.
+
+    The rows of a hot key stay where they are, and what belongs to it goes to all of them:
+    at most ``SHARE`` rows are broadcast. The others meet by their key.
+    """
+    cut = max(64, total // SHARE)
+    hot, rest = stats.where(F.col(n) > cut), stats.where(F.col(n) <= cut)
+    own = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(own)
