@@ -375,9 +375,9 @@ def convergence(ess: DataFrame, shifts: DataFrame, least: float = 20.0, shift: f
 
 def model_averages(samples: DataFrame) -> DataFrame:
     """(family, model, value): each model's share of a family's samples, its mean, and the average over models."""
-    of = samples.groupBy("family", "model").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    of = samples.groupBy("family", "model").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     w = Window.partitionBy("family")
-    return of.select("family", "model", "n", _share(F.col("n"), F.sum("n").over(w)).alias("share"), F.round("mean", 6).alias("mean"), F.round(F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w), 6).alias("average"))
+    return of.select("family", "model", "n", _share(F.col("n"), F.sum("n").over(w)).alias("share"), F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round(F.sum("total").over(w) / F.sum("n").over(w), 6).alias("average"))
 
 
 # Taxa and tables

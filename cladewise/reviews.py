@@ -9,11 +9,13 @@ from cladewise import frames as fr
 from cladewise import queries as q
 from cladewise.operators import alignment as al
 from cladewise.operators import distance as di
+from cladewise.operators import moves as mv
 from cladewise.operators import reviews as rv
 from cladewise.operators import tables as ta
 from cladewise.operators import traces as tr
 from cladewise.operators import trees as tree
 from cladewise.operators import treesets as se
+from cladewise.sources import nexus
 
 _add, _S, _N, _T, _KNOWN, _AMB = q._add, q._S, q._N, q._T, q._KNOWN, q._AMB
 
@@ -137,9 +139,9 @@ _HALF = f"""{q._TR}, b AS (SELECT *, COUNT(*) OVER (PARTITION BY chain) AS nn FR
 h AS (SELECT chain, COUNT(*) AS kept, ROUND((AVG(CASE WHEN iteration - cut > FLOOR((nn - cut) / 2) THEN value END) - AVG(CASE WHEN iteration - cut <= FLOOR((nn - cut) / 2) THEN value END)) / NULLIF(STDDEV_SAMP(value), 0), 6) AS shift FROM k GROUP BY 1)"""
 _add("mcmc_burnin_diagnosis", fr.TRACE, rv.burnin_diagnosis, f"{_HALF} SELECT *, kept >= 4 AND COALESCE(ABS(shift) <= 0.5, FALSE) AS settled FROM h")
 _add("mcmc_convergence", fr.TRACE, lambda t: rv.convergence(tr.effective_sample_size(t), tr.standardised_mean_shift(t)), f"WITH e AS ({q.SQL['mcmc_ess']}), s AS ({q.SQL['mcmc_mean_shift']}) SELECT e.chain, ess, shift, ess >= 20 AND COALESCE(ABS(shift) <= 0.5, FALSE) AS converged FROM e JOIN s ON s.chain = e.chain")
-_MODELS = "SELECT user_id AS family, event_type AS model, value FROM events"
-_add("mcmc_model_averages", _MODELS, rv.model_averages, f"""WITH n AS (SELECT family, model, COUNT(*) AS n, AVG(value) AS mean FROM ({_MODELS}) z GROUP BY 1, 2)
-SELECT family, model, n, ROUND(CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY family), 9) AS share, ROUND(mean, 6) AS mean, ROUND(SUM(n * mean) OVER (PARTITION BY family) / SUM(n) OVER (PARTITION BY family), 6) AS average FROM n""")
+_MODELS = "SELECT user_id AS family, event_type AS model, CAST(ROUND(value * 100) AS BIGINT) AS value FROM events"
+_add("mcmc_model_averages", _MODELS, rv.model_averages, f"""WITH n AS (SELECT family, model, COUNT(*) AS n, SUM(value) AS total FROM ({_MODELS}) z GROUP BY 1, 2)
+SELECT family, model, n, ROUND(CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY family), 9) AS share, ROUND(CAST(total AS DOUBLE) / n, 6) AS mean, ROUND(CAST(SUM(total) OVER (PARTITION BY family) AS DOUBLE) / SUM(n) OVER (PARTITION BY family), 6) AS average FROM n""")
 
 # Taxa and tables
 
@@ -186,3 +188,50 @@ _add("geo_transitions_by_time", _EDGES, rv.transitions_by_time, f"{_E} SELECT bi
 _add("geo_chronology", _EDGES, rv.chronology, f"{_E} SELECT parent_state, child_state, COUNT(*) AS n, MAX(age) AS first, ROUND(MEDIAN(age), 6) AS median, MIN(age) AS last FROM mv GROUP BY 1, 2")
 _REGIONS = "SELECT n_name AS area, c_custkey AS taxon FROM customer JOIN nation ON c_nationkey = n_nationkey"
 _add("geo_sampling_weights", _REGIONS, lambda t: rv.sampling_weights(t.withColumnRenamed("area", "region")), f"WITH n AS (SELECT area AS region, COUNT(*) AS tips FROM ({_REGIONS}) z GROUP BY 1) SELECT region, tips, ROUND(CAST(tips AS DOUBLE) / (SELECT SUM(tips) FROM n), 9) AS share, ROUND(CAST((SELECT SUM(tips) FROM n) AS DOUBLE) / ((SELECT COUNT(*) FROM n) * tips), 9) AS weight FROM n")
+
+# Transformations and two-state parsimony
+
+_BITS = "SELECT o_custkey AS tree_id, concat('C', CAST(o_orderkey AS VARCHAR(19))) AS name, CASE WHEN o_orderkey % 3 = 0 THEN '1' ELSE '0' END AS state FROM orders"
+_ONES = f"""{_N}, b AS ({_BITS}), o AS (SELECT a.tree_id, a.name, a.parent, a.pre, a.post, a.level, COUNT(*) AS tips, SUM(CASE WHEN b.state = '1' THEN 1 ELSE 0 END) AS ones FROM nodes a JOIN nodes t ON t.tree_id = a.tree_id AND t.is_tip AND t.pre BETWEEN a.pre AND a.post JOIN b ON b.tree_id = t.tree_id AND b.name = t.name GROUP BY ALL),
+p AS (SELECT o.*, u.tips AS parent_tips, u.ones AS parent_ones, u.pre AS parent_pre FROM o LEFT JOIN o u ON u.tree_id = o.tree_id AND u.name = o.parent)"""
+_add("pars_camin_sokal", fr.NODES, mv.camin_sokal, f"{_ONES} SELECT tree_id, CAST(SUM(CASE WHEN ones = tips AND (parent_tips IS NULL OR parent_ones < parent_tips) THEN 1 ELSE 0 END) AS BIGINT) AS gains FROM p GROUP BY 1", states=_BITS)
+_add("pars_dollo", fr.NODES, mv.dollo, f"""{_ONES}, t AS (SELECT tree_id, ones AS total FROM p WHERE parent IS NULL), g AS (SELECT p.tree_id, ARG_MAX(pre, level) AS lo, ARG_MAX(post, level) AS hi FROM p JOIN t ON t.tree_id = p.tree_id WHERE total > 0 AND ones = total GROUP BY 1),
+l AS (SELECT p.tree_id, COUNT(*) AS losses FROM p JOIN g ON g.tree_id = p.tree_id WHERE ones = 0 AND parent_ones > 0 AND parent_pre BETWEEN lo AND hi GROUP BY 1)
+SELECT t.tree_id, CAST(CASE WHEN total > 0 THEN 1 ELSE 0 END AS BIGINT) AS gains, COALESCE(losses, 0) AS losses FROM t LEFT JOIN l ON l.tree_id = t.tree_id""", states=_BITS)
+_add("tree_collapse_short", fr.NODES, lambda n: mv.collapse(n, 2.5), f"""{_N}, k AS (SELECT * FROM nodes WHERE is_tip OR parent IS NULL OR branch_length >= 2.5),
+o AS (SELECT k.tree_id, k.name, a.name AS anc, k.root_dist - a.root_dist AS bl, ROW_NUMBER() OVER (PARTITION BY k.tree_id, k.name ORDER BY a.level DESC) AS i FROM k JOIN k a ON a.tree_id = k.tree_id AND NOT a.is_tip AND k.pre > a.pre AND k.pre <= a.post)
+SELECT tree_id, name, anc AS new_parent, ROUND(bl, 9) AS new_length FROM o WHERE i = 1""")
+_add("tree_ladder_order", fr.NODES, mv.ladderize, f"""{_N}, s AS (SELECT a.tree_id, a.name, a.parent, a.pre, a.post, a.level, COUNT(*) AS tips, MIN(t.name) AS first_tip FROM nodes a JOIN nodes t ON t.tree_id = a.tree_id AND t.is_tip AND t.pre BETWEEN a.pre AND a.post GROUP BY ALL),
+r AS (SELECT *, LPAD(CAST(ROW_NUMBER() OVER (PARTITION BY tree_id, parent ORDER BY tips, first_tip, name) AS VARCHAR), 9, '0') AS rk FROM s),
+w AS (SELECT n.tree_id, n.name, STRING_AGG(r.rk, '' ORDER BY r.level) AS path FROM nodes n JOIN r ON r.tree_id = n.tree_id AND n.pre BETWEEN r.pre AND r.post GROUP BY 1, 2)
+SELECT tree_id, name, CAST(ROW_NUMBER() OVER (PARTITION BY tree_id ORDER BY path) AS INT) AS new_pre FROM w""")
+_add("tree_midpoints", fr.NODES, mv.midpoints, f"""WITH dist AS ({q.SQL['tree_tip_distances']}), nodes AS ({fr.NODES}), f AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tree_id ORDER BY distance DESC, "left", "right") AS i FROM dist) z WHERE i = 1),
+d AS (SELECT f.tree_id, f."left", f."right", f.distance, CASE WHEN l.root_dist >= r.root_dist THEN l.pre ELSE r.pre END AS tip_pre, GREATEST(l.root_dist, r.root_dist) - f.distance / 2 AS half FROM f JOIN nodes l ON l.tree_id = f.tree_id AND l.name = f."left" JOIN nodes r ON r.tree_id = f.tree_id AND r.name = f."right")
+SELECT d.tree_id, "left", "right", distance, n.name AS branch, ROUND(n.root_dist - half, 6) AS "offset" FROM d JOIN nodes n ON n.tree_id = d.tree_id AND n.parent IS NOT NULL AND tip_pre BETWEEN n.pre AND n.post AND n.root_dist - n.branch_length <= half AND half < n.root_dist""")
+
+# Tree files: texts made of the trees of customers, read again
+
+_TAXA = "SELECT o_custkey AS tree_id, CAST(year(o_orderdate) AS INT) AS y, concat('C', CAST(o_orderkey AS VARCHAR(19))) AS taxon, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS token, CAST(1 + o_orderkey % 7 AS DOUBLE) AS len FROM orders"
+
+
+def _newicks(taxa: DataFrame, label: str) -> DataFrame:
+    sub = taxa.groupBy("tree_id", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token", F.concat_ws(":", F.col(label).cast("string"), F.col("len").cast("string")).alias("s")))), lambda x: x.s), ",").alias("s"))
+    return sub.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "s"))), lambda x: F.concat(F.lit("("), x.s, F.lit("):1"))), ","), F.lit(");")).alias("newick"))
+
+
+def nexus_files(taxa: DataFrame) -> DataFrame:
+    table = taxa.groupBy("tree_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token", "taxon"))), lambda x: F.concat(F.lit("\t"), x.token.cast("string"), F.lit(" '"), x.taxon, F.lit("'"))), ",\n").alias("table"))
+    parts = table.join(_newicks(taxa, "token"), "tree_id")
+    return parts.select(F.col("tree_id").alias("file"), F.concat(F.lit("#NEXUS\nBegin trees;\nTranslate\n"), "table", F.lit(";\ntree one = [&R] "), "newick", F.lit("\nEND;\n")).alias("text"))
+
+
+def phyloxml_files(taxa: DataFrame) -> DataFrame:
+    tip = F.concat(F.lit("<clade><name>"), "taxon", F.lit("</name><branch_length>"), F.col("len").cast("string"), F.lit("</branch_length></clade>"))
+    return taxa.groupBy("tree_id").agg(F.concat(F.lit('<phyloxml><phylogeny rooted="true"><clade><name>root</name>'), F.array_join(F.sort_array(F.collect_list(tip)), ""), F.lit("</clade></phylogeny></phyloxml>")).alias("text")).withColumnRenamed("tree_id", "file")
+
+
+_NWK = f"SELECT tree_id, concat('(', STRING_AGG(concat('(', s, '):1'), ',' ORDER BY y), ');') AS newick FROM (SELECT tree_id, y, STRING_AGG(concat(taxon, ':', CAST(len AS VARCHAR)), ',' ORDER BY token) AS s FROM ({_TAXA}) t GROUP BY 1, 2) u GROUP BY 1"
+_add("io_nexus_trees", _TAXA, lambda t: nexus.nexus_trees(nexus_files(t)), f"SELECT tree_id AS file, 'one' AS name, TRUE AS rooted, newick FROM ({_NWK}) z")
+_add("io_nexus_translate", _TAXA, lambda t: nexus_files(t).select("file", F.explode(nexus.translate_map(F.col("text"))).alias("token", "taxon")), f"SELECT tree_id AS file, CAST(token AS VARCHAR) AS token, taxon FROM ({_TAXA}) t")
+_add("io_phyloxml_tips", _TAXA, lambda t: nexus.phyloxml_tips(phyloxml_files(t)), f"SELECT tree_id AS file, taxon, len AS branch_length FROM ({_TAXA}) t")
+_add("io_tree_formats", _TAXA, lambda t: nexus_files(t).unionByName(phyloxml_files(t)).unionByName(_newicks(t, "taxon").toDF("file", "text")).groupBy(nexus.tree_format(F.col("text")).alias("format")).agg(F.count("*").alias("n")), f"SELECT format, (SELECT COUNT(DISTINCT tree_id) FROM ({_TAXA}) t) AS n FROM (VALUES ('nexus'), ('phyloxml'), ('newick')) v(format)")
