@@ -77,13 +77,16 @@ def written(df: DataFrame) -> DataFrame:
 SHARE = 2000
 
 
-def spread_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` (``total`` of them) with ``stats``, one row for each key, ``n`` being the key's number of rows.
+def spread_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, least: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``stats``, one checkpointed row for each key, ``n`` being the key's number of rows.
 
-    The rows of a hot key stay where they are, and what belongs to it goes to all of them:
-    at most ``SHARE`` rows are broadcast. The others meet by their key.
+    The rows of a hot key (more than ``least``, and one in ``SHARE``) stay where they are, and what belongs to it goes
+    to all of them: at most ``SHARE`` rows are broadcast. The others meet by their key.
     """
-    cut = max(64, total // SHARE)
+    total, most = stats.agg(F.sum(n), F.max(n)).first()
+    cut = max(least, (total or 0) // SHARE)
+    if (most or 0) <= cut:
+        return rows.join(stats, on)
     hot, rest = stats.where(F.col(n) > cut), stats.where(F.col(n) <= cut)
     own = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
     return rows.join(F.broadcast(hot), on).unionByName(own)

@@ -131,10 +131,10 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = checkpoint(spread_join(both, least, ["a"], "n", 2 * edges.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, least, ["a"], "n", large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
@@ -193,7 +193,7 @@ def _across_groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
     common = rows.groupBy("lead", "e").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bool_or("free").alias("any_free"))
     order = Window.partitionBy("lead", "key").orderBy("df", "e")
     common = checkpoint(common)
-    ranked = spread_join(rows, common, ["lead", "e"], "df", rows.count()).withColumn("i", F.row_number().over(order))
+    ranked = spread_join(rows, common, ["lead", "e"], "df").withColumn("i", F.row_number().over(order))
     useful = ranked.where("r0 <> r1 and any_free and (free or i <= first)").select("lead", "e", "key", "n", "root", "free", (F.col("i") <= F.col("first")).alias("early"))
     useful = checkpoint(useful)
     x = useful.where("free").select(*(F.col(c).alias(f"{c}_x") for c in ("lead", "e", "key", "n", "root")))
@@ -214,13 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = sketches.where("n > 0").groupBy("whole").agg(F.min(F.struct("key", "n", "bands")).alias("s"))
     members = checkpoint(first.select(F.col("s.key").alias("key"), F.col("s.n").alias("n"), F.explode("s.bands").alias("band")))
     sizes = checkpoint(members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
-    members = checkpoint(spread_join(members, sizes, ["band"], "c", members.count()))
+    members = checkpoint(spread_join(members, sizes, ["band"], "c"))
     # a text in the midst of its copies shares the most and the largest buckets; it leads them
     central = members.groupBy("key").agg(F.sum("c").alias("weight"))
     members = members.join(central, "key")
     members = checkpoint(members)
     lead = checkpoint(members.groupBy("band").agg(F.min(F.struct(-F.col("weight"), "key", "n")).alias("lead"), F.count("*").alias("size")))
-    members = checkpoint(spread_join(members.select("band", "key", "n"), lead, ["band"], "size", members.count()).select("band", "key", "n", F.struct("lead.key", "lead.n").alias("lead")))
+    members = checkpoint(spread_join(members.select("band", "key", "n"), lead, ["band"], "size").select("band", "key", "n", F.struct("lead.key", "lead.n").alias("lead")))
     once = keyed if unique else keyed.dropDuplicates(["key"])
     texts = once.select("key", "text").join(members.select("key").distinct(), "key")
     texts = checkpoint(texts)
@@ -233,11 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_lead_text(rows: DataFrame, lead: str, member: str, name: str) -> DataFrame:
         """Checkpointed ``rows`` with the text of each lead; the text goes out once for each ``SPREAD`` of its members, which are dealt out."""
         counts = checkpoint(rows.groupBy(lead).agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / SPREAD).cast("int")))
-        many, total = counts.where("_parts > 1"), rows.count()
+        lead_texts = texts.select(F.col("key").alias(lead), F.col("text").alias(name))
+        if (counts.agg(F.max("_parts")).first()[0] or 0) <= 1:
+            return rows.join(lead_texts, lead)
         part = F.pmod(F.xxhash64(F.col(member)), F.col("_parts")).cast("int")
-        dealt = spread_join(rows, many, [lead], "_n", total).withColumn("_part", part).drop("_n", "_parts")
-        dealt = dealt.unionByName(spread_join(rows, counts.where("_parts = 1"), [lead], "_n", total).withColumn("_part", F.lit(0)).drop("_n", "_parts"))
-        copies = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).join(texts.select(F.col("key").alias(lead), F.col("text").alias(name)), lead)
+        dealt = spread_join(rows, counts, [lead], "_n", SPREAD).withColumn("_part", part).drop("_n", "_parts")
+        copies = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).join(lead_texts, lead)
         return dealt.join(copies.select(lead, "_part", name), [lead, "_part"]).drop("_part")
 
     def fits(n: str, m: str) -> str:
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = members.join(stars.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"), F.col("lead.key").alias("lead"))
     grouped = checkpoint(grouped)
     mixed = checkpoint(grouped.groupBy("band").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("c > 2 and r0 <> r1").select("band", "c"))
-    rest = checkpoint(spread_join(grouped, mixed, ["band"], "c", grouped.count()).where("key <> lead").select("lead", "key", "n", "root").distinct())
+    rest = checkpoint(spread_join(grouped, mixed, ["band"], "c").where("key <> lead").select("lead", "key", "n", "root").distinct())
     with_texts = with_lead_text(rest, "lead", "key", "lead_text").join(texts.select("key", "text"), "key")
     pairs = _across_groups(with_texts.select("lead", "key", "n", "root", "lead_text", "text"), percent, size)
     more = checkpoint(links(pairs))
