@@ -390,6 +390,20 @@ def test_surrogates_on_documents(spark):
     assert not {x for x, _ in swaps} & {y for _, y in swaps}
 
 
+def test_radius_of_fingerprints_at_the_threshold():
+    """Of pairs of shingle sets with a similarity of 0.80 to 0.85 nearly all lie within the radius of the multi-index."""
+    rng = np.random.default_rng(12)
+    for n in (20, 60, 196):
+        within = 0
+        for _ in range(400):
+            s = rng.uniform(0.80, 0.85)
+            changed = int(n * (1 - s) / (1 + s))
+            own = textscan.mix(rng.integers(1, 2**62, n + changed).astype(np.uint64))
+            a, b = decontaminate.simhash(own[:n]), decontaminate.simhash(own[changed : n + changed])
+            within += (a ^ b).bit_count() <= decontaminate.RADIUS
+        assert within >= 0.99 * 400
+
+
 def test_licenses():
     scan = lambda t: licenses.match_rules(licenses.sentence_ids(t))
     mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and so on. The above copyright notice and this permission notice shall be included in all copies or parts. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
