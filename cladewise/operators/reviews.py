@@ -145,6 +145,38 @@ def expand_patterns(sites: DataFrame) -> DataFrame:
     return columns.withColumn("first_site", F.min("site").over(Window.partitionBy("aln_id", "pattern")))
 
 
+def under_aligned(sites: DataFrame, size: int = 10, step: int = 5) -> DataFrame:
+    """Windows that vary much and whose columns mostly disagree."""
+    off = site_disagreement(sites).select("aln_id", "site", "disagreement")
+    windows = al.windows(sites).select("aln_id", "start", "stop", "variable_fraction")
+    mean = windows.join(off, "aln_id").where("site between start and stop").groupBy("aln_id", "start", "stop", "variable_fraction").agg(F.round(F.avg("disagreement"), 6).alias("disagreement"))
+    return mean.where("variable_fraction >= 0.7 and disagreement >= 0.35")
+
+
+def sequence_types(sites: DataFrame) -> DataFrame:
+    """Votes of an alignment's sequences: protein where more than a tenth of the residues are no nucleotide codes."""
+    odd = F.sum((~F.col("residue").isin(*"ACGTUN-?")).cast("long")) / F.count("*")
+    votes = sites.groupBy("aln_id", "taxon").agg((odd > 0.1).alias("protein"))
+    of = votes.groupBy("aln_id").agg(F.sum(F.col("protein").cast("long")).alias("protein"), F.count("*").alias("sequences"))
+    share = _share(F.greatest("protein", F.col("sequences") - F.col("protein")), F.col("sequences"))
+    return of.select("aln_id", F.when(2 * F.col("protein") > F.col("sequences"), "protein").otherwise("nucleotide").alias("kind"), share.alias("confidence"))
+
+
+def quality_score(summary: DataFrame) -> DataFrame:
+    """Half the known cells, three tenths the informative columns, two tenths the columns that are not constant, as shares."""
+    cells = F.col("sites") * F.col("taxa")
+    known = 1 - (F.col("gaps") + F.col("missing") + F.col("ambiguous")) / cells
+    score = 0.5 * known + 0.3 * F.col("informative") / F.col("sites") + 0.2 * F.col("variable") / F.col("sites")
+    return summary.select("aln_id", F.round(score, 6).alias("score"))
+
+
+def compare_summaries(left: DataFrame, right: DataFrame) -> DataFrame:
+    """What a change of each alignment did to its figures."""
+    names = ["sites", "taxa", "gaps", "informative"]
+    both = left.select("aln_id", *(F.col(c).alias(f"l_{c}") for c in names)).join(right.select("aln_id", *names), "aln_id", "full").fillna(0)
+    return both.select("aln_id", *((F.col(c) - F.col(f"l_{c}")).alias(f"{c}_delta") for c in names))
+
+
 # Distances
 
 
@@ -168,6 +200,15 @@ def impute_distances(distances: DataFrame) -> DataFrame:
     return pairs.join(mean, "aln_id").select("aln_id", "left", "right", F.round(F.coalesce("distance", "mean"), 6).alias("distance"), F.col("distance").isNull().alias("imputed"))
 
 
+def validate_distances(distances: DataFrame) -> DataFrame:
+    """Problems of a matrix of both directions: negative, unlike the other direction, or other than 0 on the diagonal."""
+    other = distances.select("aln_id", F.col("left").alias("right"), F.col("right").alias("left"), F.col("distance").alias("back"))
+    both = distances.join(other, ["aln_id", "left", "right"], "left")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    d = F.col("distance")
+    return both.groupBy("aln_id").agg(F.count("*").alias("cells"), n(d < 0).alias("negative"), n((F.col("left") == F.col("right")) & (d != 0)).alias("diagonal"), n((F.col("left") != F.col("right")) & (F.col("back").isNull() | (F.abs(d - F.col("back")) > 1e-9))).alias("one_sided"))
+
+
 # Trees
 
 
@@ -354,6 +395,23 @@ def burnin_clade_shifts(clades: DataFrame, trees: DataFrame, cuts: tuple[int, ..
     return out
 
 
+def subsample(trees: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` trees of each set (set_id, tree_id), the first by a digest of the seed and the id."""
+    w = Window.partitionBy("set_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree_id").cast("string"))))
+    return trees.select("set_id", "tree_id", F.row_number().over(w).alias("drawn")).where(F.col("drawn") <= most)
+
+
+def disparity_through_time(nodes: DataFrame, traits: DataFrame) -> DataFrame:
+    """At each branching time the mean disparity of the lineages that cross it, over that of the whole tree; ``traits`` has (tree_id, tip, value)."""
+    up = tree.ancestors(nodes).join(traits, ["tree_id", "tip"])
+    inner = up.groupBy("tree_id", F.col("ancestor").alias("name")).agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
+    whole = inner.where("name = 'root'").select("tree_id", F.col("v").alias("all_v")).where("all_v > 0")
+    lineages = nodes.where("parent is not null").join(inner, ["tree_id", "name"], "left").join(whole, "tree_id")
+    lineages = lineages.select("tree_id", (F.col("root_dist") - F.col("branch_length")).alias("since"), F.col("root_dist").alias("upto"), (F.coalesce("v", F.lit(0.0)) / F.col("all_v")).alias("relative"))
+    times = nodes.where("not is_tip").select("tree_id", F.col("root_dist").alias("time")).distinct()
+    return times.join(lineages, "tree_id").where("since <= time and time < upto").groupBy("tree_id", "time").agg(F.count("*").alias("lineages"), F.round(F.avg("relative"), 6).alias("disparity"))
+
+
 # Traces
 
 
@@ -456,6 +514,18 @@ def readiness(crosswalk: DataFrame) -> DataFrame:
     return crosswalk.groupBy("surfaces").agg(F.count("*").alias("taxa"))
 
 
+def model_matrix(rows: DataFrame, factor: str, numbers: list[str], key: str = "taxon") -> DataFrame:
+    """Treatment coding in long form: the intercept, the numbers, and one 0/1 term for each level of the factor but the first."""
+    levels = rows.select(F.col(factor).alias("level")).where("level is not null").distinct()
+    first = levels.agg(F.min("level").alias("first"))
+    own = F.array(F.struct(F.lit("(Intercept)").alias("term"), F.lit(1.0).alias("x")), *(F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("x")) for c in numbers))
+    usable = rows.where(" and ".join(f"{c} is not null" for c in [factor, *numbers]))
+    plain = usable.select(key, F.explode(own).alias("t")).select(key, "t.*")
+    # the matrix is sparse: a taxon has the one term of its level
+    coded = usable.join(F.broadcast(first)).where(F.col(factor) != F.col("first")).select(key, F.concat(F.lit(f"{factor}="), F.col(factor)).alias("term"), F.lit(1.0).alias("x"))
+    return plain.unionByName(coded)
+
+
 # States along branches
 
 

@@ -235,3 +235,30 @@ _add("io_nexus_trees", _TAXA, lambda t: nexus.nexus_trees(nexus_files(t)), f"SEL
 _add("io_nexus_translate", _TAXA, lambda t: nexus_files(t).select("file", F.explode(nexus.translate_map(F.col("text"))).alias("token", "taxon")), f"SELECT tree_id AS file, CAST(token AS VARCHAR) AS token, taxon FROM ({_TAXA}) t")
 _add("io_phyloxml_tips", _TAXA, lambda t: nexus.phyloxml_tips(phyloxml_files(t)), f"SELECT tree_id AS file, taxon, len AS branch_length FROM ({_TAXA}) t")
 _add("io_tree_formats", _TAXA, lambda t: nexus_files(t).unionByName(phyloxml_files(t)).unionByName(_newicks(t, "taxon").toDF("file", "text")).groupBy(nexus.tree_format(F.col("text")).alias("format")).agg(F.count("*").alias("n")), f"SELECT format, (SELECT COUNT(DISTINCT tree_id) FROM ({_TAXA}) t) AS n FROM (VALUES ('nexus'), ('phyloxml'), ('newick')) v(format)")
+
+# Further reviews
+
+_W = f"w AS ({q.SQL['aln_windows']}), dg AS ({q.SQL['aln_disagreement']})"
+_add("aln_under_aligned", fr.SITES, rv.under_aligned, f"WITH {_W}, m AS (SELECT w.aln_id, start, stop, variable_fraction, ROUND(AVG(disagreement), 6) AS disagreement FROM w JOIN dg ON dg.aln_id = w.aln_id AND dg.site BETWEEN start AND stop GROUP BY 1, 2, 3, 4) SELECT * FROM m WHERE variable_fraction >= 0.7 AND disagreement >= 0.35")
+_add("aln_sequence_types", fr.SITES, rv.sequence_types, f"""{_S}, v AS (SELECT aln_id, taxon, CAST(SUM(CASE WHEN residue NOT IN ({_PLAIN}) THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) > 0.1 AS p FROM sites GROUP BY 1, 2), n AS (SELECT aln_id, SUM(CAST(p AS INT)) AS p, COUNT(*) AS n FROM v GROUP BY 1)
+SELECT aln_id, CASE WHEN 2 * p > n THEN 'protein' ELSE 'nucleotide' END AS kind, ROUND(CAST(GREATEST(p, n - p) AS DOUBLE) / n, 9) AS confidence FROM n""")
+_add("aln_quality_score", fr.SITES, lambda s: rv.quality_score(al.summary(s)), f"WITH s AS ({q.SQL['aln_summary']}) SELECT aln_id, ROUND(0.5 * (1 - CAST(gaps + missing + ambiguous AS DOUBLE) / (sites * taxa)) + 0.3 * CAST(informative AS DOUBLE) / sites + 0.2 * CAST(variable AS DOUBLE) / sites, 6) AS score FROM s")
+_SUM2 = q.SQL["aln_summary"].replace(f"WITH sites AS ({fr.SITES})", f"WITH sites AS (SELECT * FROM ({fr.SITES}) y WHERE site % 5 <> 0)")
+_add("aln_compare_summaries", fr.SITES, lambda s: rv.compare_summaries(al.summary(s), al.summary(s.where("site % 5 <> 0"))), f"SELECT COALESCE(l.aln_id, r.aln_id) AS aln_id, {', '.join(f'COALESCE(r.{c}, 0) - COALESCE(l.{c}, 0) AS {c}_delta' for c in ('sites', 'taxa', 'gaps', 'informative'))} FROM ({q.SQL['aln_summary']}) l FULL JOIN ({_SUM2}) r ON r.aln_id = l.aln_id")
+_TIPSET = "SELECT DISTINCT l_suppkey AS aln_id, concat(l_returnflag, l_linestatus) AS taxon FROM lineitem WHERE l_discount > 0.09"
+_add("aln_prune_to_tree", fr.SITES, lambda s, keep: s.join(keep, ["aln_id", "taxon"], "left_semi"), f"{_S} SELECT s.* FROM sites s JOIN ({_TIPSET}) k ON k.aln_id = s.aln_id AND k.taxon = s.taxon", keep=_TIPSET)
+_SEQS = "SELECT o_custkey AS tree_id, concat('C', CAST(o_orderkey AS VARCHAR(19))) AS name FROM orders WHERE o_totalprice > 100000"
+_add("tree_prune_to_alignment", fr.NODES, tree.prune, q.SQL["tree_prune"].replace(f"keep AS ({q._KEEP})", f"keep AS ({_SEQS})"), keep=_SEQS)
+_add("dist_validate", fr.SITES, lambda s: rv.validate_distances(di.distances(s, "k80")), f"""{q._COUNTS}, d AS ({q._DIST('k80')}) SELECT x.aln_id, COUNT(*) AS cells, CAST(SUM(CASE WHEN x.distance < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(SUM(CASE WHEN x."left" = x."right" AND x.distance <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS diagonal,
+CAST(SUM(CASE WHEN x."left" <> x."right" AND (y.distance IS NULL OR ABS(x.distance - y.distance) > 1e-9) THEN 1 ELSE 0 END) AS BIGINT) AS one_sided FROM d x LEFT JOIN d y ON y.aln_id = x.aln_id AND y."left" = x."right" AND y."right" = x."left" GROUP BY 1""")
+_VALUES = "SELECT o_custkey AS tree_id, concat('C', CAST(o_orderkey AS VARCHAR(19))) AS tip, o_totalprice / 1000 AS value FROM orders"
+_add("trait_disparity_through_time", fr.NODES, rv.disparity_through_time, f"""{_N}, u AS ({q._UP}), i AS (SELECT u.tree_id, u.ancestor AS name, COALESCE(VAR_SAMP(v.value), 0) AS v FROM u JOIN ({_VALUES}) v ON v.tree_id = u.tree_id AND v.tip = u.tip GROUP BY 1, 2), a AS (SELECT tree_id, v AS all_v FROM i WHERE name = 'root' AND v > 0),
+l AS (SELECT n.tree_id, n.root_dist - n.branch_length AS since, n.root_dist AS upto, COALESCE(i.v, 0) / all_v AS relative FROM nodes n JOIN a ON a.tree_id = n.tree_id LEFT JOIN i ON i.tree_id = n.tree_id AND i.name = n.name WHERE n.parent IS NOT NULL), t AS (SELECT DISTINCT tree_id, root_dist AS time FROM nodes WHERE NOT is_tip)
+SELECT t.tree_id, t.time, COUNT(*) AS lineages, ROUND(AVG(relative), 6) AS disparity FROM t JOIN l ON l.tree_id = t.tree_id AND since <= t.time AND t.time < upto GROUP BY 1, 2""", traits=_VALUES)
+_TREES = "SELECT DISTINCT o_custkey % 40 AS set_id, o_custkey AS tree_id FROM orders"
+_add("set_thin", _TREES, lambda t: se.thin(t, 3), f"SELECT set_id, tree_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY set_id ORDER BY tree_id) AS i FROM ({_TREES}) z) y WHERE (i - 1) % 3 = 0")
+_add("set_subsample", _TREES, lambda t: rv.subsample(t, 5, 17), f"SELECT * FROM (SELECT set_id, tree_id, CAST(ROW_NUMBER() OVER (PARTITION BY set_id ORDER BY md5(concat('17:', CAST(tree_id AS VARCHAR)))) AS INT) AS drawn FROM ({_TREES}) z) y WHERE drawn <= 5")
+_add("tbl_model_matrix", "SELECT p_partkey AS taxon, p_brand AS brand, p_size AS size, CASE WHEN p_size > 2 THEN p_retailprice END AS price FROM part", lambda t: rv.model_matrix(t, "brand", ["size", "price"]), """WITH r AS (SELECT p_partkey AS taxon, p_brand AS brand, p_size AS size, CASE WHEN p_size > 2 THEN p_retailprice END AS price FROM part), f AS (SELECT MIN(brand) AS first FROM r), u AS (SELECT * FROM r WHERE brand IS NOT NULL AND size IS NOT NULL AND price IS NOT NULL)
+SELECT taxon, '(Intercept)' AS term, CAST(1 AS DOUBLE) AS x FROM u UNION ALL SELECT taxon, 'size', CAST(size AS DOUBLE) FROM u UNION ALL SELECT taxon, 'price', price FROM u UNION ALL SELECT taxon, concat('brand=', brand), CAST(1 AS DOUBLE) FROM u, f WHERE brand <> first""")
+_add("pars_indices", q._FI, lambda t: q.co.indices(q.co.fitch_two_level(t).select(F.col("tree_id").alias("character"), "steps"), q.co.consistency_bounds(t.select(F.col("tree_id").alias("character"), F.col("tip_order").alias("taxon"), "state"))), f"""WITH s AS ({q.SQL['pars_fitch']}), n AS (SELECT tree_id, state, COUNT(*) AS n FROM ({q._FI}) z GROUP BY 1, 2), b AS (SELECT tree_id, COUNT(*) - 1 AS min_steps, CAST(SUM(n) - MAX(n) AS BIGINT) AS max_steps FROM n GROUP BY 1)
+SELECT s.tree_id AS "character", steps, min_steps, max_steps, ROUND(CASE WHEN min_steps > 0 THEN CAST(min_steps AS DOUBLE) / steps END, 9) AS ci, ROUND(CASE WHEN max_steps <> min_steps THEN CAST(max_steps - steps AS DOUBLE) / (max_steps - min_steps) END, 9) AS ri FROM s JOIN b ON b.tree_id = s.tree_id""")
