@@ -16,7 +16,8 @@ non-ASCII characters, in lower case, so punctuation and spacing don't matter.
 
 The benchmark is the query set: its items go to the tasks in blocks of ``ITEMS``, one
 after the other. Items or documents shorter than five words are one shingle; a document
-shorter than an item is one window. Null and empty texts match nothing, on either side;
+shorter than an item is one window. Null and empty texts match nothing, on either side, and
+items without an id are left out, as a hit could not name them;
 an empty benchmark leaves all documents clean; ids may be null or repeat, each row is
 judged on its own; further columns are kept, and one that has the result's name is
 replaced.
