@@ -70,7 +70,7 @@ ROW_SLOTS = 1 << 12
 #: Symbols between two corrections of weights and counts, at most; small blocks have 16 corrections.
 BATCH = 1 << 12
 #: Bytes of text that are parsed, and the largest block that is worked through at a time.
-_PIECE, _BLOCK = 1 << 20, 24 << 20
+_PIECE, _BLOCK = 1 << 20, 14 << 20
 #: Different words that a task gathers before it sends them, and symbols and words that it works through at a time.
 _HELD, _CHUNK, _WORDS = 1 << 20, 1 << 14, 1 << 15
 _END_HASH = ts.mix(np.array([0x5E4D], np.uint64))[0]
@@ -439,10 +439,15 @@ class Parsed:
     start: np.ndarray
     stop: np.ndarray
 
-    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first of each pair, which pair each token is, how many)."""
-        _, first, back, times = np.unique(self.hash ^ ts.mix(self.klass.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
-        return first, back, times
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first of each pair, how many)."""
+        _, first, times = np.unique(self.hash ^ ts.mix(self.klass.astype(np.uint64)), return_index=True, return_counts=True)
+        return first, times
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first of each pair, which pair each token is)."""
+        _, first, back = np.unique(self.hash ^ ts.mix(self.klass.astype(np.uint64)), return_index=True, return_inverse=True)
+        return first, back.astype(np.int32)
 
 
 def parse(model: Model, data: np.ndarray, off: np.ndarray) -> Parsed:
@@ -581,7 +586,7 @@ def _spellings(data: np.ndarray, p: Parsed, first: np.ndarray) -> Iterator[tuple
 def learn_text(model: Model, learner: Learner, data: np.ndarray, off: np.ndarray) -> None:
     """Goes through one block of texts."""
     p = parse(model, data, off)
-    first, _, times = p.different()
+    first, times = p.different()
     for part, s in _spellings(data, p, first):
         learner.learn(s, times[part][s.word])
 
@@ -721,7 +726,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
         for batch, (data, off) in _gathered(batches):
             n = len(off) - 1
             p = parse(model, data, off)
-            first, back, _ = p.different()
+            first, back = p.pairs()
             bits = np.concatenate([-np.bincount(s.word, weights=model.mixer.log2(s), minlength=part.stop - part.start) for part, s in _spellings(data, p, first)])[back]
             c = model.counted(p.hash[first])
             base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / scale), 0.0)[back]
