@@ -3,7 +3,8 @@
 Words and pairs of neighbouring words are hashed into ``BUCKETS``; the target texts (a
 bounded sample of the documents labelled good, half of ``TARGET``) and all raw documents give one
 generative model each. A document's log importance weight is the sum of the log ratios
-of its n-grams. Weights grow with length, so they are read as odds on a scale that
+of its n-grams. Weights grow with length, so the draw goes by the tempered ratio, weight to the power of
+``slope`` over the number of n-grams (and ``PRIOR``), times a constant: they are read as odds on a scale that
 is fitted on the other half of the bounded labelled sample, the half that the target model has
 not seen: a logistic curve over the weight per n-gram, with ``PRIOR`` n-grams of no evidence
 added. ``k``, the expected number of good documents, is the sum of
