@@ -70,7 +70,7 @@ ROW_SLOTS = 1 << 12
 #: Symbols between two corrections of weights and counts, at most; small blocks have 16 corrections.
 BATCH = 1 << 12
 #: Bytes of text that are parsed, and the largest block that is worked through at a time.
-_PIECE, _BLOCK = 1 << 20, 14 << 20
+_PIECE, _BLOCK = 1 << 20, 12 << 20
 #: Different words that a task gathers before it sends them, and symbols and words that it works through at a time.
 _HELD, _CHUNK, _WORDS = 1 << 20, 1 << 14, 1 << 15
 _END_HASH = ts.mix(np.array([0x5E4D], np.uint64))[0]
