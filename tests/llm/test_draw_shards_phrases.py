@@ -40,17 +40,12 @@ def test_distinct_survives_colliding_hashes():
 def test_parts_of_a_long_text_have_the_same_features(longest):
     text = " ".join(random.Random(2).choices(["a", "Bc", "déf", "g" * 90, "-", "x1"], k=3000))
     whole = Counter(b for bucket, _, _ in draw.features(pa.array([text, None, "a b"]), longest, 997) for b in bucket.tolist())
-    old, distinct.PART = distinct.PART, 512
-    try:
-        many = [(data, own) for _, data, _, own in distinct.parts(pa.array([text]), ts.NON_WORD, longest - 1, 512)]
-        assert len(many) > 10 and sum(own for _, own in many) == len(text.encode())
-        cut = Counter()
-        for _, data, off, own in distinct.parts(pa.array([text]), ts.NON_WORD, longest - 1, 512):
-            words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(ts.LOWER[data]))
-            at = [m.start() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(ts.LOWER[data]))]
-            cut.update(zlib.crc32(b" ".join(words[i : i + k])) % 997 for i in range(len(words)) if at[i] < own for k in range(1, longest + 1) if i + k <= len(words))
-    finally:
-        distinct.PART = old
+    many = list(distinct.parts(pa.array([text]), ts.NON_WORD, longest - 1, 512))
+    assert len(many) > 10 and sum(own for *_, own in many) == len(text.encode())
+    cut = Counter()
+    for _, data, _, own in many:
+        found = [(m.start(), m[0]) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(ts.LOWER[data]))]
+        cut.update(zlib.crc32(b" ".join(w for _, w in found[i : i + k])) % 997 for i in range(len(found)) if found[i][0] < own for k in range(1, longest + 1) if i + k <= len(found))
     words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
     plain = Counter(zlib.crc32(b" ".join(words[i : i + k])) % 997 for k in range(1, longest + 1) for i in range(len(words) - k + 1))
     short = Counter(zlib.crc32(x) % 997 for x in ([b"a", b"b"] if longest == 1 else [b"a", b"b", b"a b"]))
