@@ -20,7 +20,7 @@ class Scratch:
         self.spark, self.root = spark, f"{sc._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
