@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,10 +25,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Removes tables; collecting garbage lets Spark's cleaner remove the shuffle files behind them, too."""
         sc = self.spark.sparkContext
         for name in names:
             path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        sc._jvm.System.gc()
 
 
 def numbered(scratch: Scratch, df: DataFrame, order: list, name: str, by: str | None = None) -> DataFrame:
