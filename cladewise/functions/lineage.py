@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only in local mode."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -18,9 +20,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Parquet tables of one run in the shared folder."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{_folder(spark)}/run-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+
 def ranked(df: DataFrame, order: list, name: str, running: dict[str, str] | None = None) -> DataFrame:
     """``df`` with its rank by ``order`` from 1, and running sums (new column: column) in that order.
 

@@ -451,3 +451,4 @@ _add("dist_bme_search", fr.SITES, lambda s: leastsquares.search(di.distances(s))
 _add("dist_influence", fr.SITES, lambda s: leastsquares.influence(di.distances(s)))
 
 from cladewise import reviews as _reviews  # noqa: E402, F401
+from cladewise import shapes as _shapes  # noqa: E402, F401
