@@ -54,14 +54,21 @@ def classify(sites: DataFrame) -> DataFrame:
     return of.select("aln_id", "least", "most", "gapped", kind.alias("kind"))
 
 
-def length_outliers(sites: DataFrame, limit: float = 3.5) -> DataFrame:
-    """Robust z of raw lengths: 0.67449 * (length - median) / median absolute deviation (null if that is 0)."""
+def length_outliers(sites: DataFrame, limit: float = 3.5, relative: float = 0.2) -> DataFrame:
+    """Raw lengths that lie a fifth of the median or more from it, or at a robust z of ``limit`` or more.
+
+    z is 0.6744897501960817 * (length - median) / median absolute deviation, null if that is 0. Alignments of fewer
+    than three records, or with a median of 0, have no outliers.
+    """
     lengths = raw_lengths(sites)
-    mid = lengths.groupBy("aln_id").agg(F.percentile("raw_length", F.lit(0.5)).alias("mid"))
+    mid = lengths.groupBy("aln_id").agg(F.percentile("raw_length", F.lit(0.5)).alias("mid"), F.count("*").alias("records"))
     off = lengths.join(mid, "aln_id").withColumn("off", F.abs(F.col("raw_length") - F.col("mid")))
     mad = off.groupBy("aln_id").agg(F.percentile("off", F.lit(0.5)).alias("mad"))
-    z = F.round(F.try_divide(0.67449 * (F.col("raw_length") - F.col("mid")), F.col("mad")), 6)
-    return off.join(mad, "aln_id").select("aln_id", "taxon", "raw_length", z.alias("robust_z"), F.coalesce(F.abs(z) >= limit, F.lit(False)).alias("outlier"))
+    z = F.round(F.try_divide(0.6744897501960817 * (F.col("raw_length") - F.col("mid")), F.col("mad")), 6)
+    rows = off.join(mad, "aln_id").withColumn("robust_z", z)
+    out = (F.col("records") >= 3) & (F.col("mid") > 0) & ((F.col("off") >= relative * F.col("mid")) | F.coalesce(F.abs("robust_z") >= limit, F.lit(False)))
+    note = F.when(out, F.when(F.col("raw_length") > F.col("mid"), "longer than baseline").otherwise("shorter than baseline"))
+    return rows.select("aln_id", "taxon", "raw_length", F.col("mid").alias("median_length"), "robust_z", out.alias("outlier"), note.alias("note"))
 
 
 def over_aligned(windows: DataFrame) -> DataFrame:
@@ -76,17 +83,24 @@ def site_disagreement(sites: DataFrame) -> DataFrame:
     return n.groupBy("aln_id", "site").agg(F.round(1 - F.max("n") / F.sum("n"), 9).alias("disagreement"))
 
 
-def low_information(summary: DataFrame, sites: int = 10, fraction: float = 0.1) -> DataFrame:
+def low_information(summary: DataFrame, sites: int = 1, fraction: float = 0.0) -> DataFrame:
+    """Alignments without a variable column whose informative columns are fewer than ``sites``, or a smaller share than ``fraction``."""
     share = _share(F.col("informative"), F.col("sites"))
-    return summary.select("aln_id", "sites", "informative", share.alias("informative_fraction"), ((F.col("informative") < sites) | (share < fraction)).alias("low_information"))
+    few, small = (F.col("variable") == 0) & (F.col("informative") < sites), (F.col("variable") == 0) & (share < fraction)
+    return summary.select("aln_id", "sites", "variable", "informative", share.alias("informative_fraction"), (few | small).alias("low_information"), (few.cast("int") + small.cast("int")).alias("reasons"))
 
 
 def missing_concentration(sites: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The fewest taxa that together hold the threshold's share of an alignment's missing cells."""
-    per = sites.groupBy("aln_id", "taxon").agg(F.sum(al.is_missing_like().cast("long")).alias("missing"))
-    w = Window.partitionBy("aln_id").orderBy(F.desc("missing"), "taxon")
-    run = per.withColumn("rank", F.row_number().over(w)).withColumn("upto", F.sum("missing").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("missing").over(Window.partitionBy("aln_id")))
-    return run.where((F.col("total") > 0) & (F.col("upto") - F.col("missing") < threshold * F.col("total"))).select("aln_id", "taxon", "missing", "rank", _share(F.col("upto"), F.col("total")).alias("cumulative"))
+    """Columns of which ``threshold`` or more is missing: their number and share, the longest run of neighbours (the first of equals), and the worst columns."""
+    by_site = sites.groupBy("aln_id", "site").agg(F.avg(al.is_missing_like().cast("double")).alias("share"))
+    whole = by_site.groupBy("aln_id").agg(F.count("*").alias("sites"), F.max("share").alias("most"), F.count_if(F.col("share") >= threshold).alias("concentrated"))
+    worst = by_site.join(whole.select("aln_id", "most"), "aln_id").where(F.col("share") == F.col("most")).groupBy("aln_id").agg(F.count("*").alias("worst_columns"), F.min("site").alias("first_worst"))
+    marked = by_site.where(F.col("share") >= threshold)
+    island = marked.withColumn("_i", F.col("site") - F.row_number().over(Window.partitionBy("aln_id").orderBy("site")))
+    runs = island.groupBy("aln_id", "_i").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+    longest = runs.groupBy("aln_id").agg(F.max(F.struct("n", (-F.col("a")).alias("a"), "b")).alias("_r"))
+    rows = whole.join(worst, "aln_id").join(longest, "aln_id", "left")
+    return rows.select("aln_id", "concentrated", _share(F.col("concentrated"), F.col("sites")).alias("concentrated_fraction"), F.coalesce("_r.n", F.lit(0)).cast("long").alias("longest_run"), (-F.col("_r.a")).alias("run_start"), F.col("_r.b").alias("run_end"), F.round("most", 9).alias("most"), "worst_columns", "first_worst")
 
 
 def frameshifts(sites: DataFrame) -> DataFrame:
@@ -154,20 +168,40 @@ def under_aligned(sites: DataFrame, size: int = 10, step: int = 5) -> DataFrame:
 
 
 def sequence_types(sites: DataFrame) -> DataFrame:
-    """Votes of an alignment's sequences: protein where more than a tenth of the residues are no nucleotide codes."""
-    odd = F.sum((~F.col("residue").isin(*"ACGTUN-?")).cast("long")) / F.count("*")
-    votes = sites.groupBy("aln_id", "taxon").agg((odd > 0.1).alias("protein"))
-    of = votes.groupBy("aln_id").agg(F.sum(F.col("protein").cast("long")).alias("protein"), F.count("*").alias("sequences"))
-    share = _share(F.greatest("protein", F.col("sequences") - F.col("protein")), F.col("sequences"))
-    return of.select("aln_id", F.when(2 * F.col("protein") > F.col("sequences"), "protein").otherwise("nucleotide").alias("kind"), share.alias("confidence"))
-
-
-def quality_score(summary: DataFrame) -> DataFrame:
-    """Half the known cells, three tenths the informative columns, two tenths the columns that are not constant, as shares."""
-    cells = F.col("sites") * F.col("taxa")
-    known = 1 - (F.col("gaps") + F.col("missing") + F.col("ambiguous")) / cells
-    score = 0.5 * known + 0.3 * F.col("informative") / F.col("sites") + 0.2 * F.col("variable") / F.col("sites")
-    return summary.select("aln_id", F.round(score, 6).alias("score"))
+    """invalid, mixed, protein, rna or dna: what all records of an alignment may be, and how sure that is.
+
+    A record may be each type whose letters hold all of its residues (gaps and '?' aside). A record that may be
+    nothing makes the input invalid; records without a common type make it mixed. Letters that only proteins have make it protein, U without T
+    rna; dna is of medium certainty with a T, low without.
+    """
+    nucleotide, acids = "ACGNRYSWKMBDHV", "ABCDEFGHIKLMNPQRSTVWXYZ*"
+    seen = sites.where(~F.col("residue").isin("-", "?", ".")).withColumn("r", F.upper("residue"))
+    r = F.col("r")
+    records = seen.groupBy("aln_id", "taxon").agg(
+        F.bool_and(r.isin(*nucleotide, "T")).alias("dna"), F.bool_and(r.isin(*nucleotide, "U")).alias("rna"), F.bool_and(r.isin(*acids)).alias("protein"), F.bool_or(~r.isin(*nucleotide, *acids, "T", "U")).alias("odd"),
+        F.bool_or(r == "T").alias("t"), F.bool_or(r == "U").alias("u"), F.bool_or(r.isin(*acids) & ~r.isin(*nucleotide, "T", "U")).alias("signal"),
+    )
+    n = lambda c: F.count_if(c)
+    bad = F.col("odd") | ~(F.col("dna") | F.col("rna") | F.col("protein"))
+    of = records.groupBy("aln_id").agg(n(bad).alias("invalid_records"), *(F.bool_and(F.col(c) | bad).alias(c) for c in ("dna", "rna", "protein")), n(F.col("t")).alias("thymine"), n(F.col("u")).alias("uracil"), n(F.col("signal")).alias("signals"))
+    blocked = F.when(F.col("invalid_records") > 0, "invalid").when(~(F.col("dna") | F.col("rna") | F.col("protein")), "mixed")
+    kind = F.coalesce(blocked, F.when(F.col("signals") > 0, "protein").when((F.col("uracil") > 0) & (F.col("thymine") == 0), "rna").when(F.col("dna"), "dna").when(F.col("rna"), "rna").otherwise("protein"))
+    sure = F.when(blocked.isNotNull(), "blocked").when((F.col("signals") > 0) | ((F.col("uracil") > 0) & (F.col("thymine") == 0)), "high").when(F.col("dna"), F.when(F.col("thymine") > 0, "medium").otherwise("low")).otherwise("low")
+    return of.select("aln_id", kind.alias("kind"), sure.alias("confidence"), "invalid_records", "thymine", "uracil", "signals")
+
+
+def quality_score(summary: DataFrame, outliers: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """A hundred times the mean of five shares: cells not missing, cells that are no gaps, taxa less composition outliers, taxa less groups of duplicates, and informative columns over a fifth (at most 1)."""
+    odd = outliers.where("outlier").groupBy("aln_id").agg(F.count("*").alias("_o"))
+    twice = duplicates.groupBy("aln_id").agg(F.count("*").alias("_d"))
+    rows = summary.join(odd, "aln_id", "left").join(twice, "aln_id", "left").fillna(0, ["_o", "_d"])
+    cells, taxa = F.col("sites") * F.col("taxa"), F.greatest("taxa", F.lit(1))
+    left = lambda part: F.round(1 - F.least(part, F.lit(1.0)), 9)
+    parts = {
+        "missingness": left((F.col("missing") + F.col("ambiguous")) / cells), "gap_burden": left(F.col("gaps") / cells), "composition": left(F.col("_o") / taxa), "duplicates": left(F.col("_d") / taxa),
+        "density": F.round(F.least(F.col("informative") / F.col("sites") / 0.2, F.lit(1.0)), 9),
+    }
+    return rows.select("aln_id", *(c.alias(k) for k, c in parts.items())).withColumn("score", F.round(sum((F.col(k) for k in parts), F.lit(0.0)) / 5 * 100, 3))
 
 
 def compare_summaries(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -270,12 +304,14 @@ def time_tree(nodes: DataFrame) -> DataFrame:
     return of.withColumn("usable", F.col("rooted") & ~F.col("polytomy") & F.col("positive") & F.col("ultrametric"))
 
 
-def diversification_outliers(nodes: DataFrame, least_tips: int = 2, ratio: float = 1.5) -> DataFrame:
-    """Clades whose rate (log of tips over age) is ``ratio`` times that of their tree, or more."""
-    sizes = tree.tip_counts(nodes).where("not is_tip").select("tree_id", "name", "parent", "tips").join(tree.branching_times(nodes), ["tree_id", "name"]).where((F.col("age") > 0) & (F.col("tips") >= least_tips))
-    rate = sizes.withColumn("rate", F.round(F.log(F.col("tips")) / F.col("age"), 6))
-    root = rate.where("parent is null").select("tree_id", F.col("rate").alias("tree_rate"))
-    return rate.where("parent is not null").join(root, "tree_id").where(F.col("rate") >= ratio * F.col("tree_rate")).select("tree_id", "name", "tips", "rate", "tree_rate")
+def diversification_outliers(nodes: DataFrame, least_tips: int = 2) -> DataFrame:
+    """Clades by the z of their rate (log of tips over crown age) among their tree's: high from 1, low to -1, else baseline; 0 without spread."""
+    sizes = tree.tip_counts(nodes).where("not is_tip").select("tree_id", "name", "tips").join(tree.branching_times(nodes), ["tree_id", "name"]).where((F.col("age") > 0) & (F.col("tips") >= least_tips))
+    rate = sizes.withColumn("rate", F.log(F.col("tips")) / F.col("age"))
+    of = rate.groupBy("tree_id").agg(F.avg("rate").alias("_m"), F.stddev_pop("rate").alias("_s"))
+    z = F.round(F.when(F.col("_s") > 1e-12, (F.col("rate") - F.col("_m")) / F.col("_s")).otherwise(0.0), 6)
+    rows = rate.join(of, "tree_id").withColumn("z", z)
+    return rows.select("tree_id", "name", "tips", "age", F.round("rate", 6).alias("rate"), "z", F.when(F.col("z") >= 1, "high").when(F.col("z") <= -1, "low").otherwise("baseline").alias("kind"))
 
 
 # Tree sets and pairs of trees
@@ -353,9 +389,13 @@ def unstable_clades(clades: DataFrame, trees: DataFrame) -> DataFrame:
     return f.join(each, "clade", "left").select("clade", "frequency", F.coalesce("conflicts", F.lit(0).cast("long")).alias("conflicts"))
 
 
-def support_classes(clades: DataFrame, trees: DataFrame, robust: float = 0.2, consensus: float = 0.1) -> DataFrame:
-    f = se.clade_frequencies(clades, trees)
-    return f.select("clade", "frequency", F.when(F.col("frequency") >= robust, "robust").when(F.col("frequency") >= consensus, "consensus").otherwise("weak").alias("support"))
+def support_classes(clades: DataFrame, trees: DataFrame, robust: float = 0.9) -> DataFrame:
+    """Clades by frequency and number of clades that they conflict with: robust, intermediate-support (0.3 to 0.7), credibility-conflicted or weak-support."""
+    pairs = se.conflicting_pairs(clades)
+    both = pairs.select(F.col("left").alias("clade")).unionByName(pairs.select(F.col("right").alias("clade")))
+    f = se.clade_frequencies(clades, trees).join(both.groupBy("clade").agg(F.count("*").alias("conflicts")), "clade", "left").fillna(0, ["conflicts"])
+    kind = F.when((F.col("frequency") >= robust) & (F.col("conflicts") == 0), "robust").when(F.col("frequency").between(0.3, 0.7), "intermediate-support").when(F.col("conflicts") > 0, "credibility-conflicted").otherwise("weak-support")
+    return f.select("clade", "frequency", "conflicts", kind.alias("support"))
 
 
 def consensus_thresholds(clades: DataFrame, trees: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5)) -> DataFrame:
@@ -378,10 +418,22 @@ def thinning(clades: DataFrame, trees: DataFrame, intervals: tuple[int, ...] = (
 
 
 def compare_diversity(left: DataFrame, left_trees: DataFrame, right: DataFrame, right_trees: DataFrame) -> DataFrame:
-    """Trees of each topology in two sets."""
-    a = se.topologies(left, left_trees).select("signature", F.col("tree_count").alias("left_trees"))
-    b = se.topologies(right, right_trees).select("signature", F.col("tree_count").alias("right_trees"))
-    return a.join(b, "signature", "full").fillna(0).select("signature", "left_trees", "right_trees")
+    """Of two sets of trees: trees, topologies, share of the most frequent one, effective number (exponential of the entropy), mean distance of two trees.
+
+    A clade that c of n trees have adds c (n - c) to the sum of the distances over all pairs, so no pairs are made.
+    """
+
+    def one(side: str, clades: DataFrame, trees: DataFrame) -> DataFrame:
+        n = trees.select("tree_id").distinct().agg(F.count("*").alias("trees"))
+        t = se.topologies(clades, trees).join(F.broadcast(n))
+        p = F.col("tree_count") / F.col("trees")
+        shape = t.agg(F.max("trees").alias("trees"), F.count("*").alias("topologies"), F.round(F.max(p), 9).alias("dominant"), F.round(F.exp(-F.sum(p * F.log(p))), 6).alias("effective"))
+        c = F.col("tree_count").cast("double")
+        far = se.clade_frequencies(clades, trees).join(F.broadcast(n)).agg(F.sum(c * (F.col("trees") - c)).alias("_d"))
+        mean = F.round(F.coalesce(F.try_divide(F.col("_d"), F.col("trees") * (F.col("trees") - 1) / 2), F.lit(0.0)), 6)
+        return shape.join(far).select(F.lit(side).alias("side"), "trees", "topologies", "dominant", "effective", mean.alias("mean_distance"))  # rows of one
+
+    return one("left", left, left_trees).unionByName(one("right", right, right_trees))
 
 
 def burnin_clade_shifts(clades: DataFrame, trees: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
@@ -442,10 +494,14 @@ def model_averages(samples: DataFrame) -> DataFrame:
 
 
 def rank_of(label: Column) -> Column:
-    """species, genus, accession, sample or other by the label's form."""
+    """accession, sample, species, genus, population or unknown by a label's form, in the order of the rules."""
+    plain, low = F.trim(label), F.lower(F.trim(label))
+    species = plain.rlike(r"^[A-Z][a-z]+(?:[ _][a-z][a-z-]+){1,2}$")
+    isolate, sample = low.rlike("isolate|strain|clone|cultivar|lineage"), low.rlike("sample|specimen|individual|indiv|voucher") | plain.rlike(r"^[A-Za-z]+[-_]\d{2,}$")
     return (
-        F.when(label.rlike(r"^[A-Z][a-z]+[ _][a-z]+$"), "species").when(label.rlike(r"^[A-Z][a-z]+$"), "genus").when(label.rlike(r"^[A-Z]{1,3}_?\d{5,}$"), "accession").when(label.rlike(r"\d{2,}"), "sample").otherwise("other")
-    )
+        F.when(plain.rlike(r"^[A-Z]{1,4}_?\d{4,}(?:\.\d+)?$|^[A-Z]{2}\d{6,}(?:\.\d+)?$"), "accession").when(species, "species").when(isolate | sample, "sample").when(plain.rlike(r"^[A-Z][a-z-]+$"), "genus")
+        .when(low.rlike("population|pop|subpopulation|lineage|clade"), "population").otherwise("unknown")
+    )
 
 
 def ranks(labels: DataFrame) -> DataFrame:
@@ -453,9 +509,9 @@ def ranks(labels: DataFrame) -> DataFrame:
 
 
 def rank_consistency(labels: DataFrame) -> DataFrame:
-    """Labels of each rank in a source, and whether the source mixes ranks."""
+    """Labels of each rank in a source, and whether the source mixes ranks other than unknown."""
     of = ranks(labels).groupBy("source", "rank").agg(F.count("*").alias("n"))
-    return of.withColumn("mixed", F.count("*").over(Window.partitionBy("source")) > 1)
+    return of.withColumn("mixed", F.count(F.when(F.col("rank") != "unknown", 1)).over(Window.partitionBy("source")) > 1)
 
 
 def identities(labels: DataFrame) -> DataFrame:
@@ -501,12 +557,23 @@ def trait_readiness(traits: DataFrame, least: int = 3) -> DataFrame:
     return of.withColumn("problems", why).withColumn("ready", F.col("problems") == "")
 
 
-def sampling_fractions(sampled: DataFrame, known: DataFrame) -> DataFrame:
-    """(grp, taxon) that were sampled of those that are known."""
-    a = sampled.distinct().groupBy("grp").agg(F.count("*").alias("sampled"))
-    b = known.distinct().groupBy("grp").agg(F.count("*").alias("known"))
-    of = b.join(a, "grp", "left").fillna(0)
-    return of.withColumn("fraction", _share(F.col("sampled"), F.col("known"))).withColumn("incomplete", F.col("sampled") < F.col("known"))
+def sampling_fractions(tips: DataFrame, declared: DataFrame) -> DataFrame:
+    """Audit of the sampling fractions (grp, taxon, fraction as text) declared for the tips (grp, taxon) of a tree.
+
+    A fraction is missing (empty), invalid (no number) or out of range (not over 0 and up to 1). ``fraction`` is the mean of
+    the good ones; they differ if their first nine digits do.
+    """
+    given = declared.select("grp", "taxon", F.trim("fraction").alias("raw")).withColumn("_there", F.lit(True))
+    rows = tips.select("grp", "taxon").distinct().join(given, ["grp", "taxon"], "left")
+    there = F.coalesce("_there", F.lit(False))
+    blank = there & (F.coalesce("raw", F.lit("")) == "")
+    value = F.when(there & ~blank, F.col("raw").try_cast("double"))
+    invalid = there & ~blank & value.isNull()
+    good = F.when((value > 0) & (value <= 1), value)
+    n = F.count_if
+    of = rows.groupBy("grp").agg(n(there).alias("matched"), n(~there).alias("missing_taxa"), n(blank).alias("missing"), n(invalid).alias("invalid"), n(value.isNotNull() & good.isNull()).alias("out_of_range"), F.round(F.avg(good), 9).alias("fraction"), (F.countDistinct(F.round(good, 9)) > 1).alias("heterogeneous"))
+    bad = F.col("missing") + F.col("invalid") + F.col("out_of_range")
+    return of.withColumn("complete", (F.col("missing_taxa") == 0) & (bad == 0))
 
 
 def readiness(crosswalk: DataFrame) -> DataFrame:
@@ -540,7 +607,7 @@ def state_coding(states: DataFrame, coding: DataFrame) -> DataFrame:
 
 
 def sure_of(p: Column) -> Column:
-    return F.when(p >= 0.9, "strong").when(p >= 0.5, "moderate").otherwise("weak")
+    return F.when(p >= 0.9, "strong").when(p >= 0.6, "moderate").otherwise("weak")
 
 
 def migration_events(edges: DataFrame) -> DataFrame:
@@ -549,9 +616,15 @@ def migration_events(edges: DataFrame) -> DataFrame:
     return moved.groupBy("parent_state", "child_state", sure_of(F.col("support")).alias("sure")).agg(F.count("*").alias("events"), F.min("age").alias("youngest"), F.max("age").alias("oldest"))
 
 
+def certainty(parent: Column, child: Column) -> Column:
+    """no_switch, certain_switch (one host on either side) or uncertain_switch (hosts in common, or several) of two sets of hosts."""
+    return F.when(F.array_sort(parent) == F.array_sort(child), "no_switch").when(F.arrays_overlap(parent, child), "uncertain_switch").when((F.size(parent) == 1) & (F.size(child) == 1), "certain_switch").otherwise("uncertain_switch")
+
+
 def switches(edges: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Switches with whether a matrix (parent_state, child_state) allows them."""
-    n = edges.where("parent_state <> child_state").groupBy("parent_state", "child_state").agg(F.count("*").alias("switches"), F.round(F.avg("support"), 6).alias("support"))
+    """Switches between the best hosts of (parent_state, child_state, parent_set, child_set, support) by certainty, with whether a matrix (parent_state, child_state) allows them."""
+    kind = F.when(F.col("parent_state") == F.col("child_state"), "no_switch").otherwise(certainty(F.col("parent_set"), F.col("child_set")))
+    n = edges.withColumn("certainty", kind).where("certainty <> 'no_switch'").groupBy("parent_state", "child_state", "certainty").agg(F.count("*").alias("switches"), F.round(F.avg("support"), 6).alias("support"))
     return n.join(allowed.distinct().withColumn("allowed", F.lit(True)), ["parent_state", "child_state"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 

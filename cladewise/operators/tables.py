@@ -16,9 +16,12 @@ def taxon_key(raw: str | Column) -> Column:
 
 
 def namespace(label: str | Column) -> Column:
-    """What a label looks like: accession, binomial, sample, or other."""
-    c = F.col(label) if isinstance(label, str) else label
-    return F.when(c.rlike(r"^[A-Z]{1,3}_?\d{5,}(\.\d+)?$"), "accession").when(c.rlike(r"^[A-Z][a-z]+[ _][a-z]+"), "binomial").when(c.rlike(r"#|\d{3,}"), "sample").otherwise("other")
+    """accession_id, species_name, isolate_id, sample_id or user_defined_label by a label's form, in this order."""
+    c = F.trim(F.col(label) if isinstance(label, str) else label)
+    return (
+        F.when(c.rlike(r"^[A-Z]{1,4}_?\d{4,}(?:\.\d+)?$|^[A-Z]{2}\d{6,}(?:\.\d+)?$"), "accession_id").when(c.rlike(r"^[A-Z][a-z]+(?:[ _][a-z][a-z-]+){1,2}$"), "species_name").when(F.lower(c).rlike("isolate|strain|clone|cultivar|lineage"), "isolate_id")
+        .when(F.lower(c).rlike("sample|specimen|individual|indiv|voucher") | c.rlike(r"^[A-Za-z]+[-_]\d{2,}$"), "sample_id").otherwise("user_defined_label")
+    )
 
 
 def namespaces(labels: DataFrame, column: str) -> DataFrame:

@@ -99,9 +99,20 @@ def compatibility(clades: DataFrame, trees: DataFrame) -> DataFrame:
     return both.select("left", "right", ((common == 0) | (common == F.size("l")) | (common == F.size("r"))).alias("compatible"), F.round(F.least("fl", "fr"), 9).alias("weaker"))
 
 
+def conflicting_pairs(clades: DataFrame) -> DataFrame:
+    """(left, right) of clades that overlap without one holding the other; they meet by the taxa they share."""
+    members = clades.select("clade").distinct().select("clade", F.explode(F.split("clade", r"\|")).alias("taxon"), F.size(F.split("clade", r"\|")).alias("size"))
+    a, b = members.toDF("left", "taxon", "l"), members.toDF("right", "taxon", "r")
+    common = a.join(b, "taxon").where("left < right").groupBy("left", "right", "l", "r").agg(F.count("*").alias("n"))
+    return common.where(F.col("n") < F.least("l", "r")).select("left", "right")
+
+
 def conflicts(clades: DataFrame, trees: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Incompatible pairs that both reach the threshold."""
-    return compatibility(clades, trees).where((~F.col("compatible")) & (F.col("weaker") >= threshold)).select("left", "right", "weaker")
+    often = clade_frequencies(clades, trees).where(F.col("frequency") >= threshold)
+    f = often.select("clade", "frequency")
+    pairs = conflicting_pairs(often.select("clade")).join(f.toDF("left", "fl"), "left").join(f.toDF("right", "fr"), "right")
+    return pairs.select("left", "right", F.round(F.least("fl", "fr"), 9).alias("weaker"))
 
 
 def cooccurrence(clades: DataFrame, trees: DataFrame) -> DataFrame:

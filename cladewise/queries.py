@@ -288,8 +288,9 @@ _add("tbl_key_audit", _KEYS, ta.key_audit, f"SELECT taxon, COUNT(*) AS n FROM ({
 _NAMES = "SELECT concat(p_name, ' ', p_brand, ' (', p_type, ')') AS name FROM part"
 _add("taxa_keys", _NAMES, lambda t: t.select("name", ta.taxon_key("name").alias("taxon_key")), f"SELECT name, TRIM(REGEXP_REPLACE(name, '[^0-9A-Za-z._-]+', '_', 'g'), '_') AS taxon_key FROM ({_NAMES}) q")
 _add("taxa_collisions", _NAMES, lambda t: ta.key_collisions(t.unionByName(t.select(F.replace("name", F.lit(" "), F.lit("_")).alias("name"))), "name"), f"WITH n AS (SELECT name FROM ({_NAMES}) q UNION SELECT REPLACE(name, ' ', '_') FROM ({_NAMES}) r) SELECT TRIM(REGEXP_REPLACE(name, '[^0-9A-Za-z._-]+', '_', 'g'), '_') AS key, COUNT(*) AS labels, MIN(name) AS first_label FROM n GROUP BY 1 HAVING COUNT(*) > 1")
-_ALL = "SELECT c_name AS name FROM customer UNION ALL SELECT p_name AS name FROM part UNION ALL SELECT n_name AS name FROM nation"
-_add("taxa_namespaces", _ALL, lambda t: ta.namespaces(t, "name"), f"SELECT CASE WHEN REGEXP_MATCHES(name, '^[A-Z]{{1,3}}_?\\d{{5,}}(\\.\\d+)?$') THEN 'accession' WHEN REGEXP_MATCHES(name, '^[A-Z][a-z]+[ _][a-z]+') THEN 'binomial' WHEN REGEXP_MATCHES(name, '#|\\d{{3,}}') THEN 'sample' ELSE 'other' END AS namespace, COUNT(*) AS n, COUNT(DISTINCT name) AS labels FROM ({_ALL}) q GROUP BY 1")
+_ALL = "SELECT c_name AS name FROM customer UNION ALL SELECT p_name AS name FROM part UNION ALL SELECT n_name AS name FROM nation UNION ALL SELECT concat('Homo_', lower(n_name)) AS name FROM nation UNION ALL SELECT concat('XY', CAST(n_nationkey + 10000 AS VARCHAR(9)), '.1') AS name FROM nation UNION ALL SELECT concat('strain ', n_name) AS name FROM nation UNION ALL SELECT concat('tip-', CAST(n_nationkey + 10 AS VARCHAR(9))) AS name FROM nation"
+_add("taxa_namespaces", _ALL, lambda t: ta.namespaces(t, "name"), r"""SELECT CASE WHEN REGEXP_MATCHES(name, '^[A-Z]{1,4}_?\d{4,}(?:\.\d+)?$|^[A-Z]{2}\d{6,}(?:\.\d+)?$') THEN 'accession_id' WHEN REGEXP_MATCHES(name, '^[A-Z][a-z]+(?:[ _][a-z][a-z-]+){1,2}$') THEN 'species_name' WHEN REGEXP_MATCHES(lower(name), 'isolate|strain|clone|cultivar|lineage') THEN 'isolate_id'
+WHEN REGEXP_MATCHES(lower(name), 'sample|specimen|individual|indiv|voucher') OR REGEXP_MATCHES(name, '^[A-Za-z]+[-_]\d{2,}$') THEN 'sample_id' ELSE 'user_defined_label' END AS namespace, COUNT(*) AS n, COUNT(DISTINCT name) AS labels FROM (""" + f"{_ALL}) q GROUP BY 1")
 _LAB, _SYN = "SELECT p_name AS label FROM part", "SELECT DISTINCT p_name AS raw, p_type AS accepted FROM part WHERE p_size < 4"
 _add("taxa_synonyms", _LAB, ta.resolve_synonyms, f"""WITH s AS (SELECT raw, COUNT(DISTINCT accepted) AS k, MIN(accepted) AS accepted FROM ({_SYN}) q GROUP BY 1), r AS (SELECT l.label, s.accepted, CASE WHEN k IS NULL THEN 'unlisted' WHEN k > 1 THEN 'ambiguous' WHEN accepted = label THEN 'accepted' ELSE 'renamed' END AS status FROM (SELECT DISTINCT label FROM ({_LAB}) q) l LEFT JOIN s ON s.raw = l.label)
 SELECT label, CASE WHEN status = 'ambiguous' THEN label ELSE COALESCE(accepted, label) END AS accepted, status FROM r""", synonyms=_SYN)

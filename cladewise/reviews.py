@@ -15,7 +15,7 @@ from cladewise.operators import tables as ta
 from cladewise.operators import traces as tr
 from cladewise.operators import trees as tree
 from cladewise.operators import treesets as se
-from cladewise.sources import nexus
+from cladewise.sources import nexus, tokens
 
 _add, _S, _N, _T, _KNOWN, _AMB = q._add, q._S, q._N, q._T, q._KNOWN, q._AMB
 
@@ -32,14 +32,19 @@ _RAW = f"{_S}, raw AS (SELECT aln_id, taxon, CAST(SUM(CASE WHEN residue <> '-' T
 _add("aln_raw_lengths", fr.SITES, rv.raw_lengths, f"{_RAW} SELECT * FROM raw")
 _add("aln_kinds", fr.SITES, rv.classify, f"""{_RAW} SELECT aln_id, MIN(length) AS least, MAX(length) AS most, BOOL_OR(raw_length < length) AS gapped,
 CASE WHEN MIN(length) < MAX(length) THEN 'unaligned' WHEN BOOL_OR(raw_length < length) THEN 'aligned' ELSE 'equal' END AS kind FROM raw GROUP BY 1""")
-_add("aln_length_outliers", fr.SITES, rv.length_outliers, f"""{_RAW}, m AS (SELECT aln_id, MEDIAN(raw_length) AS mid FROM raw GROUP BY 1), o AS (SELECT raw.*, mid, ABS(raw_length - mid) AS off FROM raw JOIN m ON m.aln_id = raw.aln_id), d AS (SELECT aln_id, MEDIAN(off) AS mad FROM o GROUP BY 1),
-z AS (SELECT o.aln_id, taxon, raw_length, ROUND(0.67449 * (raw_length - mid) / NULLIF(mad, 0), 6) AS robust_z FROM o JOIN d ON d.aln_id = o.aln_id) SELECT *, COALESCE(ABS(robust_z) >= 3.5, FALSE) AS outlier FROM z""")
+_add("aln_length_outliers", fr.SITES, rv.length_outliers, f"""{_RAW}, m AS (SELECT aln_id, MEDIAN(raw_length) AS mid, COUNT(*) AS records FROM raw GROUP BY 1), o AS (SELECT raw.*, mid, records, ABS(raw_length - mid) AS off FROM raw JOIN m ON m.aln_id = raw.aln_id), d AS (SELECT aln_id, MEDIAN(off) AS mad FROM o GROUP BY 1),
+z AS (SELECT o.*, ROUND(0.6744897501960817 * (raw_length - mid) / NULLIF(mad, 0), 6) AS robust_z FROM o JOIN d ON d.aln_id = o.aln_id), f AS (SELECT *, records >= 3 AND mid > 0 AND (off >= 0.2 * mid OR COALESCE(ABS(robust_z) >= 3.5, FALSE)) AS outlier FROM z)
+SELECT aln_id, taxon, raw_length, mid AS median_length, robust_z, outlier, CASE WHEN outlier THEN CASE WHEN raw_length > mid THEN 'longer than baseline' ELSE 'shorter than baseline' END END AS note FROM f""")
 _add("aln_over_aligned", fr.SITES, lambda s: rv.over_aligned(al.windows(s)), f"""WITH w AS ({q.SQL['aln_windows']}) SELECT aln_id, start, stop, ROUND(gap_fraction + missing_fraction, 9) AS uncertainty, variable_fraction FROM w WHERE ROUND(gap_fraction + missing_fraction, 9) >= 0.4 AND variable_fraction <= 0.2""")
 _add("aln_disagreement", fr.SITES, rv.site_disagreement, f"{_S}, n AS (SELECT aln_id, site, residue, COUNT(*) AS n FROM sites WHERE {_KNOWN} GROUP BY 1, 2, 3) SELECT aln_id, site, ROUND(1 - CAST(MAX(n) AS DOUBLE) / SUM(n), 9) AS disagreement FROM n GROUP BY 1, 2")
-_add("aln_low_information", fr.SITES, lambda s: rv.low_information(al.summary(s)), f"""WITH s AS ({q.SQL['aln_summary']}), f AS (SELECT aln_id, sites, informative, ROUND(CAST(informative AS DOUBLE) / sites, 9) AS informative_fraction FROM s) SELECT *, informative < 10 OR informative_fraction < 0.1 AS low_information FROM f""")
-_add("aln_missing_concentration", fr.SITES, rv.missing_concentration, f"""{_S}, m AS (SELECT aln_id, taxon, CAST(SUM(CASE WHEN residue = '?' OR {_AMB} THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM sites GROUP BY 1, 2),
-r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY aln_id ORDER BY missing DESC, taxon) AS INT) AS rank, SUM(missing) OVER (PARTITION BY aln_id ORDER BY missing DESC, taxon ROWS UNBOUNDED PRECEDING) AS upto, SUM(missing) OVER (PARTITION BY aln_id) AS total FROM m)
-SELECT aln_id, taxon, missing, rank, ROUND(CAST(upto AS DOUBLE) / total, 9) AS cumulative FROM r WHERE total > 0 AND upto - missing < 0.5 * total""")
+_add("aln_low_information", fr.SITES, lambda s: rv.low_information(al.summary(s)), f"""WITH s AS ({q.SQL['aln_summary']}), f AS (SELECT aln_id, sites, variable, informative, ROUND(CAST(informative AS DOUBLE) / sites, 9) AS informative_fraction FROM s)
+SELECT *, variable = 0 AND informative < 1 AS low_information, CASE WHEN variable = 0 AND informative < 1 THEN 1 ELSE 0 END AS reasons FROM f""")
+_add("aln_missing_concentration", fr.SITES, lambda s: rv.missing_concentration(s, 0.3), f"""{_S}, m AS (SELECT aln_id, site, AVG(CASE WHEN residue = '?' OR {_AMB} THEN 1.0 ELSE 0.0 END) AS share FROM sites GROUP BY 1, 2),
+w AS (SELECT aln_id, COUNT(*) AS sites, MAX(share) AS most, COUNT(*) FILTER (share >= 0.3) AS concentrated FROM m GROUP BY 1),
+x AS (SELECT m.aln_id, COUNT(*) AS worst_columns, MIN(site) AS first_worst FROM m JOIN w ON w.aln_id = m.aln_id AND m.share = w.most GROUP BY 1),
+r AS (SELECT aln_id, COUNT(*) AS n, MIN(site) AS a, MAX(site) AS b FROM (SELECT *, site - ROW_NUMBER() OVER (PARTITION BY aln_id ORDER BY site) AS i FROM m WHERE share >= 0.3) z GROUP BY aln_id, i),
+l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY aln_id ORDER BY n DESC, a) AS k FROM r)
+SELECT w.aln_id, concentrated, ROUND(CAST(concentrated AS DOUBLE) / sites, 9) AS concentrated_fraction, COALESCE(n, 0) AS longest_run, a AS run_start, b AS run_end, ROUND(most, 9) AS most, worst_columns, first_worst FROM w JOIN x ON x.aln_id = w.aln_id LEFT JOIN l ON l.aln_id = w.aln_id AND k = 1""")
 _CMP = f"{_S}, cmp AS (SELECT aln_id, taxon, CAST(SUM(CASE WHEN residue NOT IN ('-','?') THEN 1 ELSE 0 END) AS BIGINT) AS comparable FROM sites GROUP BY 1, 2)"
 _add("aln_frameshifts", fr.SITES, rv.frameshifts, f"{_CMP} SELECT *, CAST(comparable % 3 AS INT) AS excess FROM cmp WHERE comparable % 3 <> 0")
 _add("aln_coding_behaviour", fr.SITES, rv.coding_behaviour, f"""{_CMP}, st AS ({q.SQL['aln_stop_codons']}), n AS (SELECT aln_id, taxon, COUNT(*) AS stops FROM st WHERE kind = 'internal' GROUP BY 1, 2),
@@ -85,8 +90,9 @@ _add("tree_clades_of_taxa", fr.NODES, rv.clades_of_taxa, f"""{_CID}, w AS (SELEC
 _add("tree_clade_ages", fr.NODES, rv.clade_ages, f"{_CID}, {q._AGE} SELECT cid.tree_id, clade, age FROM cid JOIN age ON age.tree_id = cid.tree_id AND age.name = cid.name")
 _add("tree_time_tree", fr.NODES, rv.time_tree, f"""{_N}, {_ROOT}, p AS (SELECT tree_id, BOOL_AND(branch_length > 0) AS positive FROM nodes WHERE parent IS NOT NULL GROUP BY 1), um AS (SELECT tree_id, ROUND(MAX(root_dist) - MIN(root_dist), 6) <= 1e-6 AS ultrametric FROM nodes WHERE is_tip GROUP BY 1)
 SELECT rooting.*, positive, ultrametric, rooted AND NOT polytomy AND positive AND ultrametric AS usable FROM rooting JOIN p ON p.tree_id = rooting.tree_id JOIN um ON um.tree_id = rooting.tree_id""")
-_add("div_outlier_clades", fr.NODES, rv.diversification_outliers, f"""{_N}, {q._AGE}, {q._SIZE}, r AS (SELECT n.tree_id, n.name, n.parent, size.tips, ROUND(LN(size.tips) / age, 6) AS rate FROM nodes n JOIN age ON age.tree_id = n.tree_id AND age.name = n.name JOIN size ON size.tree_id = n.tree_id AND size.name = n.name WHERE age > 0 AND size.tips >= 2)
-SELECT r.tree_id, r.name, r.tips, r.rate, t.rate AS tree_rate FROM r JOIN r t ON t.tree_id = r.tree_id AND t.parent IS NULL WHERE r.parent IS NOT NULL AND r.rate >= 1.5 * t.rate""")
+_add("div_outlier_clades", fr.NODES, rv.diversification_outliers, f"""{_N}, {q._AGE}, {q._SIZE}, r AS (SELECT n.tree_id, n.name, size.tips, age, LN(size.tips) / age AS rate FROM nodes n JOIN age ON age.tree_id = n.tree_id AND age.name = n.name JOIN size ON size.tree_id = n.tree_id AND size.name = n.name WHERE age > 0 AND size.tips >= 2),
+m AS (SELECT tree_id, AVG(rate) AS m, STDDEV_POP(rate) AS s FROM r GROUP BY 1), z AS (SELECT r.*, ROUND(CASE WHEN s > 1e-12 THEN (rate - m) / s ELSE 0 END, 6) AS z FROM r JOIN m ON m.tree_id = r.tree_id)
+SELECT tree_id, name, tips, age, ROUND(rate, 6) AS rate, z, CASE WHEN z >= 1 THEN 'high' WHEN z <= -1 THEN 'low' ELSE 'baseline' END AS kind FROM z""")
 
 # Tree sets and pairs of trees
 
@@ -115,7 +121,8 @@ SELECT DISTINCT tree_id, CASE WHEN k < 5 - k OR (k = 5 - k AND o < r) THEN o ELS
 _add("set_length_summary", fr.TIPS, lambda t: rv.length_summary(rv.clade_lengths(t)), f"{_CL} SELECT clade, COUNT(*) AS trees, ROUND(AVG(length), 6) AS mean, ROUND(MEDIAN(length), 6) AS median, MIN(length) AS least, MAX(length) AS most FROM len GROUP BY 1")
 _add("set_unstable_clades", fr.TIPS, _set(rv.unstable_clades), f"""{q._COMPAT}, bad AS (SELECT * FROM pr WHERE NOT (k = 0 OR k = l OR k = r)), e AS (SELECT clade, COUNT(*) AS n FROM (SELECT "left" AS clade FROM bad UNION ALL SELECT "right" FROM bad) z GROUP BY 1)
 SELECT fq.clade, frequency, COALESCE(n, 0) AS conflicts FROM fq LEFT JOIN e ON e.clade = fq.clade WHERE frequency < 1""")
-_add("set_support_classes", fr.TIPS, _set(rv.support_classes), f"{_T} SELECT clade, frequency, CASE WHEN frequency >= 0.2 THEN 'robust' WHEN frequency >= 0.1 THEN 'consensus' ELSE 'weak' END AS support FROM fq")
+_add("set_support_classes", fr.TIPS, _set(rv.support_classes), f"""{q._COMPAT}, bad AS (SELECT * FROM pr WHERE NOT (k = 0 OR k = l OR k = r)), e AS (SELECT clade, COUNT(*) AS n FROM (SELECT "left" AS clade FROM bad UNION ALL SELECT "right" FROM bad) z GROUP BY 1)
+SELECT fq.clade, frequency, COALESCE(n, 0) AS conflicts, CASE WHEN frequency >= 0.9 AND n IS NULL THEN 'robust' WHEN frequency BETWEEN 0.3 AND 0.7 THEN 'intermediate-support' WHEN n > 0 THEN 'credibility-conflicted' ELSE 'weak-support' END AS support FROM fq LEFT JOIN e ON e.clade = fq.clade""")
 _add("set_thresholds", fr.TIPS, _set(rv.consensus_thresholds), f"{_T}, c(threshold) AS (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2), (0.5)) SELECT threshold, CAST(SUM(CASE WHEN frequency >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS clades, ROUND(MAX(frequency), 9) AS most FROM fq, c GROUP BY 1")
 _thin = lambda k: f"SELECT {k} AS every, fq.clade, fq.frequency AS all_trees, COALESCE((SELECT ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM trees WHERE tree_id % {k} = 0), 9) FROM cl WHERE cl.clade = fq.clade AND cl.tree_id % {k} = 0), 0) AS thinned FROM fq"
 _add("set_thinning", fr.TIPS, _set(rv.thinning), f"{_T}, z AS ({_thin(2)} UNION ALL {_thin(5)}) SELECT *, ROUND(thinned - all_trees, 9) AS delta FROM z")
@@ -129,7 +136,10 @@ def _halves(f):
     return run
 
 
-_add("set_compare_diversity", fr.TIPS, _halves(rv.compare_diversity), f"{q._TOPO} SELECT signature, CAST(SUM(CASE WHEN tree_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS left_trees, CAST(SUM(CASE WHEN tree_id % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS right_trees FROM sg GROUP BY 1")
+_add("set_compare_diversity", fr.TIPS, _halves(rv.compare_diversity), f"""{q._TOPO}, h AS (SELECT CASE WHEN tree_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, signature, COUNT(*) AS c FROM sg GROUP BY 1, 2), n AS (SELECT side, SUM(c) AS n FROM h GROUP BY 1),
+t AS (SELECT h.side, CAST(MAX(n) AS BIGINT) AS trees, COUNT(*) AS topologies, ROUND(MAX(CAST(c AS DOUBLE) / n), 9) AS dominant, ROUND(EXP(-SUM(CAST(c AS DOUBLE) / n * LN(CAST(c AS DOUBLE) / n))), 6) AS effective FROM h JOIN n ON n.side = h.side GROUP BY 1),
+k AS (SELECT CASE WHEN tree_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, clade, CAST(COUNT(*) AS DOUBLE) AS c FROM cl GROUP BY 1, 2), d AS (SELECT k.side, SUM(c * (n - c)) AS d FROM k JOIN n ON n.side = k.side GROUP BY 1)
+SELECT t.*, ROUND(d / (trees * (trees - 1) / 2), 6) AS mean_distance FROM t JOIN d ON d.side = t.side""")
 _cut = lambda k: f"SELECT {k} AS cut, fq.clade, ROUND(COALESCE((SELECT ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM trees WHERE tree_id > {k}), 9) FROM cl WHERE cl.clade = fq.clade AND cl.tree_id > {k}), 0) - fq.frequency, 9) AS shift FROM fq"
 _add("set_burnin_shifts", fr.TIPS, _set(lambda c, t: rv.burnin_clade_shifts(c, t, (50, 100))), f"{_T} {_cut(50)} UNION ALL {_cut(100)}")
 
@@ -145,10 +155,11 @@ SELECT family, model, n, ROUND(CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY fam
 
 # Taxa and tables
 
-_LABELS = "SELECT 'people' AS source, c_name AS label FROM customer UNION ALL SELECT 'things' AS source, p_name AS label FROM part UNION ALL SELECT 'places' AS source, n_name AS label FROM nation UNION ALL SELECT 'places' AS source, concat('XY', CAST(n_nationkey + 10000 AS VARCHAR(9))) AS label FROM nation"
-_RANK = "CASE WHEN REGEXP_MATCHES(label, '^[A-Z][a-z]+[ _][a-z]+$') THEN 'species' WHEN REGEXP_MATCHES(label, '^[A-Z][a-z]+$') THEN 'genus' WHEN REGEXP_MATCHES(label, '^[A-Z]{1,3}_?\\d{5,}$') THEN 'accession' WHEN REGEXP_MATCHES(label, '\\d{2,}') THEN 'sample' ELSE 'other' END"
+_LABELS = "SELECT 'people' AS source, c_name AS label FROM customer UNION ALL SELECT 'things' AS source, p_name AS label FROM part UNION ALL SELECT 'places' AS source, n_name AS label FROM nation UNION ALL SELECT 'places' AS source, concat('sub', n_name, '-pop') AS label FROM nation UNION ALL SELECT 'people' AS source, concat('Homo sapiens ', lower(n_name)) AS label FROM nation UNION ALL SELECT 'samples' AS source, concat('Tip_', CAST(n_nationkey + 10 AS VARCHAR(9))) AS label FROM nation UNION ALL SELECT 'places' AS source, concat('XY', CAST(n_nationkey + 10000 AS VARCHAR(9))) AS label FROM nation"
+_RANK = r"""CASE WHEN REGEXP_MATCHES(label, '^[A-Z]{1,4}_?\d{4,}(?:\.\d+)?$|^[A-Z]{2}\d{6,}(?:\.\d+)?$') THEN 'accession' WHEN REGEXP_MATCHES(label, '^[A-Z][a-z]+(?:[ _][a-z][a-z-]+){1,2}$') THEN 'species'
+WHEN REGEXP_MATCHES(lower(label), 'isolate|strain|clone|cultivar|lineage|sample|specimen|individual|indiv|voucher') OR REGEXP_MATCHES(label, '^[A-Za-z]+[-_]\d{2,}$') THEN 'sample' WHEN REGEXP_MATCHES(label, '^[A-Z][a-z-]+$') THEN 'genus' WHEN REGEXP_MATCHES(lower(label), 'pop|lineage|clade') THEN 'population' ELSE 'unknown' END"""
 _add("taxa_ranks", _LABELS, rv.ranks, f"SELECT source, label, {_RANK} AS rank FROM ({_LABELS}) z")
-_add("taxa_rank_consistency", _LABELS, rv.rank_consistency, f"WITH n AS (SELECT source, {_RANK} AS rank, COUNT(*) AS n FROM ({_LABELS}) z GROUP BY 1, 2) SELECT *, COUNT(*) OVER (PARTITION BY source) > 1 AS mixed FROM n")
+_add("taxa_rank_consistency", _LABELS, rv.rank_consistency, f"WITH n AS (SELECT source, {_RANK} AS rank, COUNT(*) AS n FROM ({_LABELS}) z GROUP BY 1, 2) SELECT *, COUNT(*) FILTER (rank <> 'unknown') OVER (PARTITION BY source) > 1 AS mixed FROM n")
 _SAME = f"SELECT label FROM ({_LABELS}) y UNION ALL SELECT upper(p_name) AS label FROM part WHERE p_partkey % 3 = 0"
 _add("taxa_identities", _SAME, rv.identities, f"WITH n AS (SELECT DISTINCT label, LOWER(REGEXP_REPLACE(label, '[^0-9A-Za-z]', '', 'g')) AS identity FROM ({_SAME}) z) SELECT identity, COUNT(*) AS labels, MIN(label) AS first_label, MAX(label) AS last_label FROM n GROUP BY 1 HAVING COUNT(*) > 1")
 _RES = f"WITH res AS ({q.SQL['taxa_synonyms']})"
@@ -166,8 +177,10 @@ _TRAIT = "SELECT p_brand AS grp, p_partkey AS taxon, CASE WHEN p_size > 3 THEN p
 _add("trait_readiness", _TRAIT, rv.trait_readiness, f"""WITH n AS (SELECT grp, COUNT(*) AS taxa, COUNT(value) AS "values", COUNT(DISTINCT value) AS different FROM ({_TRAIT}) z GROUP BY 1),
 p AS (SELECT *, CONCAT_WS('|', CASE WHEN "values" < taxa THEN 'missing' END, CASE WHEN "values" < 3 THEN 'few' END, CASE WHEN different < 2 THEN 'constant' END) AS problems FROM n) SELECT *, problems = '' AS ready FROM p""")
 _SAMPLED, _ALLTAXA = "SELECT c_nationkey AS grp, c_custkey AS taxon FROM customer JOIN orders ON o_custkey = c_custkey", "SELECT c_nationkey AS grp, c_custkey AS taxon FROM customer"
-_add("div_sampling", _SAMPLED, rv.sampling_fractions, f"""WITH a AS (SELECT grp, COUNT(DISTINCT taxon) AS sampled FROM ({_SAMPLED}) z GROUP BY 1), b AS (SELECT grp, COUNT(DISTINCT taxon) AS known FROM ({_ALLTAXA}) z GROUP BY 1)
-SELECT b.grp, COALESCE(sampled, 0) AS sampled, known, ROUND(CAST(COALESCE(sampled, 0) AS DOUBLE) / known, 9) AS fraction, COALESCE(sampled, 0) < known AS incomplete FROM b LEFT JOIN a ON a.grp = b.grp""", known=_ALLTAXA)
+_DECLARED = "SELECT c_nationkey AS grp, c_custkey AS taxon, CASE c_custkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'many' WHEN 2 THEN '1.5' WHEN 3 THEN ' 0.25 ' ELSE '0.5' END AS fraction FROM customer WHERE c_custkey % 13 > 0"
+_add("div_sampling", _ALLTAXA, rv.sampling_fractions, f"""WITH j AS (SELECT t.grp, d.taxon IS NOT NULL AS there, TRIM(fraction) AS raw, TRY_CAST(TRIM(fraction) AS DOUBLE) AS v FROM ({_ALLTAXA}) t LEFT JOIN ({_DECLARED}) d ON d.grp = t.grp AND d.taxon = t.taxon),
+n AS (SELECT grp, COUNT(*) FILTER (there) AS matched, COUNT(*) FILTER (NOT there) AS missing_taxa, COUNT(*) FILTER (raw = '') AS missing, COUNT(*) FILTER (raw <> '' AND v IS NULL) AS invalid, COUNT(*) FILTER (v <= 0 OR v > 1) AS out_of_range, ROUND(AVG(v) FILTER (v > 0 AND v <= 1), 9) AS fraction, COUNT(DISTINCT v) FILTER (v > 0 AND v <= 1) > 1 AS heterogeneous FROM j GROUP BY 1)
+SELECT *, missing_taxa + missing + invalid + out_of_range = 0 AS complete FROM n""", declared=_DECLARED)
 
 # States along branches
 
@@ -179,9 +192,12 @@ _LEGAL = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 _add("state_illegal", _STATES, lambda s: rv.illegal_states(s, _LEGAL), f"SELECT state, COUNT(*) AS n, MIN(taxon) AS first_taxon FROM ({_STATES}) z WHERE state IS NULL OR state NOT IN {_LEGAL} GROUP BY 1")
 _CODING = "SELECT DISTINCT o_orderpriority AS state, CAST(substr(o_orderpriority, 1, 1) AS INT) AS code FROM orders WHERE o_orderpriority < '4'"
 _add("state_coding", _STATES, rv.state_coding, f"WITH n AS (SELECT state, COUNT(*) AS taxa FROM ({_STATES}) z GROUP BY 1) SELECT n.state, code, taxa, code IS NOT NULL AS coded FROM n LEFT JOIN ({_CODING}) c ON c.state = n.state", coding=_CODING)
-_add("geo_migration_events", _EDGES, rv.migration_events, f"{_E} SELECT parent_state, child_state, CASE WHEN support >= 0.9 THEN 'strong' WHEN support >= 0.5 THEN 'moderate' ELSE 'weak' END AS sure, COUNT(*) AS events, MIN(age) AS youngest, MAX(age) AS oldest FROM mv GROUP BY 1, 2, 3")
+_add("geo_migration_events", _EDGES, rv.migration_events, f"{_E} SELECT parent_state, child_state, CASE WHEN support >= 0.9 THEN 'strong' WHEN support >= 0.6 THEN 'moderate' ELSE 'weak' END AS sure, COUNT(*) AS events, MIN(age) AS youngest, MAX(age) AS oldest FROM mv GROUP BY 1, 2, 3")
 _ALLOWED = "SELECT DISTINCT a.o_orderpriority AS parent_state, b.o_orderpriority AS child_state FROM (SELECT DISTINCT o_orderpriority FROM orders) a JOIN (SELECT DISTINCT o_orderpriority FROM orders) b ON a.o_orderpriority < b.o_orderpriority"
-_add("host_switches", _EDGES, rv.switches, f"{_E}, n AS (SELECT parent_state, child_state, COUNT(*) AS switches, ROUND(AVG(support), 6) AS support FROM mv GROUP BY 1, 2) SELECT n.*, a.parent_state IS NOT NULL AS allowed FROM n LEFT JOIN ({_ALLOWED}) a ON a.parent_state = n.parent_state AND a.child_state = n.child_state", allowed=_ALLOWED)
+#: Below a support of 0.3 the second host is the parent's, below 0.6 it is another one.
+_CHILD_SET = "CASE WHEN support < 0.3 THEN array(child_state, parent_state) WHEN support < 0.6 THEN array(child_state, '9-NONE') ELSE array(child_state) END AS child_set"
+_add("host_switches", _EDGES, lambda e, allowed: rv.switches(e.selectExpr("*", _CHILD_SET, "array(parent_state) AS parent_set"), allowed), f"""{_E}, n AS (SELECT parent_state, child_state, CASE WHEN support < 0.6 THEN 'uncertain_switch' ELSE 'certain_switch' END AS certainty, COUNT(*) AS switches, ROUND(AVG(support), 6) AS support FROM mv GROUP BY 1, 2, 3)
+SELECT n.*, a.parent_state IS NOT NULL AS allowed FROM n LEFT JOIN ({_ALLOWED}) a ON a.parent_state = n.parent_state AND a.child_state = n.child_state""", allowed=_ALLOWED)
 _add("niche_retention", _EDGES, rv.retention, f"{_E} SELECT parent_state AS state, COUNT(*) AS branches, CAST(SUM(CASE WHEN parent_state = child_state THEN 1 ELSE 0 END) AS BIGINT) AS stay, ROUND(CAST(SUM(CASE WHEN parent_state <> child_state THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*), 9) AS leaving FROM e GROUP BY 1")
 _BINS = "SELECT DISTINCT CAST(FLOOR((2000 - year(o_orderdate)) / 2) AS INT) AS bin, CAST(FLOOR((2000 - year(o_orderdate)) / 2) * 2 AS DOUBLE) AS from_age, CAST(FLOOR((2000 - year(o_orderdate)) / 2) * 2 + 2 AS DOUBLE) AS to_age FROM orders"
 _add("geo_transitions_by_time", _EDGES, rv.transitions_by_time, f"{_E} SELECT bin, parent_state, child_state, COUNT(*) AS n FROM mv JOIN ({_BINS}) b ON age >= from_age AND age < to_age GROUP BY 1, 2, 3", bins=_BINS)
@@ -231,18 +247,28 @@ def phyloxml_files(taxa: DataFrame) -> DataFrame:
 
 
 _NWK = f"SELECT tree_id, concat('(', STRING_AGG(concat('(', s, '):1'), ',' ORDER BY y), ');') AS newick FROM (SELECT tree_id, y, STRING_AGG(concat(taxon, ':', CAST(len AS VARCHAR)), ',' ORDER BY token) AS s FROM ({_TAXA}) t GROUP BY 1, 2) u GROUP BY 1"
-_add("io_nexus_trees", _TAXA, lambda t: nexus.nexus_trees(nexus_files(t)), f"SELECT tree_id AS file, 'one' AS name, TRUE AS rooted, newick FROM ({_NWK}) z")
-_add("io_nexus_translate", _TAXA, lambda t: nexus_files(t).select("file", F.explode(nexus.translate_map(F.col("text"))).alias("token", "taxon")), f"SELECT tree_id AS file, CAST(token AS VARCHAR) AS token, taxon FROM ({_TAXA}) t")
-_add("io_phyloxml_tips", _TAXA, lambda t: nexus.phyloxml_tips(phyloxml_files(t)), f"SELECT tree_id AS file, taxon, len AS branch_length FROM ({_TAXA}) t")
+_add("io_nexus_trees", _TAXA, lambda t: tokens.nexus_trees(nexus_files(t)), f"SELECT tree_id AS file, 'one' AS name, TRUE AS rooted, newick FROM ({_NWK}) z")
+_add("io_nexus_translate", _TAXA, lambda t: tokens.translations(nexus_files(t)).withColumnRenamed("label", "taxon"), f"SELECT tree_id AS file, CAST(token AS VARCHAR) AS token, taxon FROM ({_TAXA}) t")
+_add("io_phyloxml_tips", _TAXA, lambda t: tokens.phyloxml_nodes(phyloxml_files(t)).where("is_tip").select("file", F.col("name").alias("taxon"), "branch_length"), f"SELECT tree_id AS file, taxon, len AS branch_length FROM ({_TAXA}) t")
 _add("io_tree_formats", _TAXA, lambda t: nexus_files(t).unionByName(phyloxml_files(t)).unionByName(_newicks(t, "taxon").toDF("file", "text")).groupBy(nexus.tree_format(F.col("text")).alias("format")).agg(F.count("*").alias("n")), f"SELECT format, (SELECT COUNT(DISTINCT tree_id) FROM ({_TAXA}) t) AS n FROM (VALUES ('nexus'), ('phyloxml'), ('newick')) v(format)")
 
 # Further reviews
 
 _W = f"w AS ({q.SQL['aln_windows']}), dg AS ({q.SQL['aln_disagreement']})"
 _add("aln_under_aligned", fr.SITES, rv.under_aligned, f"WITH {_W}, m AS (SELECT w.aln_id, start, stop, variable_fraction, ROUND(AVG(disagreement), 6) AS disagreement FROM w JOIN dg ON dg.aln_id = w.aln_id AND dg.site BETWEEN start AND stop GROUP BY 1, 2, 3, 4) SELECT * FROM m WHERE variable_fraction >= 0.7 AND disagreement >= 0.35")
-_add("aln_sequence_types", fr.SITES, rv.sequence_types, f"""{_S}, v AS (SELECT aln_id, taxon, CAST(SUM(CASE WHEN residue NOT IN ({_PLAIN}) THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) > 0.1 AS p FROM sites GROUP BY 1, 2), n AS (SELECT aln_id, SUM(CAST(p AS INT)) AS p, COUNT(*) AS n FROM v GROUP BY 1)
-SELECT aln_id, CASE WHEN 2 * p > n THEN 'protein' ELSE 'nucleotide' END AS kind, ROUND(CAST(GREATEST(p, n - p) AS DOUBLE) / n, 9) AS confidence FROM n""")
-_add("aln_quality_score", fr.SITES, lambda s: rv.quality_score(al.summary(s)), f"WITH s AS ({q.SQL['aln_summary']}) SELECT aln_id, ROUND(0.5 * (1 - CAST(gaps + missing + ambiguous AS DOUBLE) / (sites * taxa)) + 0.3 * CAST(informative AS DOUBLE) / sites + 0.2 * CAST(variable AS DOUBLE) / sites, 6) AS score FROM s")
+_NUC, _RESIDUES = (", ".join(f"'{c}'" for c in letters) for letters in ("ACGNRYSWKMBDHV", "ABCDEFGHIKLMNPQRSTVWXYZ*"))
+#: Some alignments in RNA or protein letters, one with a letter that is neither.
+_TYPED = f"SELECT aln_id, taxon, site, CASE WHEN aln_id % 5 = 1 AND residue = 'T' THEN 'U' WHEN aln_id % 5 = 2 AND site = 7 AND residue = 'A' THEN 'L' WHEN aln_id % 5 = 3 AND taxon = 'AF' AND residue = 'T' THEN 'U' WHEN aln_id % 10 = 4 AND site = 3 AND residue = 'G' THEN '@' ELSE residue END AS residue FROM ({fr.SITES}) s"
+_add("aln_sequence_types", _TYPED, rv.sequence_types, f"""WITH r AS (SELECT aln_id, taxon, BOOL_AND(residue IN ({_NUC}, 'T')) AS dna, BOOL_AND(residue IN ({_NUC}, 'U')) AS rna, BOOL_AND(residue IN ({_RESIDUES})) AS protein, BOOL_OR(residue NOT IN ({_NUC}, {_RESIDUES}, 'U')) AS odd,
+  BOOL_OR(residue = 'T') AS t, BOOL_OR(residue = 'U') AS u, BOOL_OR(residue IN ({_RESIDUES}) AND residue NOT IN ({_NUC}, 'T', 'U')) AS g FROM ({_TYPED}) z WHERE residue NOT IN ('-', '?') GROUP BY 1, 2),
+b AS (SELECT *, odd OR NOT (dna OR rna OR protein) AS bad FROM r),
+n AS (SELECT aln_id, COUNT(*) FILTER (bad) AS invalid_records, BOOL_AND(dna OR bad) AS d, BOOL_AND(rna OR bad) AS r, BOOL_AND(protein OR bad) AS p, COUNT(*) FILTER (t) AS thymine, COUNT(*) FILTER (u) AS uracil, COUNT(*) FILTER (g) AS signals FROM b GROUP BY 1)
+SELECT aln_id, CASE WHEN invalid_records > 0 THEN 'invalid' WHEN NOT (d OR r OR p) THEN 'mixed' WHEN signals > 0 THEN 'protein' WHEN uracil > 0 AND thymine = 0 THEN 'rna' WHEN d THEN 'dna' WHEN r THEN 'rna' ELSE 'protein' END AS kind,
+CASE WHEN invalid_records > 0 OR NOT (d OR r OR p) THEN 'blocked' WHEN signals > 0 OR (uracil > 0 AND thymine = 0) THEN 'high' WHEN d AND thymine > 0 THEN 'medium' ELSE 'low' END AS confidence, invalid_records, thymine, uracil, signals FROM n""")
+_add("aln_quality_score", fr.SITES, lambda s: rv.quality_score(al.summary(s), al.composition_outliers(s), al.duplicates(s)), f"""WITH s AS ({q.SQL['aln_summary']}), o AS (SELECT aln_id, COUNT(*) AS o FROM ({q.SQL['aln_composition_outliers']}) z WHERE outlier GROUP BY 1), d AS (SELECT aln_id, COUNT(*) AS d FROM ({q.SQL['aln_duplicates']}) z GROUP BY 1),
+p AS (SELECT s.aln_id, ROUND(1 - LEAST(CAST(missing + ambiguous AS DOUBLE) / (sites * taxa), 1), 9) AS missingness, ROUND(1 - LEAST(CAST(gaps AS DOUBLE) / (sites * taxa), 1), 9) AS gap_burden, ROUND(1 - LEAST(CAST(COALESCE(o, 0) AS DOUBLE) / taxa, 1), 9) AS composition,
+  ROUND(1 - LEAST(CAST(COALESCE(d, 0) AS DOUBLE) / taxa, 1), 9) AS duplicates, ROUND(LEAST(CAST(informative AS DOUBLE) / sites / 0.2, 1), 9) AS density FROM s LEFT JOIN o ON o.aln_id = s.aln_id LEFT JOIN d ON d.aln_id = s.aln_id)
+SELECT *, ROUND((missingness + gap_burden + composition + duplicates + density) / 5 * 100, 3) AS score FROM p""")
 _SUM2 = q.SQL["aln_summary"].replace(f"WITH sites AS ({fr.SITES})", f"WITH sites AS (SELECT * FROM ({fr.SITES}) y WHERE site % 5 <> 0)")
 _add("aln_compare_summaries", fr.SITES, lambda s: rv.compare_summaries(al.summary(s), al.summary(s.where("site % 5 <> 0"))), f"SELECT COALESCE(l.aln_id, r.aln_id) AS aln_id, {', '.join(f'COALESCE(r.{c}, 0) - COALESCE(l.{c}, 0) AS {c}_delta' for c in ('sites', 'taxa', 'gaps', 'informative'))} FROM ({q.SQL['aln_summary']}) l FULL JOIN ({_SUM2}) r ON r.aln_id = l.aln_id")
 _TIPSET = "SELECT DISTINCT l_suppkey AS aln_id, concat(l_returnflag, l_linestatus) AS taxon FROM lineitem WHERE l_discount > 0.09"

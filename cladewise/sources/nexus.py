@@ -1,4 +1,4 @@
-"""NEXUS and PhyloXML trees, in DataFrame functions over whole files (file, text)."""
+"""Whole tree files (file, text) and their format; trees are read by ``tokens``."""
 
 from __future__ import annotations
 
@@ -14,30 +14,3 @@ def tree_format(text: Column) -> Column:
     """nexus, phyloxml or newick by the first characters; unknown for others."""
     head = F.substring(F.ltrim(text), 1, 200)
     return F.when(head.rlike("(?i)^#nexus"), "nexus").when(head.rlike("(?i)<phyloxml|^<"), "phyloxml").when(head.rlike(r"^[(]|^[\w']+;"), "newick").otherwise("unknown")
-
-
-def translate_map(text: Column) -> Column:
-    """The TRANSLATE table of a TREES block, token to label; empty without one."""
-    block = F.regexp_extract(text, r"(?is)begin\s+trees\s*;(.*?)\bend\s*;", 1)
-    table = F.regexp_extract(block, r"(?is)\btranslate\s+(.*?);", 1)
-    plain = F.trim(F.regexp_replace(F.regexp_replace(table, "'", ""), r"\s+", " "))
-    return F.when(plain == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(plain, F.lit(" ?, ?"), F.lit(" ")))
-
-
-def nexus_trees(files: DataFrame) -> DataFrame:
-    """(file, name, rooted, newick) for each TREE statement, with labels in place of tokens."""
-    block = F.regexp_extract("text", r"(?is)begin\s+trees\s*;(.*)\bend\s*;", 1)
-    pattern = F.lit(r"(?i)\btree\s+([^=\s]+)\s*=\s*((?:\[[^\]]*\]\s*)*)([^;]*;)")
-    found = files.select("file", translate_map(F.col("text")).alias("labels"), *(F.regexp_extract_all(block, pattern, F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "mark"), (3, "newick"))))
-    each = found.select("file", "labels", F.explode(F.arrays_zip("name", "mark", "newick")).alias("t")).select("file", "labels", "t.*")
-    # labels stand after a bracket or comma and end before a colon, comma or bracket
-    parts = F.split("newick", r"(?<=[(,])|(?=[:,)])")
-    named = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(F.col("labels"), x), x)), "")
-    return each.select("file", "name", ~F.col("mark").rlike("(?i)&U"), named).toDF("file", "name", "rooted", "newick")
-
-
-def phyloxml_tips(files: DataFrame) -> DataFrame:
-    """(file, taxon, branch_length) of the tips of PhyloXML texts."""
-    at = lambda what: F.xpath("text", F.lit(f"//*[local-name()='clade'][not(*[local-name()='clade'])]/*[local-name()='{what}']/text()"))
-    rows = files.select("file", at("name").alias("taxon"), at("branch_length").alias("length")).select("file", F.explode(F.arrays_zip("taxon", "length")).alias("t"))
-    return rows.select("file", F.col("t.taxon").alias("taxon"), F.col("t.length").cast("double").alias("branch_length"))

@@ -195,3 +195,20 @@ def phyloxml_nodes(files: DataFrame) -> DataFrame:
     along = Window.partitionBy(*tree, "level").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     of = of.withColumn("_first", first_child).withColumn("parent", F.last(F.when(F.col("_first"), F.col("pre") - 1), ignorenulls=True).over(along))
     return of.select(*tree, "node", "parent", F.coalesce("name", F.lit("")).alias("name"), "branch_length", "confidence", (F.col("pre") == F.col("post")).alias("is_tip"), "level", "pre", "post")
+
+
+def relabelled(trees: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tree_id, newick) with the labels of (tree_id, name, label) in place of the tips' names, quoted where they must be; comments stay."""
+    marked = tokens(trees)
+    tip = ~F.col("token").rlike(r"^[(),:;]$|^\[") & F.coalesce(F.col("before"), F.lit("(")).isin("(", ",")
+    named = marked.withColumn("name", F.when(tip, _label(F.col("token")))).join(labels, ["tree_id", "name"], "left")
+    quoted = F.when(F.col("label").rlike(r"^[^\s()\[\]{}/\\,;:=*'\"`+<>-]+$"), F.col("label")).otherwise(F.concat(F.lit("'"), F.replace("label", F.lit("'"), F.lit("''")), F.lit("'")))
+    made = named.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(quoted, "token").alias("t")))).alias("_t"))
+    return made.select("tree_id", F.array_join(F.col("_t.t"), "").alias("newick"))
+
+
+def nexus_trees(files: DataFrame) -> DataFrame:
+    """(file, name, rooted, newick) of TREE statements, with labels in place of tokens."""
+    trees = tree_statements(files).withColumn("tree_id", F.struct("file", "i"))
+    labels = trees.select("tree_id", "file").join(translations(files), "file").select("tree_id", F.col("token").alias("name"), "label")
+    return trees.drop("newick").join(relabelled(trees, labels), "tree_id").select("file", "name", "rooted", "newick")
