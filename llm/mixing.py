@@ -9,7 +9,8 @@ Their log odds are added with weights that a gate selects by place and by how mu
 the longer contexts have seen, and a last stage refines the sum by what such sums turned out
 to mean after the same byte.
 
-Learning is online: a task goes through its training texts once, in growing blocks. The different
+Learning is online: texts are dealt to tasks by their hash, a number of tasks that their bytes give, and a task
+goes through its texts once in the order of the hash, in growing blocks. The different
 words of a block are predicted, some at a time, from what the task has seen before; weights and
 refinement are corrected by the errors, each as often as the word comes (once where its
 beginning is new to the task), and the counts updated. Counts and refinement of all tasks are
@@ -625,6 +626,7 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
 
     # at most as many rows as pairs and telling words
     near = train.select("text").mapInArrow(following, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    near = near.sort_by("at")
     at, n = near.column("at").to_numpy(), near.column("n").to_numpy()
     model.clusters = clusters_of(at // _TELLING, at % _TELLING, n)
     plain = spark.sparkContext.broadcast(model)
@@ -640,9 +642,12 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
 
     mixer = model.mixer
     tasks = max(1, int(letters.sum()) // TASK_BYTES)
-    parts = train.select("text").coalesce(tasks).mapInArrow(learn, "block int, body binary")
-    # one row for each block of the model's slots
-    got = parts.repartition("block").sortWithinPartitions("block").mapInArrow(partial(add_up, slots=mixer.slots), "block int, body binary").toArrow()
+    # texts are dealt out and put in order by their hash, so neither files nor the order of rows matter
+    order = F.xxhash64("text")
+    dealt = train.select("text", order.alias("_order")).repartition(tasks, "_order").sortWithinPartitions("_order").select("text")
+    parts = dealt.mapInArrow(learn, "block int, body binary")
+    # one row for each block of the model's slots; sorted by content, too, as sums of weights depend on the order
+    got = parts.repartition("block").sortWithinPartitions("block", "body").mapInArrow(partial(add_up, slots=mixer.slots), "block int, body binary").toArrow()
     table, value = np.zeros(sum(mixer.slots), np.int16), np.zeros(0)
     for block, body in zip(got.column("block").to_pylist(), got.column("body").to_pylist(), strict=True):
         if block < 0:
@@ -663,13 +668,15 @@ def predicted_stretches(judged: DataFrame) -> DataFrame:
     """(key, bits): what the table of stretches takes from the bits of each text, where it predicts any.
 
     ``judged`` has key, train and segments (run, stretch, bits). A row of the table holds, for a
-    run, the number of its stretches in training texts and the two best of the most frequent ones of 8 hash classes.
+    run, the number of its stretches in training texts and its two most frequent ones.
     """
     each = judged.select("key", "train", F.posexplode("segments").alias("pos", "s")).select("key", "train", "pos", "s.*")
     counted = each.where("train").groupBy("run", "stretch").agg(F.count("*").alias("n"))
-    counted = counted.groupBy("run", F.pmod("stretch", F.lit(8)).alias("part")).agg(F.max(F.struct("n", "stretch")).alias("best"), F.sum("n").alias("n"))
-    table = counted.groupBy("run").agg(F.slice(F.sort_array(F.collect_list("best"), asc=False), 1, 2).alias("best"), F.sum("n").alias("n"))
-    table = written(table.select("run", F.col("best")[0].stretch.alias("s1"), F.col("best")[0].n.alias("n1"), F.get("best", F.lit(1)).stretch.alias("s2"), F.get("best", F.lit(1)).n.alias("n2"), "n"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("n"), F.desc("stretch")))
+    best = counted.withColumn("place", place).where("place <= 2")  # Spark keeps two of a run in each task before the shuffle
+    of = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    best = best.groupBy("run").agg(of(1, "stretch").alias("s1"), of(1, "n").alias("n1"), of(2, "stretch").alias("s2"), of(2, "n").alias("n2"))
+    table = written(counted.groupBy("run").agg(F.sum("n").alias("n")).join(best, "run").select("run", "s1", "n1", "s2", "n2", "n"))
     # runs with more than one in 4,000 of all stretches, at most 4,000 of them, are dealt out to 64 tasks each
     often = F.col("n") > F.lit(max(1000, (table.agg(F.sum("n")).first()[0] or 0) // 4000))
     hot = table.where(often).select("run", F.lit(True).alias("hot"))
@@ -731,10 +738,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
             c = model.counted(p.hash[first])
             base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / scale), 0.0)[back]
             run, stretch, begin, end = stretches(p.hash, p.row, n)
-            so_far = np.concatenate([[0.0], np.cumsum(bits)])
+            # sums of their own, as differences of a running sum depend on what stands before
+            spans = np.add.reduceat(np.append(bits, 0.0), np.stack([begin, end], axis=1).ravel())[::2] * (end > begin) if len(begin) else np.zeros(0)
             lists = pa.ListArray.from_arrays(
                 pa.array(ts.list_offsets(p.row[begin], n)),
-                pa.StructArray.from_arrays([pa.array(run.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array((so_far[end] - so_far[begin]).astype(np.float32))], names=["run", "stretch", "bits"]),
+                pa.StructArray.from_arrays([pa.array(run.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(spans.astype(np.float32))], names=["run", "stretch", "bits"]),
             )
             yield pa.record_batch(
                 [
@@ -773,8 +781,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
         (F.col("n_frequent") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (-bits * F.log10(F.lit(2.0))).alias("score"),
-        (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        F.round(-bits * F.log10(F.lit(2.0)), 6).alias("score"),
+        F.round(bits / F.greatest("n_bytes", F.lit(1)), 9).alias("bits_per_byte"),
     )
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm import decontaminate, importance, licenses, mixing, pieces, quality_rules, repeats, superminhash, surrogates, textscan, toxicity
 
@@ -485,6 +486,15 @@ def test_base_scores_and_mixing(spark):
     assert sum(rows[i].score for i in held) > 1.2 * sum(rows[i].base_score for i in held)
 
 
+def test_scores_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_BYTES", 1 << 17)  # several tasks
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    run = lambda d: {r.id: (r.score, r.bits_per_byte) for r in mixing.score(d, train=~toxicity.held_out("doc_id", 5, 1)).collect()}
+    plain = run(docs)
+    assert run(docs.orderBy(F.xxhash64("doc_id"))) == plain
+    assert run(docs.repartition(8, F.xxhash64("doc_id"))) == plain
+
+
 def random_mixer(seed):
     rng = np.random.default_rng(seed)
     mixer = mixing.Mixer(*mixing.huffman(rng.integers(1, 100, mixing._SYMBOLS)), (256,) * 6)
