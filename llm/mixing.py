@@ -9,8 +9,8 @@ Their log odds are added with weights that a gate selects by place and by how mu
 the longer contexts have seen, and a last stage refines the sum by what such sums turned out
 to mean after the same byte.
 
-Learning is online: texts are dealt to tasks by their hash, a number of tasks that their bytes give, and a task
-goes through its texts once in the order of the hash, in growing blocks. The different
+Learning is online: texts are dealt to parts by a hash of key and text, so many parts as their bytes give, and a
+part's texts are gone through once in the order of the hash, in growing blocks. The different
 words of a block are predicted, some at a time, from what the task has seen before; weights and
 refinement are corrected by the errors, each as often as the word comes (once where its
 beginning is new to the task), and the counts updated. Counts and refinement of all tasks are
@@ -42,6 +42,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, partial
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -489,19 +491,34 @@ def _parts(batches: Iterable[pa.RecordBatch], column: int, size: int = _PIECE) -
             yield batch, row, data, off
 
 
-def _growing(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of whole texts from the first column, each twice as large as the one before, up to ``_BLOCK``."""
+def _growing(columns: Iterable[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of whole texts, each twice as large as the one before, up to ``_BLOCK``; where they end depends on the texts alone."""
     size, have, held = _PIECE >> 9, 0, []
-    for _, _, data, off in _parts(batches, 0, _PIECE >> 9):
-        held.append((data, off))
-        have += len(data)
-        if have >= size:
-            yield _joined(held)
-            size, have, held = min(2 * size, _BLOCK), 0, []
+    for column in columns:
+        for _, data, off in ts.pieces(column):
+            at, n = 0, len(off) - 1
+            while at < n:
+                end = min(n, max(at + 1, int(np.searchsorted(off, off[at] + size - have))))
+                held.append((data[off[at] : off[end]], off[at : end + 1] - off[at]))
+                have += int(off[end] - off[at])
+                at = end
+                if have >= size:
+                    yield _joined(held)
+                    size, have, held = min(2 * size, _BLOCK), 0, []
     if held:
         yield _joined(held)
 
 
+def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """(part, texts) of batches (part, text) sorted by part."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield int(part[lo]), batch.column(1).slice(lo, hi - lo)
+
+
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
     """Batches of (key, train, text), some together, up to ``_BLOCK``: (key, train) and the texts."""
     held: list[pa.RecordBatch] = []
@@ -593,7 +610,7 @@ def learn_text(model: Model, learner: Learner, data: np.ndarray, off: np.ndarray
 
 
 def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """Learns from all rows of ``train`` (text), whose words have been counted."""
+    """Learns from all rows of ``train`` (key, text), whose words have been counted."""
     spark = train.sparkSession
     letters = np.ones(_SYMBOLS, np.int64)
     # one row for each byte
@@ -632,19 +649,20 @@ def fit(train: DataFrame, counted: DataFrame, vocabulary: int = VOCABULARY) -> M
     plain = spark.sparkContext.broadcast(model)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(plain.value.mixer)
-        for data, off in _growing(batches):
-            learn_text(plain.value, learner, data, off)
-            if learner.total > 1 << 30:  # before a count can overflow
-                yield from learner.sent()
-        yield from learner.sent()
-        yield learner.weighed()
+        for _, own in groupby(_by_part(batches), key=itemgetter(0)):
+            learner = Learner(plain.value.mixer)
+            for data, off in _growing(column for _, column in own):
+                learn_text(plain.value, learner, data, off)
+                if learner.total > 1 << 30:  # before a count can overflow
+                    yield from learner.sent()
+            yield from learner.sent()
+            yield learner.weighed()
 
     mixer = model.mixer
     tasks = max(1, int(letters.sum()) // TASK_BYTES)
-    # texts are dealt out and put in order by their hash, so neither files nor the order of rows matter
-    order = F.xxhash64("text")
-    dealt = train.select("text", order.alias("_order")).repartition(tasks, "_order").sortWithinPartitions("_order").select("text")
+    # texts are dealt to parts and put in order by a hash of key and text, so neither files nor the order of rows matter, and copies spread
+    order = F.xxhash64("key", "text")
+    dealt = train.select(F.pmod(order, F.lit(tasks)).alias("part"), "text", order.alias("_order")).repartition("part").sortWithinPartitions("part", "_order").select("part", "text")
     parts = dealt.mapInArrow(learn, "block int, body binary")
     # one row for each block of the model's slots; sorted by content, too, as sums of weights depend on the order
     got = parts.repartition("block").sortWithinPartitions("block", "body").mapInArrow(partial(add_up, slots=mixer.slots), "block int, body binary").toArrow()
@@ -707,7 +725,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tr
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row; learns from the rows where ``train``."""
     train = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     keyed, unique = add_key(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train")), "id", "text")
-    learned = keyed.where("train").select("text")
+    learned = keyed.where("train").select("key", "text")
     counted = written(count_words(learned))
     model = fit(learned, counted, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
