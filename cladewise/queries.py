@@ -454,3 +454,4 @@ _add("dist_influence", fr.SITES, lambda s: leastsquares.influence(di.distances(s
 from cladewise import reviews as _reviews  # noqa: E402, F401
 from cladewise import shapes as _shapes  # noqa: E402, F401
 from cladewise import records as _records  # noqa: E402, F401
+from cladewise import diffusion as _diffusion  # noqa: E402, F401
