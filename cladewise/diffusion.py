@@ -63,8 +63,8 @@ _add("trait_rate_intervals", fr.NODES, lambda n, values: _rounded(_intervals(n,
 _TREND = ["depth", "earliest", "latest", "ratio", "slope", "normalised_slope"]
 _add("trait_rate_trend", fr.NODES, lambda n, values: _rounded(brownian.rate_trend(_intervals(n, values)), *_TREND), f"""{_I}, x AS (SELECT *, (start + stop) / 2 AS x, length AS w FROM iv),
 a AS (SELECT tree_id, trait, COUNT(rate) AS nonempty, MAX(stop) AS depth, ARG_MIN(rate, interval) FILTER (rate IS NOT NULL) AS earliest, ARG_MAX(rate, interval) FILTER (rate IS NOT NULL) AS latest, SUM(w) FILTER (rate IS NOT NULL) AS sw, SUM(w * x) FILTER (rate IS NOT NULL) / sw AS mx, SUM(w * rate) / sw AS my FROM x GROUP BY 1, 2),
-b AS (SELECT a.tree_id, a.trait, SUM(w * (x - mx) ** 2) FILTER (rate IS NOT NULL) AS den, SUM(w * (x - mx) * (rate - my)) AS num, MIN(interval) FILTER (rate = hi) AS peak, MIN(interval) FILTER (rate = lo) AS trough
-  FROM (SELECT x.*, mx, my, MAX(rate) OVER (PARTITION BY x.tree_id, x.trait) AS hi, MIN(rate) OVER (PARTITION BY x.tree_id, x.trait) AS lo FROM x JOIN a ON a.tree_id = x.tree_id AND a.trait = x.trait) a GROUP BY 1, 2),
+b AS (SELECT a.tree_id, a.trait, SUM(w * (x - mx) ** 2) FILTER (rate IS NOT NULL) AS den, SUM(w * (x - mx) * (rate - my)) AS num, MIN(interval) FILTER (ROUND(rate, 6) = hi) AS peak, MIN(interval) FILTER (ROUND(rate, 6) = lo) AS trough
+  FROM (SELECT x.*, mx, my, MAX(ROUND(rate, 6)) OVER (PARTITION BY x.tree_id, x.trait) AS hi, MIN(ROUND(rate, 6)) OVER (PARTITION BY x.tree_id, x.trait) AS lo FROM x JOIN a ON a.tree_id = x.tree_id AND a.trait = x.trait) a GROUP BY 1, 2),
 c AS (SELECT a.tree_id, a.trait, nonempty, depth, earliest, latest, CASE WHEN earliest > 0 THEN latest / earliest END AS ratio, CASE WHEN nonempty > 1 THEN CASE WHEN den <= 1e-12 THEN 0 ELSE num / den END END AS slope, my, peak, trough FROM a JOIN b ON b.tree_id = a.tree_id AND b.trait = a.trait),
 n AS (SELECT *, CASE WHEN my > 0 THEN slope * depth / my END AS normalised_slope FROM c)
 SELECT tree_id, trait, nonempty, {_R(*_TREND)}, peak, trough, CASE WHEN nonempty < 2 OR normalised_slope IS NULL OR ratio IS NULL OR latest <= 0 THEN 'insufficient_data' WHEN normalised_slope <= -0.2 AND ratio <= 0.85 THEN 'slowdown' WHEN normalised_slope >= 0.2 AND ratio >= 1.15 THEN 'acceleration' ELSE 'stable' END AS trend FROM n""", values=_PLACES)

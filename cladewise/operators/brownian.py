@@ -134,14 +134,15 @@ def rate_trend(rows: DataFrame) -> DataFrame:
 
     The slope is weighted by length and normalised by depth over mean rate. slowdown: at most -0.2 with a ratio of last to first
     of at most 0.85; acceleration: at least 0.2 and 1.15; otherwise stable; insufficient_data without two rates above 0 at the ends.
+    Of rates equal to 6 digits the first is the peak or trough.
     """
     x, y, w = (F.col("start") + F.col("stop")) / 2, F.col("rate"), F.col("length")
     used = rows.withColumns({"_x": x, "_full": y.isNotNull()})
-    x = F.col("_x")
+    x, even = F.col("_x"), F.round("rate", 6).alias("rate")
     keep = lambda c: F.when(F.col("_full"), c)
     of = used.groupBy(*KEY).agg(
         F.count_if("_full").alias("nonempty"), F.max("stop").alias("depth"), F.min_by("rate", keep(F.col("interval"))).alias("earliest"), F.max_by("rate", keep(F.col("interval"))).alias("latest"),
-        F.max(keep(F.struct("rate", -F.col("interval")))).getItem("col2").alias("_peak"), F.min(keep(F.struct("rate", "interval"))).getField("interval").alias("trough"),
+        F.max(keep(F.struct(even, (-F.col("interval")).alias("interval")))).getField("interval").alias("_peak"), F.min(keep(F.struct(even, "interval"))).getField("interval").alias("trough"),
         *(F.sum(keep(c)).alias(n) for n, c in {"_w": w, "_wx": w * x, "_wy": w * y, "_wxx": w * x * x, "_wxy": w * x * y}.items()),
     )
     spread = F.col("_wxx") - F.col("_wx") ** 2 / F.col("_w")
