@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cladewise import frames as fr
 from cladewise import queries as q
-from cladewise.operators import deep
+from cladewise.operators import deep, rogue
 from cladewise.operators import trees as tree
+from cladewise.operators import treesets as se
 from cladewise.sources import tokens
 
 _add = q._add
@@ -138,3 +139,22 @@ b AS (SELECT tree_id, p, date, ROW_NUMBER() OVER (PARTITION BY tree_id, p ORDER
 n AS (SELECT a.tree_id, p, CASE WHEN VAR_POP(date) > 0 AND VAR_POP(distance) > 0 THEN ROUND(REGR_R2(distance, date), 9) WHEN VAR_POP(date) > 0 THEN 1.0 END AS permuted FROM a JOIN b ON b.tree_id = a.tree_id AND b.i = a.i GROUP BY 1, 2)
 SELECT n.tree_id, tips, ROUND(r2, 6) AS r2, COUNT(*) FILTER (permuted >= r2) AS at_or_above, ROUND(MIN(permuted), 6) AS null_least, ROUND(AVG(permuted), 6) AS null_mean, ROUND(MAX(permuted), 6) AS null_most,
 ROUND((COUNT(*) FILTER (permuted >= r2) + 1) / 20.0, 6) AS p_value FROM n JOIN o ON o.tree_id = n.tree_id WHERE r2 IS NOT NULL GROUP BY 1, 2, r2""")
+
+# Leaving out a taxon
+
+_ROGUE = f"""{q._T}, z AS (SELECT DISTINCT tip FROM tips UNION ALL SELECT ''), n AS (SELECT COUNT(*) AS n FROM trees),
+p AS (SELECT DISTINCT z.tip, tree_id, array_to_string(list_filter(string_split(clade, '|'), lambda c: c <> z.tip), '|') AS clade FROM cl CROSS JOIN z),
+pc AS (SELECT * FROM p WHERE LEN(string_split(clade, '|')) BETWEEN 2 AND (SELECT COUNT(*) - 2 FROM z) - CAST(tip <> '' AS INT)),
+f AS (SELECT tip, clade, 100.0 * COUNT(*) / (SELECT n FROM n) AS share FROM pc GROUP BY 1, 2),
+co AS (SELECT z.tip, COUNT(share) AS k, COALESCE(AVG(share), 0) AS support FROM z LEFT JOIN f ON f.tip = z.tip AND share >= 30 GROUP BY 1),
+sx AS (SELECT z.tip, t.tree_id, COALESCE(STRING_AGG(clade, ';' ORDER BY clade), '') AS signature FROM z CROSS JOIN trees t LEFT JOIN pc ON pc.tip = z.tip AND pc.tree_id = t.tree_id GROUP BY 1, 2),
+tx AS (SELECT tip, signature, COUNT(*) AS w, list_filter(string_split(signature, ';'), lambda c: c <> '') AS cs FROM sx GROUP BY 1, 2),
+sh AS (SELECT tip, COUNT(*) AS topologies, ROUND(CAST(MAX(w) AS DOUBLE) / SUM(w), 9) AS dominant FROM tx GROUP BY 1),
+rf AS (SELECT a.tip, SUM(CAST(a.w AS DOUBLE) * b.w * (1 - 2.0 * LEN(list_intersect(a.cs, b.cs)) / (LEN(a.cs) + LEN(b.cs)))) / (SELECT CAST(n AS DOUBLE) * (n - 1) / 2 FROM n) AS d FROM tx a JOIN tx b ON a.tip = b.tip AND a.signature < b.signature GROUP BY 1),
+g AS (SELECT z.tip, ROUND(CAST(k AS DOUBLE) / ((SELECT COUNT(*) FROM z) - 3 - CAST(z.tip <> '' AS INT)), 9) AS resolution, ROUND(support, 9) AS support, ROUND(COALESCE(d, 0), 9) AS distance, topologies, dominant FROM z JOIN co ON co.tip = z.tip JOIN sh ON sh.tip = z.tip LEFT JOIN rf ON rf.tip = z.tip),
+m AS (SELECT tip, ROUND(AVG(n), 9) AS mean_branch_length FROM tips GROUP BY 1),
+r AS (SELECT a.tip AS taxon, b.resolution AS baseline_resolution, a.resolution AS pruned_resolution, b.support AS baseline_support, a.support AS pruned_support, b.distance AS baseline_distance, a.distance AS pruned_distance, b.topologies AS baseline_topologies, a.topologies AS pruned_topologies,
+  b.dominant AS baseline_dominant, a.dominant AS pruned_dominant, ROUND(a.resolution - b.resolution, 9) AS resolution_gain, ROUND(a.support - b.support, 9) AS support_gain, ROUND(b.distance - a.distance, 9) AS distance_gain, b.topologies - a.topologies AS topologies_gain, ROUND(a.dominant - b.dominant, 9) AS dominant_gain
+  FROM g a JOIN g b ON b.tip = '' WHERE a.tip <> '')
+SELECT r.*, mean_branch_length, CAST(ROW_NUMBER() OVER (ORDER BY resolution_gain DESC, support_gain DESC, distance_gain DESC, pruned_distance, taxon) AS INT) AS rank FROM r JOIN m ON m.tip = r.taxon"""
+_add("set_rogue_taxa", fr.TIPS, lambda t: rogue.drop_one_taxon(se.clades_of_levels(t), t, t.select(F.col("tip").alias("taxon")), 0.3, t.select(F.col("tip").alias("taxon"), F.col("n").cast("double").alias("branch_length"))), _ROGUE)
