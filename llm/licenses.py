@@ -83,6 +83,20 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("zlib-notice", "this notice may not be removed or altered from any source distribution"),
     ("boost-notice", "distributed under the boost software license version 1.0"),
     ("boost-title", "boost software license [version] 1.0 [august 17th 2003]"),
+    ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license ..."),
+    ("cddl-notice", "the contents of this file are subject to the terms of [either the gnu general public license version 2 only gpl or] the common development and distribution license ..."),
+    ("cddl-1.0", "common development and distribution license [cddl] version 1.0"),
+    ("cddl-1.1", "common development and distribution license [cddl] version 1.1"),
+    ("eupl-1.1", _IT + " the {eupl|european union public license|european union public license eupl} [version] 1.1 ..."),
+    ("eupl-1.2", _IT + " the {eupl|european union public license|european union public license eupl} [version] 1.2 ..."),
+    ("eupl-1.1-title", "european union public license [version|eupl] [version] 1.1"),
+    ("eupl-1.2-title", "european union public license [version|eupl] [version] 1.2"),
+    ("gpl-3-title", "gnu general public license version 3 29 june 2007"),
+    ("gpl-2-title", "gnu general public license version 2 june 1991"),
+    ("lgpl-3-title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1-title", "gnu lesser general public license version 2.1 february 1999"),
+    ("agpl-3-title", "gnu affero general public license version 3 19 november 2007"),
+    ("artistic-title", "[the] artistic license [version] 2.0"),
     ("perl-notice", "this {is|work is} free software you can redistribute it and or modify it under the same terms as perl ..."),
     ("artistic-notice", _IT + " the artistic license [version] 2"),
     ("ofl-notice", "this font software is licensed under the sil open font license version {1.0|1.1}"),
@@ -95,6 +109,8 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("cc-by-sa", "[this work is] licensed under {a|the|} {cc|creative commons} {by sa|attribution sharealike|attribution share alike} [1|2|2.5|3|4] [international|unported] [license]"),
     ("cc-by", "[this work is] licensed under {a|the|} {cc|creative commons} {by|attribution} [1|2|2.5|3|4] [international|unported] [license]"),
     ("cc0", "[this work is] {licensed under|dedicated to the public domain under} {cc0|creative commons zero} [1.0] [universal]"),
+    *((f"{kind}-url", f"[http|https] {{creativecommons.org|www.creativecommons.org}} licenses {kind[3:].replace('-', ' ')} {{1|2|2.5|3|4}} [deed.en|legalcode]") for kind in ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")),
+    ("cc0-url", "[http|https] {creativecommons.org|www.creativecommons.org} publicdomain zero 1 [deed.en|legalcode]"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software ..."),
     ("public-domain", "[this work is] {licensed into|dedicated to|placed in|in} the public domain"),
@@ -116,6 +132,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-condition", "as-is")),
     ("MIT", ("mit-grant", "mit-condition")),
     ("MIT-0", ("mit-grant", "as-is")),
+    # the grant alone licenses, whatever became of its conditions
+    ("MIT", ("mit-grant",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-title",)),
     ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names")),
@@ -147,10 +165,26 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("EPL-1.0", ("epl-1",)),
     ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
     ("Zlib", ("zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant", "as-is")),
+    ("BSL-1.0", ("boost-grant",)),
     ("BSL-1.0", ("boost-notice",)),
     ("BSL-1.0", ("boost-title",)),
     ("Artistic-Perl", ("perl-notice",)),
     ("Artistic-2.0", ("artistic-notice",)),
+    ("Artistic-2.0", ("artistic-title",)),
+    ("CDDL-1.0", ("cddl-1.0",)),
+    ("CDDL-1.1", ("cddl-1.1",)),
+    ("CDDL", ("cddl-notice",)),
+    ("EUPL-1.1", ("eupl-1.1",)),
+    ("EUPL-1.1", ("eupl-1.1-title",)),
+    ("EUPL-1.2", ("eupl-1.2",)),
+    ("EUPL-1.2", ("eupl-1.2-title",)),
+    ("GPL-3.0", ("gpl-3-title",)),
+    ("GPL-2.0", ("gpl-2-title",)),
+    ("LGPL", ("lgpl-3-title",)),
+    ("LGPL", ("lgpl-2.1-title",)),
+    ("AGPL-3.0", ("agpl-3-title",)),
     ("OFL", ("ofl-notice",)),
     ("WTFPL", ("wtfpl-title", "wtfpl-grant")),
     ("WTFPL", ("wtfpl-title",)),
@@ -161,6 +195,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA", ("cc-by-sa",)),
     ("CC-BY", ("cc-by",)),
     ("CC0", ("cc0",)),
+    *((kind.upper(), (f"{kind}-url",)) for kind in ("cc-by-nc-sa", "cc-by-nc-nd", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "cc0")),
     ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant", "as-is")),
     ("ISC", ("isc-grant",)),
@@ -219,15 +254,18 @@ def _marks(sentences: Iterable[str]) -> str:
 #: Words of known sentences that ordinary texts are full of.
 _COMMON = {"licensed", "version", "option", "either", "without", "public", "general", "source", "following", "received", "should", "useful", "notice", "international", "unported"}
 #: Short words that few other texts have.
-_SHORT = {"gpl", "lgpl", "agpl", "gnu", "cc", "cc0", "mit", "mpl", "fuck"}
+_SHORT = {"gpl", "lgpl", "agpl", "gnu", "eupl", "cc", "cc0", "mit", "mpl", "fuck"}
 EXACT, OPEN, _BEGUN = _dictionary()
 #: Every known sentence has one of these words, in some case.
 MARKS = _marks([*EXACT, *OPEN])
-_CUT = re.compile(r"\n|;|\||(?<=[.!?])\s|\.(?=$)")
+#: Stops of these are none of the sentence.
+_SHORTENED = re.compile(r"(?i)\b(?:v|ver|vers|e\.g|i\.e)\.$")
+_CUT = re.compile(r"\n|;|\||(?<=[.!?])(?<!\b[Vv]\.)(?<!\b[Vv]er\.)(?<!\b[Vv]ers\.)(?<!\b[Ee]\.g\.)(?<!\b[Ii]\.e\.)\s|\.(?=$)")
 #: The number of a list, before a sentence.
 _NUMBER = re.compile(r"^(?:\d{1,2}|[b-d]|i{1,3}) (?=\S)")
 _LATER = re.compile(r"either version ([23]) of the license\b")
-_NAMED = re.compile(r"(?i)spdx-license-identifier:\s*([\w.+-]+)")
+#: Licences joined by AND, OR and WITH, with brackets.
+_NAMED = re.compile(r"(?i:spdx-license-identifier):\s*([( \t]*[\w.+:-]+(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+[\w.+:-]+)*)")
 _ORDERED = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1]), i))
 
 
@@ -247,7 +285,8 @@ def sentence_ids(text: str) -> list[tuple[int, str, int, int, str]]:
         if plain:
             lines.append((start, stop, plain))
         # a line end, semicolon or bar inside a sentence is none of its own
-        soft = plain and text[stop:after] in ("\n", ";", "|") and text[start:stop].rstrip()[-1] not in ".!?"
+        ended = text[start:stop].rstrip()
+        soft = plain and text[stop:after] in ("\n", ";", "|") and (ended[-1] not in ".!?" or _SHORTENED.search(ended[-8:]))
         if lines and not soft:
             out.extend(_in_sentence(text, lines, number))
             number += 1
@@ -295,6 +334,12 @@ def _in_sentence(text: str, lines: list[tuple[int, int, str]], number: int) -> I
             yield number, f"gpl-{later[1]}-or", start, stop, ""
 
 
+def licences_named(expression: str) -> list[str]:
+    """The licences of an SPDX expression, each once, in order; an exception stays with its licence."""
+    parts = re.split(r"\s+(?:AND|OR)\s+", " ".join(re.sub(r"[()]", " ", expression).split()))
+    return list(dict.fromkeys(p for p in parts if p))
+
+
 def match_rules(found: list[tuple[int, str, int, int, str]]) -> list[dict]:
     """Licences in order of their place; longer rules first, each sentence used once."""
     used: set[int] = set()
@@ -317,8 +362,8 @@ def match_rules(found: list[tuple[int, str, int, int, str]]) -> list[dict]:
                     break
             if len(chain) == len(rule):
                 used.update(chain)
-                named = found[chain[0]][4]
-                hits.append({"license": named or licence, "sentences": [found[j][1] for j in chain], "start": found[chain[0]][2], "stop": found[chain[-1]][3]})
+                for named in licences_named(found[chain[0]][4]) or [licence]:
+                    hits.append({"license": named, "sentences": [found[j][1] for j in chain], "start": found[chain[0]][2], "stop": found[chain[-1]][3]})
     return sorted(hits, key=lambda h: (h["start"], h["license"]))
 
 

@@ -417,6 +417,30 @@ def test_licenses():
     assert "apache-copy" not in [s for h in scan("You may obtain a copy of the License at x\nLicensed under the Apache License, Version 2.0") for s in h["sentences"]]
 
 
+def test_license_headers_and_expressions():
+    names = lambda t: [h["license"] for h in licenses.match_rules(licenses.sentence_ids(t))]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    assert licenses.match_rules(licenses.sentence_ids(f"/* {mpl} */"))[0]["sentences"] == ["mpl-notice", "mpl-obtain"]
+    assert names(f"/* {mpl} */") == names(mpl.replace("v. 2.0", "v.\n2.0")) == names(mpl.replace("\n * ", " ")) == ["MPL-2.0"]
+    spdx = "SPDX-License-Identifier: "
+    assert names(f"// {spdx}GPL-2.0-only WITH Linux-syscall-note OR MIT") == ["GPL-2.0-only WITH Linux-syscall-note", "MIT"]
+    assert names(f"# {spdx}(MIT AND  (Apache-2.0 OR BSD-3-Clause)) OR MIT\nnext line") == ["Apache-2.0", "BSD-3-Clause", "MIT"]
+    assert names(f"{spdx}MIT and other words") == names(f"{spdx}MIT OR") == ["MIT"]
+    assert names(f"{spdx}LicenseRef-a.b+ AND DocumentRef-x:LicenseRef-y") == ["DocumentRef-x:LicenseRef-y", "LicenseRef-a.b+"]
+    boost = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute it."
+    assert names(f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{boost}") == ["BSL-1.0", "BSL-1.0"] and names(boost) == ["BSL-1.0"]
+    cddl = 'The contents of this file are subject to the terms of the\nCommon Development and Distribution License (the "License").\nYou may not use this file except in compliance with the License.'
+    assert names(cddl) == ["CDDL"] and names("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.1") == ["CDDL-1.1"]
+    assert names("Licensed under the EUPL, Version 1.2 or - as soon they will be approved - subsequent versions of the EUPL.") == ["EUPL-1.2"]
+    assert names("European Union Public Licence v. 1.2") == ["EUPL-1.2"]
+    assert names("The Artistic License 2.0\n\nCopyright") == ["Artistic-2.0"]
+    assert names("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007") == ["GPL-3.0"]
+    assert names("https://creativecommons.org/licenses/by-nc-sa/4.0/legalcode") == ["CC-BY-NC-SA"] and names("http://creativecommons.org/publicdomain/zero/1.0/") == ["CC0"]
+    assert names("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and files, to deal in it.") == ["MIT"]
+    assert names("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.") == ["Zlib"]
+    assert names("He wrote v. 2.0 of it, e.g. the parser. We like the Mozilla Public License, v. 2.0. That is all.") == []
+
+
 def test_each_known_license_sentence_is_found():
     """Every sentence of the dictionary, wrapped in a text of its own, passes the first look and is found; so is a rule made of them."""
     rng, marks = random.Random(2), re.compile(licenses.MARKS)
