@@ -36,8 +36,8 @@ _HONORIFICS_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "г-н"
 _HONORIFICS_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Madam", "г-жа", "κα")
 _HONORIFICS_N = ("Dr", "Dra", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "д-р", "проф", "δρ")
 _HONORIFIC = "|".join(sorted(_HONORIFICS_M + _HONORIFICS_F + _HONORIFICS_N, key=len, reverse=True))
-#: Draws of the same form before replacements get longer, and draws in all: each longer one has at least five times the room.
-WIDER, MOST = 8, 64
+#: Draws of the same form before replacements get longer; each longer one has at least five times the room, so drawing ends.
+WIDER = 8
 #: Alternatives are tried in this order; each starts at a boundary, so a search takes linear time.
 PATTERN = "|".join(
     (
@@ -177,7 +177,7 @@ def _attempts(units: DataFrame, key: str) -> DataFrame:
     plain = lambda c: flat(F.concat(c, F.when(F.col("kind").isin("given", "family"), "").otherwise(F.col("after"))))
     real = forms.select("kind", plain(F.col("body")).alias("flat")).distinct()
     current = forms.withColumn("attempt", F.lit(0))
-    for _ in range(MOST):
+    while True:
         again = checkpoint(with_surrogate(current, key).select(*unit, "attempt", plain(F.col("drawn")).alias("flat")))
         twice = again.groupBy("kind", "flat").agg(F.min(F.struct("norm", "gender")).alias("owner"), F.count("*").alias("n")).where("n > 1")
         clash = again.join(twice, ["kind", "flat"]).where((F.col("norm") != F.col("owner.norm")) | (F.col("gender") != F.col("owner.gender"))).select(*unit)
@@ -186,7 +186,6 @@ def _attempts(units: DataFrame, key: str) -> DataFrame:
             return again.where("attempt > 0").select(*unit, "attempt")
         hit = clash.withColumn("hit", F.lit(1))
         current = checkpoint(forms.join(again.select(*unit, "attempt"), unit).join(hit, unit, "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).drop("hit"))
-    raise RuntimeError(f"some replacements still clash after {MOST} draws")
 
 
 def with_genders(units: DataFrame) -> DataFrame:
