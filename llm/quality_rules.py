@@ -4,9 +4,9 @@ Words and pairs of neighbouring words are hashed into ``buckets``. Their counts
 trusted texts and over the whole corpus are two multinomials; a document's score is the sum
 of its n-grams' log-likelihood ratios over their number plus ``PRIOR``, which draws short
 texts to 0. A document fails if its score is below the threshold. All documents are counted,
-scored and judged; the trusted texts are a bounded sample of the labelled ones (``TRUSTED``,
-the first by hash of their id). Half of them make the trusted counts; the threshold is the
-``QUANTILE`` of the scores of the other half, which like any other text are not in those counts.
+scored and judged, and all texts labelled good are trusted. Half of them (by a hash of their id) make the
+trusted counts; the threshold is the ``QUANTILE`` of the scores of the other half, which like any
+other text are not in those counts: the score of that rank, found by counting digits, down to 2^-40.
 
 Beside the score stand plain figures of each text: words and their characters, symbols,
 lines equal to an earlier line, and words in 8-word windows that occur more than once.
@@ -24,10 +24,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.keys import checkpoint
+from llm.importance import _kth_largest
+from llm.keys import checkpoint, written
 
 BUCKETS = 10_000
-TRUSTED = 20_000
 PRIOR = 10
 QUANTILE = 0.005
 WINDOW = 8
@@ -70,15 +70,22 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most ``most`` ids of trusted texts, the first by hash."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all trusted texts."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def _half() -> Column:
+    """The half that a trusted id belongs to."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """The log-likelihood ratio of each bucket, from all documents (doc_id, text) and the trusted among them."""
-    marked = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    """The log-likelihood ratio of each bucket, from all documents (doc_id, text) and those of half 0 that are trusted."""
+    docs = docs.withColumn("_half", _half())
+    # texts of the other half need not meet the ids; a hash join by shuffle sends no ids to all tasks and sorts no texts
+    met = docs.where("_half = 0").join(trusted.withColumn("trusted", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
+    marked = met.unionByName(docs.where("_half = 1").withColumn("trusted", F.lit(0)))
     counted = (
         with_ngrams(marked)
         .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams()).alias("g"))
@@ -102,21 +109,21 @@ def ratio_score(ratio: list[float]) -> Column:
     return total / (F.size("grams") + F.lit(PRIOR))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
-    """(doc_id, figures, score, threshold, base_failed, kept) for each row of ``docs``."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = docs.sparkSession.createDataFrame(trusted_ids(labels, trusted).collect(), docs.select("doc_id").schema)
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
-    ratio = fit_ratio(docs, sample.where(half == 0), buckets)
+def _quantile(scores: DataFrame, q: float) -> float | None:
+    """The value of ``score`` at the rank of the quantile, in units of 2^-40."""
+    keys = checkpoint(scores.select(F.floor(F.col("score") * F.lit(2.0**40)).cast("long").alias("key")))
+    n = keys.count()
+    return _kth_largest(keys, n - int(q * (n - 1))) * 2.0**-40 if n else None
 
-    def scored(rows: DataFrame) -> DataFrame:
-        return with_ngrams(rows).withColumn("grams", grams()).withColumn("score", ratio_score(ratio))
 
-    own = scored(docs.join(F.broadcast(sample.where(half == 1)), "doc_id")).agg(F.percentile("score", F.lit(QUANTILE)))
-    threshold = own.first()[0]
-    threshold = min(0.0, threshold) if threshold is not None else 0.0
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, figures, score, threshold, base_failed, kept) for each row of ``docs``."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    trusted = checkpoint(trusted_ids(labels).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
+    ratio = fit_ratio(docs, trusted.where(_half() == 0), buckets)
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_WHITE)) != "")
-    out = repeated_words(scored(docs)).withColumn("lines", lines)
+    scored = with_ngrams(docs).withColumn("grams", grams()).withColumn("score", ratio_score(ratio))
+    out = repeated_words(scored).withColumn("lines", lines)
     out = out.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -126,6 +133,9 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
         "n_repeat_words",
         "score",
     )
+    out = written(out)  # figures alone, for the threshold and the result
+    threshold = _quantile(out.where(_half() == 1).join(trusted.hint("shuffle_hash"), "doc_id", "left_semi"), QUANTILE)
+    threshold = min(0.0, threshold) if threshold is not None else 0.0
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 

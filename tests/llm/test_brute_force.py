@@ -296,6 +296,28 @@ def test_quality_parts_good_from_bad(spark):
         assert sum(got[i] == (i % 5 != 0) for i in range(200)) >= 194
 
 
+def test_quality_trusts_every_good_label(spark):
+    """Counts and threshold come from all labelled texts, however they meet their ids."""
+    many = 20_500
+    labels = spark.range(many).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.trusted_ids(labels.unionByName(labels)).count() == many
+    docs = labels.select("doc_id", F.concat(F.lit("w"), F.col("doc_id") % 7, F.lit(" x")).alias("text"))
+    half = [r[0] for r in docs.select(quality_rules._half()).collect()]
+    ratio = quality_rules.fit_ratio(docs, quality_rules.trusted_ids(labels).where(quality_rules._half() == 0))
+    total = {0: 3 * (many - sum(half)), 1: 3 * many}
+    x = docs.select(F.pmod(F.xxhash64(F.lit("x")), F.lit(10_000))).first()[0]
+    assert ratio[x] == pytest.approx(math.log((total[0] / 3 + 0.5) / (total[0] + 5_000)) - math.log((many + 0.5) / (total[1] + 5_000)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plain = quality_rules.quality(docs, labels).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(quality_rules.quality(docs, labels).collect()) == sorted(plain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    own = docs.where(quality_rules._half() == 1).select(F.col("doc_id").cast("double").alias("score"))
+    assert quality_rules._quantile(own, 0.005) == own.orderBy("score").collect()[int(0.005 * (sum(half) - 1))].score
+
+
 def test_kth_largest(spark):
     values = [random.Random(i).randint(-(2**60), 2**60) for i in range(300)] + [5, 5, 5]
     keys = spark.createDataFrame([(v,) for v in values], "key long")
