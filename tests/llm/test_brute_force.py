@@ -125,6 +125,18 @@ def test_repeats_keep_the_first_row_of_an_early_bucket_open():
     assert got == {0: 2, 600: 2} | {k: 0 for k in range(1, 600)}
 
 
+def test_repeats_rows_follow_the_different_segments(spark):
+    """A bucket that passes the limit by its members goes on segment by segment, not window by window; only many different ones are dealt out."""
+    rows = [(k, 5 << 7, 7, 2) for k in range(40)] + [(k, 5 << 7, 8, 2) for k in range(200)] + [(1, 9 << 7, 9, 1), (2, 0, 9, 0), (3, 5 << 7, repeats._CONTENT | 1, 2)]
+    settled = spark.createDataFrame(rows, "key long, place long, bucket long, open int")
+    got = collections.Counter((r.bucket, r.open) for r in repeats.counted_buckets(settled, 160).collect())
+    assert got == {(7, 1): 40, (8, 2): 200, (9, 1): 1, (repeats._CONTENT | 1, 2): 1}
+    line = prose(60, 9)
+    texts = [line[:p] + "#" + line[p + 1 :] for p in range(150)] * 2 + [line] * 530
+    got = {r.id: r.kept for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    assert [bytes(got[i]) for i in range(len(texts))] == plain_removal(texts)
+
+
 def test_difference_cover():
     for period in (8, 16, 32, 64):
         cover = repeats.difference_cover(period)
