@@ -193,3 +193,27 @@ def test_top_rows_in_parts(spark, monkeypatch):
     got = phrases._top(rows, "g", [F.desc("v"), F.asc("i")], "i", 5).collect()
     want = [(g, k + 1, i) for g in (0, 1) for k, (_, i) in enumerate(sorted((-((i * 37) % 101), i) for i in range(g, 600, 2))[:5])]
     assert sorted((r.g, r["rank"], r.i) for r in got) == want
+
+
+def test_lean_tables_leave_no_shuffle_files(spark):
+    """The shuffle files behind a written table go without the garbage collector, though its DataFrame is still held."""
+    import time
+
+    from llm.order import Scratch
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files() -> set[str]:
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffle_files()
+    df = spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count()
+    written = Scratch(spark, lean=True).write("lean", df)
+    for _ in range(50):
+        left = shuffle_files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and written.count() == df.count() == 50
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
