@@ -618,6 +618,29 @@ def test_learning_counts_each_decision():
     assert (want == tables[0]).all()
 
 
+def test_words_that_begin_alike_share_decisions(monkeypatch):
+    """Each decision after a beginning is made once; bits are those of every word judged alone."""
+    data = np.frombuffer(b" ".join(b"%s%s" % (a, b) for a in (b"inter", b"Inter", b"under") for b in (b"", b"act", b"acted", b"line")), np.uint8)
+    _, row, start, stop = mixing.tokens(data, np.array([0, len(data)]))
+    klass = np.arange(len(start)) % 2
+    mixer, made = random_mixer(6), []
+    want = [mixer.log2(mixing.spell(data, start[[i]], stop[[i]], klass[[i]])).sum() for i in range(len(start))]
+    plain = mixing.Mixer.decisions
+    monkeypatch.setattr(mixing.Mixer, "decisions", lambda self, s: made.extend(s.symbol.tolist()) or plain(self, s))
+    got = mixing.word_bits(mixer, data, mixing.Parsed(row, klass, np.zeros(0), start, stop), np.arange(len(start)))
+    assert got == pytest.approx([-x for x in want], abs=1e-4)
+    texts = [data[a:b].tobytes().lower() for a, b in zip(start, stop, strict=True)]
+    paths = {(k, (t + b"\0")[: i + 1], t == b"") for k, t in zip(klass.tolist(), texts, strict=True) for i in range(len(t) + 1)}
+    assert len(made) == len(paths) < sum(len(t) + 1 for t in texts)
+    # learning, too: once for all words of a correction
+    made.clear()
+    learner = mixing.Learner(mixer)
+    monkeypatch.setattr(mixing, "BATCH", 1 << 20)
+    s = mixing.spell(data, np.tile(start, 9), np.tile(stop, 9), np.tile(klass, 9))
+    learner.learn(s, np.ones(len(s.symbol), np.int64))
+    assert len(made) < len(s.symbol) / 4 and learner.counts[0].sum() == 9 * sum(int(mixer.off[x + 1] - mixer.off[x]) for t in texts for x in ([*t, 256] if t else [257]))
+
+
 def test_stretches_are_cut_by_content():
     texts = [prose(200, 1) + " " + prose(300, 9), prose(90, 2) + " " + prose(300, 9), "a b", ""]
     for _, data, off in textscan.pieces(pa.array(texts)):
