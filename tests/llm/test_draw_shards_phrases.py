@@ -217,3 +217,25 @@ def test_lean_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not left and written.count() == df.count() == 50
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_phrases_are_counted_in_rounds(spark, monkeypatch):
+    """No round shuffles more than a part of a relation's phrases, and together they count all."""
+    rng, rows = random.Random(5), []
+    plain = phrases._frequent
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    want = {(r.phrase, r.f) for r in phrases.mine(docs, least=2)[0].collect()}
+
+    def counted(relation, lists, key, least, only=(0, 1)):
+        out = plain(relation, lists, key, least, only)
+        rows.append((tuple(key), only, out.count(), plain(relation, lists, key, least).count()))
+        return out
+
+    monkeypatch.setattr(phrases, "_frequent", counted)
+    assert {(r.phrase, r.f) for r in phrases.mine(docs, least=2)[0].collect()} == want
+    pairs = [r for r in rows if r[0] == ("a", "b")]
+    assert len(pairs) == 3 * phrases.ROUNDS
+    for at in range(0, len(pairs), phrases.ROUNDS):
+        own = [n for _, _, n, _ in pairs[at : at + phrases.ROUNDS]]
+        assert sum(own) == pairs[at][3] and max(own) < 0.6 * sum(own)
