@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -641,6 +642,42 @@ def test_words_that_begin_alike_share_decisions(monkeypatch):
     assert len(made) < len(s.symbol) / 4 and learner.counts[0].sum() == 9 * sum(int(mixer.off[x + 1] - mixer.off[x]) for t in texts for x in ([*t, 256] if t else [257]))
 
 
+def test_a_block_is_parsed_some_texts_at_a_time(monkeypatch):
+    """The pairs of a block are those of all its tokens, and no more memory is taken than for some texts and the pairs."""
+    monkeypatch.setattr(mixing, "_PIECE", 1 << 16)
+    clusters = np.arange(625) % 13
+    model = mixing.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), random_mixer(7), 0, 0, clusters)
+    telling = np.unique(mixing.tokens(np.frombuffer(b"the of and", np.uint8), np.array([0, 10]))[0][:3])
+    model.telling, model.number = telling, np.arange(1, 4)
+    texts = [prose(20_000, i % 5) for i in range(40)] + ["", "one"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t) for t in texts)])
+    textscan._Powers.of(1 << 18)
+    learner = mixing.Learner(model.mixer)
+    tracemalloc.start()
+    mixing.learn_text(model, learner, data, off)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 4_000_000 and most < 4 * len(data)
+    # against all tokens at once
+    h, row, start, stop = mixing.tokens(data, off)
+    klass = mixing.histories(model.clusters, model.symbols(h), row)
+    all_pairs = list(zip(klass.tolist(), h.tolist(), strict=True))
+    n, first = collections.Counter(all_pairs), {}
+    for i, x in enumerate(all_pairs):
+        first.setdefault(x, i)
+    one, times = mixing.different(mixing.parse(model, data, off))
+    got = list(zip(one.klass.tolist(), one.hash.tolist(), strict=True))
+    assert len({k for k, _ in got}) > 2 and dict(zip(got, times.tolist(), strict=True)) == n and len(got) == len(n)
+    assert (np.diff(one.key) > 0).all()
+    for x, a, b in zip(got, one.start, one.stop, strict=True):  # an end is an empty word anywhere
+        assert a == b if start[first[x]] == stop[first[x]] else (a, b) == (start[first[x]], stop[first[x]])
+    again, parts = mixing.pairs(mixing.parse(model, data, off))
+    assert len(parts) > 30 and (again.key == one.key).all()
+    assert np.concatenate([r for r, _ in parts]).tolist() == row.tolist()
+    assert [got[i] for _, back in parts for i in back.tolist()] == all_pairs
+
+
 def test_stretches_are_cut_by_content():
     texts = [prose(200, 1) + " " + prose(300, 9), prose(90, 2) + " " + prose(300, 9), "a b", ""]
     for _, data, off in textscan.pieces(pa.array(texts)):
