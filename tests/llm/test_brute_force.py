@@ -678,6 +678,53 @@ def test_a_block_is_parsed_some_texts_at_a_time(monkeypatch):
     assert [got[i] for _, back in parts for i in back.tolist()] == all_pairs
 
 
+def learned_online(texts):
+    """(model, learner) after all texts, in growing blocks."""
+    model = mixing.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), mixing.Mixer(*mixing.huffman(np.ones(mixing._SYMBOLS))), 0, 0, np.zeros(625, np.int64))
+    model.telling, model.number = np.array([1], np.uint64), np.array([1])
+    learner = mixing.Learner(model.mixer)
+    for data, off in mixing._growing([pa.array(texts)]):
+        mixing.learn_text(model, learner, data, off)
+    return model, learner
+
+
+def test_weights_of_predictors_that_agree_do_not_overshoot():
+    """Words that come very often are corrected with their number; weights stay where all predictors together fit."""
+    rng = random.Random(5)
+    rare = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(20_000)]
+    words = [rng.choice(rare) if rng.random() < 0.1 else f"w{min(int(rng.paretovariate(1.0)), 500)}" for _ in range(200_000)]
+    model, learner = learned_online([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)])
+    assert np.abs(learner.w).max() < 2
+
+
+def test_words_that_begin_alike_are_learned_together(monkeypatch):
+    """A block makes the decisions of a beginning about once, however many corrections it has; the counts are those of all words."""
+    monkeypatch.setattr(mixing, "BATCH", 1 << 12)
+    monkeypatch.setattr(mixing, "_WORDS", 1 << 10)
+    made, plain = [], mixing.Mixer.decisions
+    monkeypatch.setattr(mixing.Mixer, "decisions", lambda self, s: made.append(len(s.symbol)) or plain(self, s))
+    model, learner = learned_online([""])
+    made.clear()
+    words = [f"{a}{b}{c}{d}" for a in "abcdefgh" for b in "abcde" for c in "abcde" for d in range(10, 50)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    mixing.learn_text(model, learner, data, np.array([0, len(data)]))
+    different = {(w + "\0")[: i + 1] for w in words for i in range(len(w) + 1)}
+    assert sum(made) < 1.05 * len(different)
+    assert learner.counts[0].sum() == sum(int(model.mixer.off[x + 1] - model.mixer.off[x]) for w in ["", "", *words] for x in ([*w.encode(), 256] if w else [257]))
+
+
+def test_counts_of_words_are_found_by_the_beginning_of_their_hash():
+    rng = np.random.default_rng(8)
+    near = np.arange(40, dtype=np.uint64) * np.uint64(3) + np.uint64(1 << 50)  # all begin alike
+    hashes = np.unique(np.concatenate([rng.integers(0, 2**64, 3000, np.uint64), near, np.array([0, 2**64 - 1], np.uint64)]))
+    model = mixing.Model(*[np.zeros(0, np.uint64)] * 2, hashes, np.arange(len(hashes)) * 7, random_mixer(8), 0, 0, np.zeros(625, np.int64))
+    asked = np.concatenate([rng.permutation(hashes), near + np.uint64(1), rng.integers(0, 2**64, 3000, np.uint64)])
+    want = dict(zip(hashes.tolist(), model.counts.tolist(), strict=True))
+    assert model.counted(asked).tolist() == [want.get(h, -1) for h in asked.tolist()]
+    model = mixing.Model(*[np.zeros(0, np.uint64)] * 4, random_mixer(8), 0, 0, np.zeros(625, np.int64))
+    assert model.counted(asked[:5]).tolist() == [-1] * 5
+
+
 def test_stretches_are_cut_by_content():
     texts = [prose(200, 1) + " " + prose(300, 9), prose(90, 2) + " " + prose(300, 9), "a b", ""]
     for _, data, off in textscan.pieces(pa.array(texts)):
