@@ -209,14 +209,17 @@ def date_randomization(tips: DataFrame, permutations: int = 99, seed: int = 17)
     """
     if permutations < 2:
         raise ValueError("at least two permutations")
-    observed = tips.groupBy("tree_id").agg(F.count("*").alias("tips"), F.round(F.regr_r2("distance", "date"), 9).alias("r2"))
-    by_name = Window.partitionBy("tree_id").orderBy("tip")
-    plain = tips.select("tree_id", "distance", F.row_number().over(by_name).alias("i"))
-    runs = tips.select("tree_id", "tip", "date", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    placed = tips.repartition(int(tips.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id").select("tree_id", "tip", "date", "distance", F.row_number().over(Window.partitionBy("tree_id").orderBy("tip")).alias("j"))
+    observed = placed.groupBy("tree_id").agg(F.count("*").alias("tips"), F.round(F.regr_r2("distance", "date"), 9).alias("r2"))
+    runs = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), "p", "tip"))
-    dealt = runs.select("tree_id", "p", "date", F.row_number().over(Window.partitionBy("tree_id", "p").orderBy(digest, "tip")).alias("i"))
-    null = dealt.join(plain, ["tree_id", "i"]).groupBy("tree_id", "p").agg(F.round(F.regr_r2("distance", "date"), 9).alias("permuted"))
-    of = null.join(observed.where("r2 is not null"), "tree_id").groupBy("tree_id", "tips", "r2")
+    dealt = runs.withColumn("i", F.row_number().over(Window.partitionBy("tree_id", "p").orderBy(digest, "tip")))
+    # a date goes to its rank by digest, a distance to that by name; they meet where the tree's tips are, without a shuffle or a table sent to all tasks
+    none = F.lit(None).cast("double")
+    cells = dealt.select("tree_id", "p", F.inline(F.array(F.struct("i", F.col("date").cast("double").alias("date"), none.alias("distance")), F.struct(F.col("j").alias("i"), none.alias("date"), F.col("distance").cast("double").alias("distance")))))
+    pairs = cells.groupBy("tree_id", "p", "i").agg(F.max("date").alias("date"), F.max("distance").alias("distance"))
+    null = pairs.groupBy("tree_id", "p").agg(F.round(F.regr_r2("distance", "date"), 9).alias("permuted"))
+    of = null.join(observed.where("r2 is not null").hint("merge"), "tree_id").groupBy("tree_id", "tips", "r2")
     at = F.count_if(F.col("permuted") >= F.col("r2"))
     spread = [F.round(f("permuted"), 6).alias(n) for f, n in ((F.min, "null_least"), (F.avg, "null_mean"), (F.max, "null_most"))]
     return of.agg(at.alias("at_or_above"), *spread).withColumn("p_value", F.round((F.col("at_or_above") + 1) / F.lit(permutations + 1), 6)).withColumn("r2", F.round("r2", 6))

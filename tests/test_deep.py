@@ -156,3 +156,13 @@ def test_date_randomization(spark):
     assert again == got and got[1].null_most < got[1].r2
     with pytest.raises(ValueError):
         deep.date_randomization(tips, 1)
+
+
+def test_date_randomization_sends_no_table_to_all_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(t, f"x{i:02d}", float(rng.randrange(9)), float(rng.randrange(50))) for t in range(20) for i in range(rng.randrange(1, 9))]
+    spark.createDataFrame(rows, "tree_id long, tip string, date double, distance double").write.parquet(str(tmp_path / "tips"))
+    tips = spark.read.parquet(str(tmp_path / "tips"))
+    got = deep.date_randomization(tips, 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.tree_id for r in got.collect()} == {r.tree_id for r in tips.groupBy("tree_id").agg(F.regr_r2("distance", "date").alias("r")).where("r is not null").collect()}
