@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise.functions import lineage
 from cladewise.operators import coding
 from cladewise.operators.alignment import melt
 from cladewise.sources import fasta
@@ -88,6 +90,42 @@ def test_illegal_positions_and_empty_tables(spark):
         assert made.collect() == []
 
 
+def _lines(spark, folder):
+    (folder / "a.fa").write_text("".join(f">{'xy'[i % 2]}\n{'ACGT' * (1 + i % 3)}\n{'-' if i % 5 else 'J'}\n" for i in range(40)))
+    return fasta.read_lines(spark, str(folder))
+
+
+def test_records_leave_no_copy_of_the_lines(spark, tmp_path):
+    folder = Path(lineage._folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert fasta.records(_lines(spark, tmp_path)).count() == 40
+    assert (set(folder.iterdir()) if folder.exists() else set()) == before
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    rows = fasta.records(_lines(spark, tmp_path))
+    problems, illegal = fasta.alignment_problems(rows), fasta.illegal_characters(rows)
+    for made in (problems, illegal):
+        assert "Scan text" not in made._jdf.queryExecution().executedPlan().toString()
+    assert _rows(problems.drop("file"), "problem", "detail") == [("duplicate identifier", "x"), ("duplicate identifier", "y"), ("unequal lengths", "5-13")]
+    assert _rows(illegal, "record", "position", "character") == [(i + 1, 4 * (1 + i % 3) + 1, "J") for i in range(0, 40, 5)]
+
+
+def test_names_are_numbered_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(fasta, "_RUN", 3)
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a b", "c"]), rng.choice(["ACGT", "", "AC"])) for _ in range(60)]
+    seen, want = {}, []
+    for i, (name, sequence) in enumerate(rows, 1):
+        clean = name.replace(" ", "_")
+        if sequence:
+            seen[clean] = seen.get(clean, 0) + 1
+        want.append((i, (clean + (f"_{seen[clean]}" if seen[clean] > 1 else "")) if sequence else None))
+    got = fasta.repair(_frame(spark, rows), "dna", remove=True).orderBy("record").collect()
+    assert [(r.record, r.repaired) for r in got] == want
+    assert fasta.repair(_frame(spark, rows), "dna", remove=True)._jdf.queryExecution().executedPlan().toString().count("RDD") == 0
+
+
 def _sites(spark, sequences):
     return melt(spark.createDataFrame([(1, k, v) for k, v in sequences.items()], "aln_id long, taxon string, seq string"))
 
